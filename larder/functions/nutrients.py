@@ -1,9 +1,9 @@
 """The nutrient ladder: ordered sources per nutrient, physical bounds, derivations, provenance.
 
-The ladder runs in three projections so that each value is coerced once:
+Three projections, so that each value is coerced once:
 
-1. ``typed_sources``: text leaves to doubles, version-3 and score components to the target unit;
-2. ``with_ladder``: per nutrient, first usable candidate and first rejected one;
+1. ``typed_sources``: text leaves to numbers, version-3 and score components to the target unit;
+2. ``with_ladder``: per nutrient, the candidates present, what is kept and what is rejected;
 3. ``with_nutrients``: cross derivations, implausible list and provenance marks.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larder.functions.numeric import BOUNDS, KJ_PER_KCAL, bounded, half_up, num_nonneg, within_bound
+from larder.functions.numeric import BOUNDS, KJ_PER_KCAL, bounded, num_nonneg
 from larder.functions.units import convert_unit
 
 
@@ -53,94 +53,120 @@ SUFFIXES = ["_100g", "", "_value", "_unit", "_serving"]
 NUTRIMENT_FIELDS = [nid + suffix for nid in NIDS for suffix in SUFFIXES]
 V3_SCHEMA = "map<string,struct<value:string,value_computed:string,unit:string,source:string,modifier:string>>"
 COMPONENT_SCHEMA = "array<struct<id:string,value:string,unit:string,points:string>>"
+UNIT_OF_NID = {nid: n.unit for n in NUTRIENTS.values() for nid in n.nids}
+UNIT_OF_COMPONENT = {n.component: n.unit for n in NUTRIENTS.values() if n.component}
+PLAIN = ["100g", "aggregated_set", "sin-sufijo", "value"]
+SCALED = ["sin-sufijo-racion", "serving", "value-racion"]
 
 
 def components_map(negative: Column, positive: Column) -> Column:
     """Score components by id; a later one replaces an earlier one."""
-    both = F.filter(F.concat(F.coalesce(negative, F.array()), F.coalesce(positive, F.array())),
-                    lambda c: c["id"].isNotNull())
+    empty = F.array().cast(COMPONENT_SCHEMA)
+    both = F.filter(F.concat(F.coalesce(negative, empty), F.coalesce(positive, empty)), lambda c: c["id"].isNotNull())
     last = F.filter(both, lambda c, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda d: d["id"] == c["id"]))
     return F.map_from_entries(F.transform(last, lambda c: F.struct(c["id"].alias("key"), c.alias("value"))))
 
 
+def _literal_map(pairs: dict[str, str]) -> Column:
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in pairs.items()) + ")")
+
+
 def typed_sources(df: DataFrame) -> DataFrame:
-    """Needs ``nutriments`` (struct of text), ``v3`` (map), ``components`` (map), ``per``, ``serving``."""
-    n = F.col("nutriments")
-    leaves = [
-        (F.lower(F.trim(n[f])) if f.endswith("_unit") else num_nonneg(n[f])).alias(f) for f in NUTRIMENT_FIELDS
-    ]
-    v3, comps = [], []
-    for nutrient in NUTRIENTS.values():
-        for nid in nutrient.nids:
-            x = F.try_element_at(F.col("v3"), F.lit(nid))
-            value = convert_unit(num_nonneg(F.coalesce(x["value"], x["value_computed"])),
-                                 F.coalesce(x["unit"], F.lit(nutrient.unit)), nutrient.unit)
-            mark = (F.when(x["source"] == "estimate", "estimate")
-                    .when(x["value"].isNull() & x["value_computed"].isNotNull(), "computed")
-                    .when(x["modifier"] != "", "approx"))
-            v3.append(F.struct(value.alias("value"), mark.alias("mark")).alias(nid))
-        if nutrient.component:
-            c = F.try_element_at(F.col("components"), F.lit(nutrient.component))
-            comps.append(convert_unit(num_nonneg(c["value"]), F.coalesce(c["unit"], F.lit(nutrient.unit)),
-                                      nutrient.unit).alias(nutrient.component))
+    """Text leaves to numbers in the target unit. Needs ``nutriments`` (map of text), ``v3`` and
+    ``components`` (maps of structs), ``per`` and ``serving``.
+
+    Only fields that the document has are touched: the maps are small where it is sparse.
+    """
+    units, wanted = _literal_map(UNIT_OF_NID), F.col("nutriments")
+    df = df.withColumn("nutriments", F.map_filter(wanted, lambda k, v: k.isin(NUTRIMENT_FIELDS)))
+    texts = F.col("nutriments")
+    numbers = F.transform_values(F.map_filter(texts, lambda k, v: ~k.endswith("_unit")), lambda k, v: num_nonneg(v))
+    nid = lambda k: F.regexp_replace(k, "_value$", "")
+    typed = F.transform_values(
+        F.map_filter(F.col("n"), lambda k, v: k.endswith("_value")),
+        lambda k, v: convert_unit(v, F.try_element_at(texts, F.concat(nid(k), F.lit("_unit"))), F.try_element_at(units, nid(k))))
+
+    def v3_leaf(k: Column, x: Column) -> Column:
+        target = F.try_element_at(units, k)
+        value = convert_unit(num_nonneg(F.coalesce(x["value"], x["value_computed"])), F.coalesce(x["unit"], target), target)
+        mark = (F.when(x["source"] == "estimate", "estimate")
+                .when(x["value"].isNull() & x["value_computed"].isNotNull(), "computed")
+                .when(x["modifier"] != "", "approx"))
+        return F.struct(value.alias("value"), mark.alias("mark"))
+
+    comp_units = _literal_map(UNIT_OF_COMPONENT)
+    comp_leaf = lambda k, c: convert_unit(
+        num_nonneg(c["value"]), F.coalesce(c["unit"], F.try_element_at(comp_units, k)), F.try_element_at(comp_units, k))
     serving = num_nonneg(F.col("serving"))
-    return (df.withColumn("n", F.struct(*leaves))
-            .withColumn("v3n", F.struct(*v3))
-            .withColumn("comp", F.struct(*comps))
+    return (df.withColumn("n", numbers)
+            .withColumn("typed", typed)
+            .withColumn("v3n", F.transform_values(F.map_filter("v3", lambda k, v: F.map_contains_key(units, k)), v3_leaf))
+            .withColumn("comp", F.transform_values(F.map_filter("components", lambda k, v: F.map_contains_key(comp_units, k)), comp_leaf))
             .withColumn("per", F.when(F.col("per") == "serving", "serving").otherwise("100g"))
             .withColumn("scale", F.when(serving > 0, F.lit(100.0) / serving))
-            .withColumn("trusted", serving_trusted(F.col("n"), F.col("scale"), F.col("per") == "serving")))
-
-
-def serving_trusted(n: Column, scale: Column, per_serving: Column) -> Column:
-    """One factor serves all nutrients, so an impossible energy condemns every scaled value."""
-    kj = F.coalesce(F.when(per_serving, F.coalesce(n["energy-kj"], n["energy"])),
-                    n["energy-kj_serving"], n["energy_serving"])
-    kcal = F.coalesce(F.when(per_serving, n["energy-kcal"]), n["energy-kcal_serving"])
-    return F.coalesce(
-        F.when(scale.isNull(), False),
-        kj * scale <= BOUNDS["kJ"],
-        kcal * scale <= BOUNDS["kcal"],
-        F.lit(True))
-
-
-def candidates(nutrient: Nutrient) -> list[tuple[str, Column, Column | None, Column | None]]:
-    """(origin, value, mark, trust) from the most to the least reliable source."""
-    n, v3, per_100g = F.col("n"), F.col("v3n"), F.col("per") == "100g"
-    scale, trusted = F.col("scale"), F.col("trusted")
-    typed = lambda nid: convert_unit(n[nid + "_value"], n[nid + "_unit"], nutrient.unit)
-    out = [("100g", n[nid + "_100g"], None, None) for nid in nutrient.nids]
-    out += [("aggregated_set", v3[nid]["value"], v3[nid]["mark"], None) for nid in nutrient.nids]
-    out += [("sin-sufijo", F.when(per_100g, n[nid]), None, None) for nid in nutrient.nids]
-    out += [("value", F.when(per_100g, typed(nid)), None, None) for nid in nutrient.nids]
+            .withColumn("trusted", serving_trusted()))
+
+
+def serving_trusted() -> Column:
+    """One factor serves all nutrients, so an impossible energy condemns every scaled value.
+
+    The first energy value present decides; without any there is nothing to contradict.
+    """
+    return F.expr(f"""CASE WHEN scale IS NULL THEN false ELSE coalesce(
+        coalesce(IF(per = 'serving', coalesce(n['energy-kj'], n['energy']), NULL), n['energy-kj_serving'], n['energy_serving'])
+            * scale <= {BOUNDS["kJ"]}D,
+        coalesce(IF(per = 'serving', n['energy-kcal'], NULL), n['energy-kcal_serving']) * scale <= {BOUNDS["kcal"]}D,
+        true) END""")
+
+
+def rungs(nutrient: Nutrient) -> list[tuple[str, str]]:
+    """(origin, value as SQL text) from the most to the least reliable source."""
+    ids = nutrient.nids
+    out = [("100g", f"n['{i}_100g']") for i in ids]
+    out += [("aggregated_set", f"v3n['{i}'].value") for i in ids]
+    out += [("sin-sufijo", f"IF(per = '100g', n['{i}'], NULL)") for i in ids]
+    out += [("value", f"IF(per = '100g', typed['{i}_value'], NULL)") for i in ids]
     if nutrient.component:
-        out.append(("nutriscore", F.col("comp")[nutrient.component], None, None))
-    for nid in nutrient.nids:
-        out.append(("sin-sufijo-racion", F.when(~per_100g, n[nid] * scale), None, trusted))
-        out.append(("serving", n[nid + "_serving"] * scale, None, trusted))
-        out.append(("value-racion", F.when(~per_100g, typed(nid) * scale), None, trusted))
+        out.append(("nutriscore", f"comp['{nutrient.component}']"))
+    for i in ids:
+        out.append(("sin-sufijo-racion", f"IF(per = 'serving', n['{i}'] * scale, NULL)"))
+        out.append(("serving", f"n['{i}_serving'] * scale"))
+        out.append(("value-racion", f"IF(per = 'serving', typed['{i}_value'] * scale, NULL)"))
     return out
 
 
-def nutrient_ladder(nutrient: Nutrient) -> Column:
-    """The first present candidate decides what is rejected, the first usable one what is kept.
+def present(nutrient: Nutrient) -> str:
+    """The candidates a document has, in order: array of (value, place)."""
+    values = ", ".join(v for _, v in rungs(nutrient))
+    return f"filter(transform(array({values}), (v, i) -> struct(v AS value, i AS place)), x -> x.value IS NOT NULL)"
 
-    Both are lazy ``coalesce`` chains: a document with a good first source evaluates one rung.
+
+def chosen(nutrient: Nutrient, key: str) -> str:
+    """What is kept and what is rejected, from the array in ``cand_<key>``.
+
+    The first candidate present is the one a reader would see at the source: if it is not usable it
+    is the rejected one, also where a later candidate serves.
     """
-    first, winner = [], []
-    for origin, value, mark, trust in candidates(nutrient):
-        marked = F.lit(None).cast("string") if mark is None else mark
-        ok = within_bound(value, nutrient.unit)
-        usable = ok if trust is None else ok & trust
-        row = F.struct(value.alias("value"), F.lit(origin).alias("origin"), marked.alias("mark"), usable.alias("usable"),
-                       ok.alias("fits"))
-        first.append(F.when(value.isNotNull(), row))
-        winner.append(F.when(usable, row))
-    return F.struct(F.coalesce(*first).alias("first"), F.coalesce(*winner).alias("winner"))
+    names = [origin for origin, _ in rungs(nutrient)]
+    origins = ", ".join(f"'{o}'" for o in names)
+    marks = ", ".join(f"v3n['{i}'].mark" for i in nutrient.nids)
+    start, scaled = names.index("aggregated_set"), min(names.index(o) for o in SCALED)
+    fits = f"x.value <= {BOUNDS[nutrient.unit]}D"
+    usable = f"{fits} AND (x.place < {scaled} OR trusted)"
+    winner = f"try_element_at(filter(cand_{key}, x -> {usable}), 1)"
+    return f"""transform(array(struct({winner} AS w, try_element_at(cand_{key}, 1) AS x)), p -> struct(
+        p.w.value AS value, try_element_at(array({origins}), p.w.place + 1) AS origin,
+        IF(p.w.place >= {start} AND p.w.place < {start + len(nutrient.nids)}, array({marks})[p.w.place - {start}], NULL) AS mark,
+        IF(p.x IS NULL OR (p.x.value <= {BOUNDS[nutrient.unit]}D AND (p.x.place < {scaled} OR trusted)), NULL, struct(
+            '{key}' AS n, floor(p.x.value * 100 + 0.5) / 100D AS v, '{nutrient.unit}' AS u,
+            IF(p.x.value <= {BOUNDS[nutrient.unit]}D, 'racion', 'max') AS m,
+            try_element_at(array({origins}), p.w.place + 1) AS s)) AS rejected))[0]"""
 
 
 def with_ladder(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"ladder_{key}": nutrient_ladder(nutrient) for key, nutrient in NUTRIENTS.items()})
+    with_candidates = df.withColumns({f"cand_{key}": F.expr(present(n)) for key, n in NUTRIENTS.items()})
+    return with_candidates.withColumns({f"ladder_{key}": F.expr(chosen(n, key)) for key, n in NUTRIENTS.items()}).drop(
+        *[f"cand_{key}" for key in NUTRIENTS], "n", "typed", "v3n", "comp", "scale", "trusted")
 
 
 # Derivations in order (target, source, factor, origin suffix).
@@ -150,39 +176,26 @@ DERIVED = [
 ]
 
 
-def derive_pairs(value: dict[str, Column], origin: dict[str, Column]) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Energy and salt/sodium complete each other where one is empty and the result is possible."""
-    value, origin = dict(value), dict(origin)
-    for target, source, factor, suffix in DERIVED:
-        computed = bounded(value[source] * factor, NUTRIENTS[target].unit)
-        filled = value[target].isNull() & computed.isNotNull()
-        origin[target] = F.when(filled, F.concat_ws(":", origin[source], F.lit(suffix))).otherwise(origin[target])
-        value[target] = F.coalesce(value[target], computed)
-    return value, origin
-
-
 def with_nutrients(df: DataFrame) -> DataFrame:
-    """Adds the 13 values, ``origins`` and ``estimated`` (maps) and ``implausible`` (array)."""
-    ladder = {key: F.col(f"ladder_{key}") for key in NUTRIENTS}
-    value = {k: c["winner"]["value"] for k, c in ladder.items()}
-    origin = {k: c["winner"]["origin"] for k, c in ladder.items()}
-    implausible = F.array_compact(F.array(*[
-        F.when(c["first"].isNotNull() & ~F.coalesce(c["first"]["usable"], F.lit(False)), F.struct(
-            F.lit(k).alias("n"), half_up(c["first"]["value"], 2).alias("v"),
-            F.lit(NUTRIENTS[k].unit).alias("u"),
-            F.when(c["first"]["fits"], "racion").otherwise("max").alias("m"),
-            c["winner"]["origin"].alias("s")))
-        for k, c in ladder.items()
-    ]))
-    marks = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(k) for k in NUTRIENTS]), F.array(*[c["winner"]["mark"] for c in ladder.values()])),
-        lambda k, v: v.isNotNull())
-    derived_value, derived_origin = derive_pairs(value, origin)
-    origins = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(k) for k in NUTRIENTS]), F.array(*derived_origin.values())),
-        lambda k, v: v.isNotNull())
-    return df.withColumns(derived_value | {"origins": origins, "estimated": marks, "implausible": implausible}).drop(
-        *[f"ladder_{k}" for k in NUTRIENTS], "n", "v3n", "comp", "scale", "trusted")
+    """Adds the 13 values, ``origins`` and ``estimated`` (maps) and ``implausible`` (array).
+
+    Energy and salt/sodium complete each other where one is empty and the result is possible.
+    """
+    keys = ", ".join(f"'{k}'" for k in NUTRIENTS)
+    drop_null = lambda values: F.expr(f"map_filter(map_from_arrays(array({keys}), array({values})), (k, v) -> v IS NOT NULL)")
+    rejected = F.expr("array_compact(array(" + ", ".join(f"ladder_{k}.rejected" for k in NUTRIENTS) + "))")
+    marks = drop_null(", ".join(f"ladder_{k}.mark" for k in NUTRIENTS))
+    rows = df.withColumns({"implausible": rejected, "estimated": marks}
+                          | {k: F.col(f"ladder_{k}.value") for k in NUTRIENTS}
+                          | {f"from_{k}": F.col(f"ladder_{k}.origin") for k in NUTRIENTS})
+    for target, source, factor, suffix in DERIVED:
+        computed = bounded(F.col(source) * factor, NUTRIENTS[target].unit)
+        rows = rows.withColumns({
+            f"from_{target}": F.when(F.col(target).isNull() & computed.isNotNull(),
+                                     F.concat_ws(":", f"from_{source}", F.lit(suffix))).otherwise(F.col(f"from_{target}")),
+            target: F.coalesce(F.col(target), computed)})
+    return rows.withColumn("origins", drop_null(", ".join(f"from_{k}" for k in NUTRIENTS))).drop(
+        *[f"ladder_{k}" for k in NUTRIENTS], *[f"from_{k}" for k in NUTRIENTS])
 
 
 def read_nutrients(df: DataFrame) -> DataFrame:

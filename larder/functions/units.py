@@ -33,19 +33,17 @@ def unit_name(c: Column) -> Column:
 
 def to_grams(v: Column, unit: Column) -> Column:
     """NULL for a unit that is not in the table."""
-    table = F.create_map(*[F.lit(x) for pair in GRAMS.items() for x in pair])
+    table = F.expr("map(" + ", ".join(f"'{name}', {grams!r}D" for name, grams in GRAMS.items()) + ")")
     return v * F.try_element_at(table, unit_name(unit))
 
 
-def convert_unit(v: Column, unit: Column, target: str) -> Column:
+def convert_unit(v: Column, unit: Column, target: Column) -> Column:
+    """To kJ, kcal, % or grams; an unknown unit gives NULL, no unit passes for grams and % only."""
     u = unit_name(unit)
-    if target == "kJ":
-        return F.when(u == "kj", v).when(u == "kcal", v * KJ_PER_KCAL)
-    if target == "kcal":
-        return F.when(u == "kcal", v).when(u == "kj", v / KJ_PER_KCAL)
-    if target == "%":
-        return F.when(u.isin("", "%", "% vol"), v)
-    return F.when(u == "", v).otherwise(to_grams(v, unit))
+    return (F.when(target == "kJ", F.when(u == "kj", v).when(u == "kcal", v * KJ_PER_KCAL))
+            .when(target == "kcal", F.when(u == "kcal", v).when(u == "kj", v / KJ_PER_KCAL))
+            .when(target == "%", F.when(u.isin("", "%", "% vol"), v))
+            .otherwise(F.when(u == "", v).otherwise(to_grams(v, unit))))
 
 
 def volume_ml(quantity: Column, unit: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scoring"]
+AREAS = ["scoring", "catalog"]
 
 
 def load_all() -> None:
