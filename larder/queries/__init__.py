@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scoring", "catalog"]
+AREAS = ["scoring", "catalog", "sync", "search", "codes"]
 
 
 def load_all() -> None:
