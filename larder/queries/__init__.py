@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scoring", "catalog", "sync", "search", "codes"]
+AREAS = ["scoring", "catalog", "sync", "search", "codes", "history"]
 
 
 def load_all() -> None:
