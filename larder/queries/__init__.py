@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scoring", "catalog", "sync", "search", "codes", "history"]
+AREAS = ["scoring", "catalog", "sync", "search", "codes", "history", "normalize"]
 
 
 def load_all() -> None:

@@ -50,8 +50,8 @@ def restored_history(spark: SparkSession, sf: str) -> DataFrame:
     return history.restore(kept, gone, ["user_id", "barcode"]).select("user_id", "barcode", "event_id")
 
 
-@query("recent_searches", """WITH l AS (SELECT user_id, event_type || (event_id % 4)::VARCHAR AS term, max(ts) AS at FROM events GROUP BY ALL)
-SELECT user_id, term, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at DESC, term) AS rank FROM l) WHERE rank <= 6""")
+@query("recent_searches", """WITH l AS (SELECT user_id, event_type || (event_id % 4)::VARCHAR AS term, max(ts) AS seen FROM events GROUP BY ALL)
+SELECT user_id, term, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, term) AS rank FROM l) WHERE rank <= 6""")
 def recent_searches(spark: SparkSession, sf: str) -> DataFrame:
     term = F.concat("event_type", (F.col("event_id") % 4).cast("string"))
     rows = load(spark, sf, "events").select("user_id", term.alias("term"), F.col("ts").alias("at"))
