@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scoring", "catalog", "sync", "search", "codes", "history", "normalize"]
+AREAS = ["scoring", "catalog", "sync", "search", "codes", "history", "normalize", "evidence", "regulation"]
 
 
 def load_all() -> None:
