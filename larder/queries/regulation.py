@@ -40,7 +40,7 @@ def annex_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 _AUTH = f"""{_N}, ls AS (SELECT doc, unnest([(100 + r)::VARCHAR, (200 + r)::VARCHAR || 'a', (300 + r)::VARCHAR, '535', '537']) AS e FROM d),
 au AS (SELECT doc, e, max(via) AS via FROM (SELECT doc, (100 + r)::VARCHAR AS e, 'group-part-c' AS via FROM d UNION ALL SELECT doc, unnest(['535', '537']), 'group-part-c' FROM d
-   UNION ALL SELECT doc, (300 + r)::VARCHAR, 'part-e' FROM d UNION ALL SELECT doc, (200 + r)::VARCHAR || 'a(ii)', 'part-e' FROM d) GROUP BY doc, e),
+   UNION ALL SELECT doc, (300 + r)::VARCHAR, 'part-e' FROM d UNION ALL SELECT doc, (200 + r)::VARCHAR || 'a', 'part-e' FROM d) GROUP BY doc, e),
 xp AS (SELECT doc, unnest([(100 + r)::VARCHAR, '537']) AS e, make_date(y, 1, 31) AS until FROM d WHERE make_date(y, 1, 31) < DATE '2026-01-01')"""
 _TODAY = "2026-01-01"
 
