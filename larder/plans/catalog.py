@@ -10,6 +10,7 @@ from larder.functions.health import ABV_LIMIT
 from larder.functions.numeric import num_nonneg, num_signed
 from larder.operators import prefix, ranges
 from larder.operators.latest import latest_per_key
+from larder.session import settle
 from larder.sources.dump import typed_view
 
 
@@ -42,7 +43,7 @@ def mapped(docs: DataFrame) -> DataFrame:
 
 
 def catalog_rows(docs: DataFrame) -> DataFrame:
-    return mapped(docs).select(*schema.PRODUCT_COLUMNS)
+    return settle(mapped(docs).select(*schema.PRODUCT_COLUMNS), ["barcode"])
 
 
 def implausible_text(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions import additives as add, health, nova, nutriscore as ns, paho
 from larder.functions.numeric import KJ_PER_KCAL, bounded, half_up
-from larder.session import broadcast_checked, small_enough
+from larder.session import broadcast_checked, settle, small_enough
 
 #: Up to this many entries the additive dimension travels as one map instead of a join.
 MAP_ENTRIES = 4096
@@ -119,12 +119,12 @@ def with_nutriscore(products: DataFrame) -> DataFrame:
 
 
 def nutriscore_columns(rows: DataFrame) -> DataFrame:
-    return rows.select(
+    return settle(rows.select(
         "barcode", ns.category().alias("category"), "negative_points", "positive_points",
         F.col("nutri_score").alias("score"), F.col("nutri_grade").alias("grade"),
         F.round("nutri_hundred", 6).alias("hundred"), "count_proteins",
         ns.proteins_reason("negative_points").alias("count_proteins_reason"),
-        F.array_join(ns.missing_inputs(), ",").alias("missing_inputs"))
+        F.array_join(ns.missing_inputs(), ",").alias("missing_inputs")), ["barcode"])
 
 
 def nutriscore(products: DataFrame) -> DataFrame:
@@ -204,13 +204,13 @@ def with_health(products: DataFrame, dim: DataFrame) -> DataFrame:
 
 def health_scores(products: DataFrame, dim: DataFrame) -> DataFrame:
     differs = F.col("worst") != F.col("best")
-    return with_health(products, dim).select(
+    return settle(with_health(products, dim).select(
         "barcode", F.col("health").cast("int").alias("score"), health.band(F.col("health")).alias("band"),
         F.when(~F.col("alcoholic"), F.col("nutri_grade")).alias("grade"), F.col("nova").cast("int").alias("nova"),
         F.when(~F.col("alcoholic"), F.col("seals")).cast("int").alias("seals"), F.round("additive_score", 6).alias("additive_score"),
         "high_risk", "banned", "alcoholic", F.when(F.col("alcoholic"), F.col("alcohol")).alias("abv"),
         F.when(differs, F.least("worst", "health")).cast("int").alias("range_min"),
-        F.when(differs, F.greatest("best", "health")).cast("int").alias("range_max"))
+        F.when(differs, F.greatest("best", "health")).cast("int").alias("range_max")), ["barcode"])
 
 
 def score_breakdown(products: DataFrame, dim: DataFrame) -> DataFrame:

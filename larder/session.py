@@ -57,3 +57,14 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only behind a check of the size; otherwise the plan keeps a shuffle join."""
     return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def settle(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keep later filters on computed columns above this point.
+
+    The optimizer pushes a filter through projections by writing the column's expression into it;
+    over a chain of rules that multiplies the plan. A generator of one row stops that, while filters
+    on ``keys`` still reach the scan.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(*keys, F.inline(F.array(F.struct(*rest)))).select(*df.columns)

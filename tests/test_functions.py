@@ -14,12 +14,29 @@ def value(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
-def row_of(spark, **doc):
-    """Catalogue row of one raw document."""
-    doc = {"code": "8410000000017", "product_name": "x", **doc}
-    lines = spark.createDataFrame([(json.dumps(doc),)], "value string")
-    rows = catalog.mapped(dump.documents(lines)).collect()
-    return rows[0] if rows else None
+IMAGE = lambda **front: {"images": {"selected": {"front": front}}}
+V3 = {"fruits-vegetables-legumes": {"value": 30, "unit": "%", "source": "estimate"}, "salt": {"value_computed": 1.0, "unit": "g"}, "fat": {"value": 3, "unit": "g", "modifier": "~"}}
+DOCS = {
+    "normalised": {"nutriments": {"energy-kj_100g": 500, "energy-kj": 900}},
+    "units": {"nutriments": {"fat_value": "2500", "fat_unit": "mg", "sugars": "12"}, "nutrition_data_per": "100g"},
+    "no-base": {"nutriments": {"sugars": 7}},
+    "impossible": {"nutriments": {"energy-kj_100g": 19200}, "nutriscore_data": {"components": {"negative": [{"id": "energy", "value": 800, "unit": "kJ"}]}}},
+    "serving": {"serving_quantity": "50", "nutrition_data_per": "serving", "nutriments": {"energy-kj": 400, "salt": 0.5}},
+    "bad-serving": {"serving_quantity": 1, "nutrition_data_per": "serving", "nutriments": {"energy-kj": 1172, "salt": 0.75}},
+    "marks": {"nutrition": {"aggregated_set": {"nutrients": V3}}},
+    "empty": {}, "blank-name": {"product_name": "  "}, "no-code": {"code": None},
+    "flags-2023": {"nutriscore": {"2023": {"data": {"is_beverage": "1"}}}, "nutriscore_data": {"is_beverage": 0}},
+    "flags-guessed": {"categories_tags": ["en:sheep-cheeses"]},
+    "image-own": {"lang": "es", **IMAGE(en={"rev": 3}, es={"rev": "37"})}, "image-bad": {"lang": "es", **IMAGE(en={"rev": "x1"})},
+}
+
+
+@pytest.fixture(scope="module")
+def mapped(spark):
+    """Catalogue rows of the documents above by their name, from one run."""
+    lines = [(json.dumps({"code": f"{i:013d}", "product_name": "x", **doc}),) for i, doc in enumerate(DOCS.values())]
+    rows = {r.barcode: r for r in catalog.mapped(dump.documents(spark.createDataFrame(lines, "value string"))).collect()}
+    return {name: rows.get(f"{i:013d}") for i, name in enumerate(DOCS)}
 
 
 @pytest.mark.parametrize("raw,want", [("1.5", 1.5), ("", None), ("NaN", None), ("Infinity", None), ("-3", -3.0), ("abc", None)])
@@ -46,50 +63,48 @@ def test_unit_conversion(spark, v, unit, target, want):
 
 # ---------------------------------------------------------------- ladder
 
-def test_ladder_prefers_normalised_value(spark):
-    r = row_of(spark, nutriments={"energy-kj_100g": 500, "energy-kj": 900})
+def test_ladder_prefers_normalised_value(mapped):
+    r = mapped["normalised"]
     assert (r.energy_kj, r.origins["energy_kj"]) == (500.0, "100g")
     assert r.energy_kcal == pytest.approx(500 / 4.184) and r.origins["energy_kcal"] == "100g:kj"
 
 
-def test_ladder_units_and_text_numbers(spark):
-    r = row_of(spark, nutriments={"fat_value": "2500", "fat_unit": "mg", "sugars": "12"}, nutrition_data_per="100g")
+def test_ladder_units_and_text_numbers(mapped):
+    r = mapped["units"]
     assert (r.fat, r.origins["fat"], r.sugars) == (2.5, "value", 12.0)
 
 
-def test_ladder_without_declared_base_means_100g(spark):
-    assert row_of(spark, nutriments={"sugars": 7}).sugars == 7.0
+def test_ladder_without_declared_base_means_100g(mapped):
+    assert mapped["no-base"].sugars == 7.0
 
 
-def test_impossible_value_falls_through_and_is_kept(spark):
-    r = row_of(spark, nutriments={"energy-kj_100g": 19200}, nutriscore_data={"components": {"negative": [{"id": "energy", "value": 800, "unit": "kJ"}]}})
+def test_impossible_value_falls_through_and_is_kept(mapped):
+    r = mapped["impossible"]
     assert (r.energy_kj, r.origins["energy_kj"]) == (800.0, "nutriscore")
     assert [(x.n, x.v, x.m, x.s) for x in r.implausible] == [("energy_kj", 19200.0, "max", "nutriscore")]
 
 
-def test_serving_is_scaled_only_when_trusted(spark):
-    good = row_of(spark, serving_quantity="50", nutrition_data_per="serving", nutriments={"energy-kj": 400, "salt": 0.5})
+def test_serving_is_scaled_only_when_trusted(mapped):
+    good = mapped["serving"]
     assert (good.energy_kj, good.salt, good.origins["salt"]) == (800.0, 1.0, "sin-sufijo-racion")
-    bad = row_of(spark, serving_quantity=1, nutrition_data_per="serving", nutriments={"energy-kj": 1172, "salt": 0.75})
+    bad = mapped["bad-serving"]
     assert bad.energy_kj is None and bad.salt is None
     assert {(x.n, x.m) for x in bad.implausible} == {("energy_kj", "max"), ("salt", "racion")}
 
 
-def test_version_three_marks(spark):
-    nutrients = {"fruits-vegetables-legumes": {"value": 30, "unit": "%", "source": "estimate"}, "salt": {"value_computed": 1.0, "unit": "g"}, "fat": {"value": 3, "unit": "g", "modifier": "~"}}
-    r = row_of(spark, nutrition={"aggregated_set": {"nutrients": nutrients}})
+def test_version_three_marks(mapped):
+    r = mapped["marks"]
     assert r.estimated == {"fvl": "estimate", "salt": "computed", "fat": "approx"}
     assert r.sodium == pytest.approx(400.0)  # mg in the catalogue
 
 
-def test_empty_document_has_no_nutrients(spark):
-    r = row_of(spark)
+def test_empty_document_has_no_nutrients(mapped):
+    r = mapped["empty"]
     assert r.energy_kj is None and r.origins == {} and r.implausible == []
 
 
-def test_rows_without_identity_are_dropped(spark):
-    assert row_of(spark, product_name="  ") is None
-    assert row_of(spark, code=None) is None
+def test_rows_without_identity_are_dropped(mapped):
+    assert mapped["blank-name"] is None and mapped["no-code"] is None
 
 
 # ---------------------------------------------------------------- texts, flags, images
@@ -104,19 +119,17 @@ def test_text_by_language(spark, doc, lang, want):
     assert view.select(text.product_name(F.col("texts"), F.col("lang"), lang).alias("n")).first().n == want
 
 
-def test_category_flag_precedence(spark):
-    both = row_of(spark, nutriscore={"2023": {"data": {"is_beverage": "1"}}}, nutriscore_data={"is_beverage": 0})
+def test_category_flag_precedence(mapped):
+    both = mapped["flags-2023"]
     assert (both.is_beverage, both.flag_source) == (True, "nutriscore_2023")
-    guessed = row_of(spark, categories_tags=["en:sheep-cheeses"])
+    guessed = mapped["flags-guessed"]
     assert (guessed.is_cheese, guessed.is_beverage, guessed.flag_source) == (True, False, "categories_tags")
-    unknown = row_of(spark)
+    unknown = mapped["empty"]
     assert unknown.is_beverage is None and unknown.flag_source is None
 
 
-def test_image_reference(spark):
-    image = lambda **front: {"images": {"selected": {"front": front}}}
-    assert row_of(spark, lang="es", **image(en={"rev": 3}, es={"rev": "37"})).image_ref == "es.37"
-    assert row_of(spark, lang="es", **image(en={"rev": "x1"})).image_ref is None
+def test_image_reference(spark, mapped):
+    assert mapped["image-own"].image_ref == "es.37" and mapped["image-bad"].image_ref is None
     assert value(spark, codes.image_url(F.lit("123456789"), F.lit("ES.4"))).endswith("/123/456/789/front_es.4.200.jpg")
 
 

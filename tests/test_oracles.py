@@ -13,12 +13,9 @@ from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 FAST = [
-    "nutriscore", "health_scores", "score_breakdown", "confidence", "additive_assessments", "nova_markers", "paho_seals",
-    "cosmetic_flags", "alcohol_content", "catalog_rows", "nutrient_coverage", "weight_cuts", "trimmed_catalog", "last_writes",
-    "generation_changes", "delta_applied", "delta_violations", "delta_files", "sync_plans", "chain_applied", "changes_applied",
-    "postings", "ranked_documents", "reindexed", "barcode_checks", "gs1_classes", "part_routing", "debounced_scans", "history_view",
-    "text_variants", "nutrient_values", "ingredient_rows", "properties", "field_census", "item_tag_links", "severity", "severity_positions",
-    "current_opinions", "annex_classes", "law_rows", "us_scope", "withdrawal_reasons",
+    "nutriscore", "health_scores", "additive_assessments", "nova_markers", "cosmetic_flags", "catalog_rows", "trimmed_catalog",
+    "generation_changes", "delta_violations", "changes_applied", "postings", "ranked_documents", "barcode_checks", "gs1_classes",
+    "history_view", "nutrient_values", "field_census", "item_tag_links", "protective_intakes", "annex_classes", "us_scope",
 ]
 NAMES = list(oracle_sql()) if os.environ.get("LARDER_ALL") else FAST
 
