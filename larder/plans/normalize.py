@@ -93,6 +93,12 @@ def is_array(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("ARRAY")
 
 
+def has_nested(v: Column, null_counts: bool = True) -> Column:
+    """A list with anything but scalars in it."""
+    nested = lambda x: is_object(x) | is_array(x) | ((F.schema_of_variant(x) == "VOID") if null_counts else F.lit(False))
+    return F.exists(F.try_variant_get(v, "$", "array<variant>"), nested)
+
+
 # ---------------------------------------------------------------- texts and product
 
 def text_key(key: Column) -> Column:
@@ -162,7 +168,7 @@ def docs_tags(docs: DataFrame) -> DataFrame:
     """Flat lists: (type, position, value)."""
     key = F.col("key")
     lists = entries(docs).filter(is_array(F.col("value")) & ~key.isin(OWN_TABLES) & ~is_derived_key(key))
-    flat = lists.filter(~F.schema_of_variant("value").contains("OBJECT"))
+    flat = lists.filter(~has_nested(F.col("value"), null_counts=False))
     rows = flat.select("code", F.regexp_replace(key, "_tags$", "").alias("type"), F.posexplode(F.try_variant_get("value", "$", "array<string>")).alias("pos", "tag"))
     return first_per_key(rows.withColumn("tag", text_of(F.col("tag"))).filter("tag IS NOT NULL"), ["code", "type", "pos"], ["tag"])
 
@@ -317,7 +323,7 @@ def docs_languages(docs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- generic properties
 
-_NODE = "array<struct<scope:string,m:map<string,variant>>>"
+_NODE = "array<struct<scope:string,m:map<string,variant>,listed:boolean>>"
 
 
 def collapse_uniform(values: Column) -> Column:
@@ -344,18 +350,25 @@ def _below(scope: Column, key: Column) -> Column:
     return F.concat(scope, F.lit("."), key)
 
 
+def _node(scope: Column, v: Column) -> Column:
+    """An object, or a list read as an object whose keys are the positions."""
+    whole = F.try_variant_get(v, "$", "array<variant>")
+    by_place = F.map_from_entries(F.transform(whole, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
+    return F.struct(scope.alias("scope"), F.coalesce(F.try_variant_get(v, "$", _MAP), by_place).alias("m"), is_array(v).alias("listed"))
+
+
 def _node_rows(n: Column) -> Column:
     """Rows of one object: its scalars and scalar lists, or a default and its exceptions."""
     entry_row = lambda e: _row(n["scope"], e["key"], e["value"])
     plain = F.map_entries(n["plain"])
     exceptions = F.transform(F.filter(plain, lambda e: e["value"] != n["modal"]), entry_row)
     uniform = F.concat(F.array(_row(n["scope"], F.lit("*"), n["modal"])), exceptions)
-    lists = F.filter(F.map_entries(n["m"]), lambda e: is_array(e["value"]) & ~F.schema_of_variant(e["value"]).contains("OBJECT"))
+    lists = F.filter(F.map_entries(n["m"]), lambda e: is_array(e["value"]) & ~has_nested(e["value"]))
     joined = F.transform(lists, lambda e: _row(n["scope"], e["key"], F.array_join(F.try_variant_get(e["value"], "$", "array<string>"), ",")))
-    mixed = F.filter(F.map_entries(n["m"]), lambda e: is_array(e["value"]) & F.schema_of_variant(e["value"]).contains("OBJECT"))
+    mixed = F.filter(F.map_entries(n["m"]), lambda e: is_array(e["value"]) & has_nested(e["value"]))
     items = F.flatten(F.transform(mixed, lambda e: F.transform(
         F.try_variant_get(e["value"], "$", "array<variant>"),
-        lambda x, i: F.when(~is_object(x), _row(_below(n["scope"], e["key"]), i.cast("string"), F.try_variant_get(x, "$", "string"))))))
+        lambda x, i: F.when(~is_object(x) & ~is_array(x), _row(_below(n["scope"], e["key"]), i.cast("string"), F.try_variant_get(x, "$", "string"))))))
     some = lambda rows: F.filter(rows, lambda r: r.isNotNull() & (r["value"] != ""))
     own = some(F.transform(plain, entry_row))
     return F.when(n["modal"].isNotNull(), uniform).otherwise(F.concat(own, some(joined), some(items))).cast(_ROWS)
@@ -365,10 +378,10 @@ def _node_children(n: Column) -> Column:
     """Objects below one object, directly or as list items; a uniform map has none."""
     def open_entry(e: Column) -> Column:
         scope = _below(n["scope"], e["key"])
-        single = F.array(F.struct(scope.alias("scope"), F.try_variant_get(e["value"], "$", _MAP).alias("m")))
-        items = F.transform(F.try_variant_get(e["value"], "$", "array<variant>"), lambda x, i: F.struct(
-            F.concat(scope, F.lit("["), i.cast("string"), F.lit("]")).alias("scope"), F.try_variant_get(x, "$", _MAP).alias("m")))
-        return F.when(is_object(e["value"]), single).when(is_array(e["value"]), F.filter(items, lambda c: c["m"].isNotNull())).otherwise(F.array().cast(_NODE))
+        items = F.transform(F.try_variant_get(e["value"], "$", "array<variant>"),
+                            lambda x, i: _node(F.concat(scope, F.lit("["), i.cast("string"), F.lit("]")), x))
+        return F.when(is_object(e["value"]), F.array(_node(scope, e["value"]))).when(
+            is_array(e["value"]), F.filter(items, lambda c: c["m"].isNotNull())).otherwise(F.array().cast(_NODE))
 
     return F.when(n["modal"].isNotNull(), F.array().cast(_NODE)).otherwise(F.flatten(F.transform(F.map_entries(n["m"]), open_entry)))
 
@@ -385,21 +398,20 @@ def docs_properties(docs: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     pairs = F.map_entries("fields")
     scalars = F.filter(pairs, lambda e: ~is_object(e["value"]) & ~is_array(e["value"]) & text_key(e["key"]).isNull())
     root = F.filter(F.transform(scalars, lambda e: _row(F.lit(""), e["key"], as_text(e["value"]))), lambda r: r["value"].isNotNull())
-    objects = F.transform(F.filter(pairs, lambda e: is_object(e["value"])), lambda e: F.struct(
-        e["key"].alias("scope"), F.try_variant_get(e["value"], "$", _MAP).alias("m")))
-    listed = F.flatten(F.transform(F.filter(pairs, lambda e: is_array(e["value"]) & F.schema_of_variant(e["value"]).contains("OBJECT")), lambda e: F.filter(
-        F.transform(F.try_variant_get(e["value"], "$", "array<variant>"), lambda x, i: F.struct(
-            F.concat(e["key"], F.lit("["), i.cast("string"), F.lit("]")).alias("scope"), F.try_variant_get(x, "$", _MAP).alias("m"))),
+    objects = F.transform(F.filter(pairs, lambda e: is_object(e["value"])), lambda e: _node(e["key"], e["value"]))
+    listed = F.flatten(F.transform(F.filter(pairs, lambda e: is_array(e["value"]) & has_nested(e["value"], null_counts=False)), lambda e: F.filter(
+        F.transform(F.try_variant_get(e["value"], "$", "array<variant>"),
+                    lambda x, i: _node(F.concat(e["key"], F.lit("["), i.cast("string"), F.lit("]")), x)),
         lambda c: c["m"].isNotNull())))
 
     def described(n: Column) -> Column:
         plain = F.transform_values(
             F.map_filter(n["m"], lambda k, v: ~is_object(v) & ~is_array(v) & (F.schema_of_variant(v) != "VOID")),
             lambda k, v: F.try_variant_get(v, "$", "string"))
-        return F.struct(n["scope"].alias("scope"), n["m"].alias("m"), plain.alias("plain"))
+        return F.struct(n["scope"].alias("scope"), n["m"].alias("m"), n["listed"].alias("listed"), plain.alias("plain"))
 
     def judged(n: Column) -> Column:
-        uniform = (F.size(n["plain"]) >= UNIFORM_MIN) & (F.size(n["plain"]) == F.size(n["m"]))
+        uniform = ~n["listed"] & (F.size(n["plain"]) >= UNIFORM_MIN) & (F.size(n["plain"]) == F.size(n["m"]))
         return F.struct(n["scope"].alias("scope"), n["m"].alias("m"), n["plain"].alias("plain"), F.when(uniform, collapse_uniform(n["plain"])).alias("modal"))
 
     rows = docs.select("code", fields.alias("fields")).select("code", root.cast(_ROWS).alias("out"), F.concat(objects, listed).cast(_NODE).alias("level"))
