@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larder import schema
 from larder.functions import categories, codes, nutrients, text, units
 from larder.functions.health import ABV_LIMIT
-from larder.functions.numeric import num_nonneg, num_signed
+from larder.functions.numeric import num_signed
 from larder.operators import prefix, ranges
 from larder.operators.latest import latest_per_key
 from larder.session import settle

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder import schema
 from larder.functions.text import label_badges
-from larder.functions.units import GRAMS  # noqa: F401
 from larder.operators import prefix, ranges
 from larder.operators.latest import latest_per_key
 from larder.plans import catalog, scoring
 from larder.queries.registry import query
-from larder.queries.scoring import _MISSING, _REASON, nutri_sql
+from larder.queries.scoring import nutri_sql
 from larder.rawdocs import RAW_SQL, dump_lines
 from larder.session import cut_lineage
 from larder.sources import dump

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.binding import load
 from larder.functions import codes
-from larder.operators.latest import first_per_key
 from larder.plans import evidence as ev, toxicology as tox
 from larder.queries.registry import query
 from larder.session import checkpoint_root, cut_lineage

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.binding import additive_dim, duck, products
 from larder.functions import additives as add, cosmetics as cos, nova, nutriscore as ns, paho, units
-from larder.functions.numeric import half_up
 from larder.plans import cosmetics, facts, scoring
 from larder.queries.registry import query
 
