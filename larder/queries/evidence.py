@@ -513,22 +513,30 @@ def substance_slice(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("id").join(found.groupBy(F.col("substance").alias("id")).agg(F.count(F.lit(1)).alias("values")), "id", "left").fillna(0, ["values"])
 
 
-@query("published_tables", f"""WITH {_SLICE}, {_CONCLUSIONS.replace(_OPINIONS, _OPINIONS)}, h AS (SELECT 1)
+@query("published_tables", f"""WITH {_SLICE}, {_FINDINGS}
 SELECT 'severity' AS "table", (SELECT count(*) FROM sv) AS rows, 9 AS columns UNION ALL SELECT 'additives', (SELECT count(*) FROM it), 4 UNION ALL SELECT 'additive_tags', (SELECT count(*) FROM lk), 6
 UNION ALL SELECT 'levels', 8, 3 UNION ALL SELECT 'certainties', 4, 3 UNION ALL SELECT 'severity_origin', (SELECT count(*) FROM sv), 4
 UNION ALL SELECT 'bans', (SELECT count(*) + 2 * count(*) FILTER (more) FROM bans_v), 4 UNION ALL SELECT 'exposure', (SELECT count(*) FROM ex), 7
 UNION ALL SELECT 'iarc', (SELECT count(*) FROM iarc_v WHERE grp IS NOT NULL), 5 UNION ALL SELECT 'clp', (SELECT count(*) FROM cp), 3 UNION ALL SELECT 'eu_law', (SELECT count(*) FROM law_v), 4
 UNION ALL SELECT 'toxicology', (SELECT count(*) FROM oft_v), 9 UNION ALL SELECT 'family_members', (SELECT count(*) FROM tags_v WHERE tag LIKE '%i'), 3
-UNION ALL SELECT 'families', (SELECT count(DISTINCT n) FROM tags_v WHERE tag LIKE '%i'), 8""")
+UNION ALL SELECT 'families', (SELECT count(DISTINCT n) FROM tags_v WHERE tag LIKE '%i'), 8
+UNION ALL SELECT 'us_law', (SELECT 3 * count(*) FROM documents), 5 UNION ALL SELECT 'withdrawal_reasons', (SELECT count(*) FROM documents), 6
+UNION ALL SELECT 'opinion_history', (SELECT count(*) FROM al WHERE NOT studied OR finding <> 'no-data'), 6""")
 def published_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The star schema written as parquet, and its manifest."""
+    """The 17 tables of the star schema written as parquet, and their manifest."""
+    from larder.queries.regulation import acts, us_code
+
     c = Chain(spark, sf)
     full = c.full()
     tag_data = ev.tag_values(c.links, c.best)
     fams = ev.families(c.tags)
-    empty = c.items.limit(0)
-    src = {"items": c.items, "links": c.links, "evidence": full, "severity": c.severity, "bans": c.bans, "toxicology": c.oft, "history": empty.select("item"),
-           "iarc": iarc(spark, sf), "clp": clp(spark, sf), "law": view(spark, sf, "law_v"), "us_law": empty.select("item"), "exposure": exposure(spark, sf),
-           "families": fams, "family_stats": ev.family_stats(fams, tag_data), "reasons": empty.select("item")}
+    findings, dims = _findings(spark, sf)
+    _, history = tox.resolve_opinions(findings, dims, tox.reference_values(flex(spark, sf))[2])
+    code = us_code(spark, sf)
+    part_81 = reg.us_withdrawals(reg.us_colour_paragraphs(code)).withColumn("section", F.concat(F.lit("21 CFR 81.10("), "letter", F.lit(")")))
+    reasons = reg.withdrawal_reason(reg.text_signals(acts(spark, sf)))
+    src = {"items": c.items, "links": c.links, "evidence": full, "severity": c.severity, "bans": c.bans, "toxicology": c.oft, "history": history.select("substance", "opinion", "finding", "date", "opinion_adi", "cited"),
+           "iarc": iarc(spark, sf), "clp": clp(spark, sf), "law": view(spark, sf, "law_v"), "us_law": ev.us_law(reg.us_banned(code), part_81), "exposure": exposure(spark, sf),
+           "families": fams, "family_stats": ev.family_stats(fams, tag_data), "reasons": reasons}
     manifest = ev.publish(ev.star_schema(src), f"{checkpoint_root(spark)}/published-{uuid.uuid4().hex}")
-    return manifest.filter("rows > 0").select("table", "rows", "columns")
+    return manifest.select("table", "rows", "columns")
