@@ -112,3 +112,36 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes of start, start + 1, ... for every span, one after the other."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class Lookup:
+    """Values by non-negative 62-bit keys: open addressing, looked up for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys) * 3).bit_length())
+        self._shift, self._last = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        keys, values = np.asarray(keys, np.int64), np.asarray(values, np.int64)
+        at = self._at(keys)
+        while len(keys):
+            free = self._keys[at] == -1
+            self._keys[at[free]] = keys[free]  # of several the last one stays
+            won = self._keys[at] == keys
+            self._values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], (at[~won] + 1) & self._last
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _BASE) >> self._shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray, missing: int = -1) -> np.ndarray:
+        at = self._at(keys)
+        found = self._keys.take(at)
+        out = np.where(found == keys, self._values.take(at), missing)
+        rest = np.flatnonzero((found != keys) & (found != -1))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self._last
+            found = self._keys.take(at[rest])
+            hit = found == keys[rest]
+            out[rest[hit]] = self._values.take(at[rest[hit]])
+            rest = rest[~hit & (found != -1)]
+        return out
