@@ -216,6 +216,8 @@ class Encoder:
     def _solve(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of each part without a lone leading mark, their numbers, and whether there was one."""
         m = self.machines
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
         found, sizes = m.paths(points, starts, ends)
         begin = np.cumsum(sizes) - sizes
         lead = (found[begin] == m.mark_id) if len(sizes) else np.zeros(0, bool)
