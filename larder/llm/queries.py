@@ -4,7 +4,7 @@ from importlib import import_module
 
 from larder.llm.registry import ORACLES, QUERIES
 
-MODULES = ["query_search", "query_native", "query_tokens"]
+MODULES = ["query_search", "query_native", "query_tokens", "query_dedup"]
 
 for _name in MODULES:
     import_module(f"larder.llm.{_name}")
