@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from larder.llm.arrays import Lookup, pieces, ragged, span_hashes
 
@@ -343,7 +343,7 @@ def encoded(docs: DataFrame, path: str, text_column: str = "text", ids: str = "i
             column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], column], [*kept, ids])
 
-    schema = docs.select(*kept).schema.add(ids, "array<int>")
+    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(run, schema)
 
 
