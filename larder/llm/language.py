@@ -190,7 +190,7 @@ def with_languages(docs: DataFrame, model: Model, text_column: str = "text", pen
             lang, score, spans = identify([t or "" for t in at[text_column].to_pylist()], model, penalty)
             yield pa.RecordBatch.from_arrays([*at.values(), pa.array(lang, pa.string()), pa.array(score), pa.array(spans, span)], [*kept, *added])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_spans", T.ArrayType(T.StructType().add("start", "int").add("end", "int").add("lang", "string")))
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("lang", "string")))
     return docs.select(*kept).mapInArrow(run, schema)
 
 
