@@ -20,7 +20,7 @@ LABEL_TEXTS = [
     "Farinha de trigo, xarope de milho, sal",
     "Farina di frumento, zucchero, sale",
     "Agua, PROTEÍNA vegetal TEXTURIZADA, sal",
-    "Milk, cream, cultures",
+    "Milk, Sodium Caseinate, cultures",
     "Lait entier, ferments",
     "Maltodextrina, caseinato, dextrosa",
     "Kakaobutter, Sojalecithin, Vanille",
@@ -58,13 +58,13 @@ SELECT k, barcode, name, brand,
        {_flag("k % 7 = 1")} AS is_cheese, {_flag("k % 9 = 2")} AS is_fat_oil_nuts_seeds,
        {_flag("k % 10 = 3")} AS is_red_meat,
        CASE WHEN k % 6 = 0 THEN NULL ELSE CAST(1 + k % 4 AS INT) END AS nova_group,
-       concat_ws(',', {_ADDITIVES}) AS additives_text,
+       CASE WHEN k % 29 = 7 THEN NULL ELSE concat_ws(',', {_ADDITIVES}) END AS additives_text,
        CASE WHEN k % 8 = 0 THEN NULL ELSE {_pick("k % 12", LABEL_TEXTS)} END AS ingredients_text,
        {_pick("k % 6", INCI_TEXTS)} AS inci_text,
        k * 101 % 10007 AS popularity, 1700000000 + k AS last_modified
 FROM (
   SELECT p_partkey AS k, p_name AS name, p_brand AS brand,
-    lpad(CAST(p_partkey * 7919 + 8410000000000 AS STRING), 13, '0') AS barcode,
+    CASE WHEN length(CAST(p_partkey * 7919 + 8410000000000 AS STRING)) >= 13 THEN CAST(p_partkey * 7919 + 8410000000000 AS STRING) ELSE lpad(CAST(p_partkey * 7919 + 8410000000000 AS STRING), 13, '0') END AS barcode,
     CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_partkey * 37 % 3900 AS DOUBLE) END AS energy_kj,
     CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_partkey * 53 % 800 AS DOUBLE) / 10 END AS sugars,
     CAST(p_partkey * 29 % 900 AS DOUBLE) / 10 AS fat,

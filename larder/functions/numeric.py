@@ -52,7 +52,8 @@ def half_up(v: Column, digits: int = 0) -> Column:
 
 
 def clamp(v: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v))
+    """NULL stays NULL; ``least`` and ``greatest`` alone would skip it."""
+    return F.when(v.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v)))
 
 
 def count_true(conditions: list[Column]) -> Column:

@@ -50,7 +50,7 @@ def seals(kcal: Column, sodium_mg: Column, sugars_free: Column, fat: Column, sat
             (estimated if name == "free-sugars" else F.lit(False)).alias("estimated"),
         ))
     rows.append(F.struct(
-        F.lit("sweeteners").alias("id"), sweetened.alias("exceeded"),
+        F.lit("sweeteners").alias("id"), F.coalesce(sweetened, F.lit(False)).alias("exceeded"),
         F.lit(None).cast("double").alias("actual"), F.lit(0.0).alias("threshold"),
         F.lit(False).alias("estimated"),
     ))

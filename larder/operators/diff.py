@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.operators.latest import latest_per_key
 from larder.schema import shared_columns
@@ -79,7 +79,35 @@ def compact_chain(deltas: DataFrame, key: list[str], step: str) -> DataFrame:
     return last.join(asked, key).withColumn("fts", F.when(F.col("op") == "u", F.col("_fts"))).drop("_fts")
 
 
-def apply_chain(base: DataFrame, deltas: DataFrame, cache: DataFrame, key: list[str], columns: list[str], step: str) -> tuple[DataFrame, DataFrame]:
-    """Base after all deltas, and the cache without the keys they touched. One pass, not one per delta."""
-    merged = compact_chain(deltas, key, step)
+def check_links(links: DataFrame, bases: DataFrame) -> DataFrame:
+    """Links that must not be applied, with the reason.
+
+    ``links``: country, part, step, from, to; ``bases``: country, part, version that is held. A link needs a
+    base of its own country and part, and starts where the step before it ended, the first one at the base.
+    """
+    key = ["country", "part"]
+    before = Window.partitionBy(*key).orderBy("step")  # a part keeps few deltas
+    ahead = links.withColumn("_before", F.lag("to").over(before)).withColumn("_first", F.row_number().over(before) == 1)
+    held = ahead.join(bases.select(*key, "version", F.lit(True).alias("_held")), key, "left")
+    start = F.when(F.col("_first"), F.col("version")).otherwise(F.col("_before"))
+    reason = F.when(F.col("_held").isNull(), "no-base").when(~F.col("from").eqNullSafe(start), "wrong-start")
+    return held.withColumn("reason", reason).filter("reason IS NOT NULL").select(*key, "step", "from", "to", "reason")
+
+
+def applicable_links(links: DataFrame, bases: DataFrame) -> DataFrame:
+    """Links up to the first one of each part that must not be applied."""
+    key = ["country", "part"]
+    broken = check_links(links, bases).groupBy(*key).agg(F.min("step").alias("_stop"))
+    return links.join(broken, key, "left").filter(F.col("_stop").isNull() | (F.col("step") < F.col("_stop"))).select(*links.columns)
+
+
+def apply_chain(base: DataFrame, deltas: DataFrame, cache: DataFrame, key: list[str], columns: list[str], step: str,
+                links: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Base after all deltas, and the cache without the keys they touched. One pass, not one per delta.
+
+    ``links`` names each delta's country, part, step, from and to, ``bases`` the version held of each part.
+    A delta whose link doesn't fit is refused, and so are those after it.
+    """
+    fits = applicable_links(links, bases).select("country", "part", F.col("step").alias(step))
+    merged = compact_chain(deltas.join(fits, ["country", "part", step], "left_semi"), key, step)
     return apply_delta(base, merged, key, columns), drop_keys(cache, merged, key)

@@ -226,7 +226,7 @@ def with_published_components(docs: DataFrame) -> DataFrame:
     has = F.size("published") > 0
     stated = lambda name: num_signed(F.try_element_at("published", F.lit(name))["value"])
     sweet = F.when(has, num_signed(F.try_element_at("published", F.lit("non_nutritive_sweeteners"))["points"]) > 0).otherwise(
-        F.exists("additives", lambda t: F.lower(t).isin(ns.NON_NUTRITIVE_SWEETENERS)))
+        F.exists(F.coalesce("additives", F.array().cast("array<string>")), lambda t: F.lower(t).isin(ns.NON_NUTRITIVE_SWEETENERS)))
     computed = ns.with_inputs(rows, F.col("energy_kj"), F.col("salt"), {n: F.col(n) for n in ns.COMPUTED_FROM}, sweet)
     names = {"energy": "energy", "energy_from_saturated_fat": "energy_from_saturated_fat", "sugars": "sugars",
              "saturated_fat": "saturated_fat", "saturated_fat_ratio": "saturated_fat_ratio", "salt": "salt",

@@ -6,17 +6,11 @@ array of tags. Each step adds columns, so that generated methods stay below the
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions import additives as add, health, nova, nutriscore as ns, paho
 from larder.functions.numeric import KJ_PER_KCAL, bounded, half_up
-from larder.session import broadcast_checked, settle, small_enough
-
-#: Up to this many entries the additive dimension travels as one map instead of a join.
-MAP_ENTRIES = 4096
-
+from larder.session import settle
 
 # ---------------------------------------------------------------- additives
 
@@ -37,7 +31,7 @@ def assess_additives(products: DataFrame, dim: DataFrame) -> DataFrame:
     """One row per product and additive; a tag outside the dimension gets the no-data step."""
     tags = products.select("barcode", F.posexplode("additives").alias("pos", "tag"))
     known = additive_steps(dim).withColumnRenamed("tag", "key")
-    joined = tags.join(broadcast_checked(known), F.lower("tag") == F.col("key"), "left")
+    joined = tags.join(F.broadcast(known), F.lower("tag") == F.col("key"), "left")
     return joined.select(
         "barcode", "pos", "tag",
         F.coalesce("name", F.upper(F.regexp_replace("tag", "^en:", ""))).alias("name"),
@@ -54,21 +48,21 @@ def _entry() -> Column:
                     F.col("marker_class").isNotNull().alias("marker"))
 
 
+def listed() -> Column:
+    """The tags of a product; a missing list means no additives."""
+    return F.coalesce(F.col("additives"), F.array().cast("array<string>"))
+
+
 def with_additive_summary(products: DataFrame, dim: DataFrame) -> DataFrame:
-    """Adds ``points`` (penalty per tag), ``high_risk``, ``banned``, ``sweetened``, ``additive_marker``."""
-    steps = additive_steps(dim)
-    if small_enough(dim, MAP_ENTRIES):
-        packed = steps.agg(F.map_from_entries(F.collect_list(F.struct(F.col("tag"), _entry().alias("v")))).alias("known"))
-        rows = products.crossJoin(F.broadcast(packed))
-        hits = F.transform("additives", lambda t: F.try_element_at(F.col("known"), F.lower(t)))
-        rows = rows.withColumn("hits", hits).drop("known")
-    else:
-        tags = products.select("barcode", F.explode("additives").alias("tag"))
-        found = (tags.join(steps.select(F.col("tag").alias("key"), _entry().alias("v")),
-                           F.lower("tag") == F.col("key"), "left")
-                 .groupBy("barcode").agg(F.collect_list(F.struct("v")).alias("vs"))
-                 .select("barcode", F.transform("vs", lambda x: x["v"]).alias("hits")))
-        rows = products.join(found, "barcode", "left").withColumn("hits", F.coalesce("hits", F.array()))
+    """Adds ``points`` (penalty per tag), ``high_risk``, ``banned``, ``sweetened``, ``additive_marker``.
+
+    The dimension has one row an E number, so it is bounded by the numbering scheme and travels as one
+    map: rows are neither shuffled nor regrouped, and a barcode may occur more than once.
+    """
+    packed = additive_steps(dim).agg(F.map_from_entries(F.collect_list(F.struct(F.col("tag"), _entry().alias("v")))).alias("known"))
+    rows = products.crossJoin(F.broadcast(packed)).withColumn("additives", listed())
+    hits = F.transform("additives", lambda t: F.try_element_at(F.col("known"), F.lower(t)))
+    rows = rows.withColumn("hits", hits).drop("known")
     tally = lambda name: F.size(F.filter("hits", lambda h: h[name]))
     return (rows.withColumn("points", F.transform("hits", lambda h: F.coalesce(h["penalty"], F.lit(add.NO_DATA_POINTS))))
             .withColumn("high_risk", tally("high")).withColumn("banned", tally("banned"))
@@ -95,7 +89,7 @@ def with_points(products: DataFrame) -> DataFrame:
     energy = F.coalesce(bounded(F.col("energy_kj"), "kJ"), bounded(bounded(F.col("energy_kcal"), "kcal") * KJ_PER_KCAL, "kJ"))
     salt = F.coalesce(g("salt"), bounded(bounded(F.col("sodium") / 1000, "g") * 2.5, "g"))
     values = {name: bounded(F.col(name), unit) for name, unit in ns.COMPUTED_FROM.items()}
-    sweet = F.exists("additives", lambda t: F.lower(t).isin(ns.NON_NUTRITIVE_SWEETENERS))
+    sweet = F.exists(listed(), lambda t: F.lower(t).isin(ns.NON_NUTRITIVE_SWEETENERS))
     return with_point_struct(ns.with_inputs(products, energy, salt, values, sweet))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.operators.diff import changes
 from larder.operators.prefix import top_n_per_group
@@ -50,6 +50,12 @@ def keep_last(deltas: DataFrame, n: int = KEEP) -> DataFrame:
     return top_n_per_group(deltas, ["country", "part"], ["to"], n, descending={"to"}).drop("rank")
 
 
+def one_per_start(deltas: DataFrame) -> DataFrame:
+    """One link for each start of a part: of republished ones the last, by its target and then its size."""
+    return deltas.groupBy("country", "part", "from").agg(F.max(F.struct("to", "bytes")).alias("_last")).select(
+        "country", "part", "from", "_last.to", "_last.bytes")
+
+
 def walk_chains(starts: DataFrame, deltas: DataFrame) -> DataFrame:
     """Follow ``from`` to ``to`` from the local to the published version of each part.
 
@@ -60,6 +66,7 @@ def walk_chains(starts: DataFrame, deltas: DataFrame) -> DataFrame:
     rounds. The published version has no way out, so every whole chain ends there; a cycle never does.
     """
     key = ["country", "part"]
+    deltas = one_per_start(deltas)
     goal = starts.select(*key, F.col("published").alias("at"))
     jump = deltas.select(*key, F.col("from").alias("at"), F.col("to").alias("next"), F.col("bytes").cast("double").alias("bytes"),
                          F.lit(1).alias("steps")).join(goal, [*key, "at"], "left_anti")
@@ -108,8 +115,3 @@ def sync_cost(plans: DataFrame) -> DataFrame:
     known = plans.filter(~F.coalesce(F.col("reason") == "no-published-version", F.lit(False)))
     return known.filter(F.col("kind") != "up-to-date").groupBy("kind").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("transfer").alias("transfer"), F.max("steps").alias("longest_chain"))
-
-
-def check_links(deltas: DataFrame, country: str, version: Column) -> DataFrame:
-    """Deltas that must not be applied: of another country, or not starting where the base stands."""
-    return deltas.filter((F.col("country") != country) | ~F.col("from").eqNullSafe(version))

@@ -198,16 +198,16 @@ def snapshot_products(spark: SparkSession, sf: str) -> DataFrame:
 i AS (SELECT k, barcode, is_beverage, is_water, is_cheese, is_fat_oil_nuts_seeds, is_red_meat, kj AS energy_kj, sugars, fat, sat AS saturated_fat, salt, fvl, fiber, proteins
   FROM (SELECT f.k, f.code AS barcode, is_beverage, is_water, is_cheese, is_fat_oil_nuts_seeds, is_red_meat,
     CASE WHEN pub THEN comp_energy ELSE d.kj END AS kj, CASE WHEN NOT pub THEN d.sugars END AS sugars, CASE WHEN NOT pub THEN d.fat END AS fat,
-    CASE WHEN pub THEN comp_sat ELSE d.sat END AS sat, CASE WHEN NOT pub THEN d.salt END AS salt, CASE WHEN NOT pub THEN d.fvl END AS fvl,
+    -- what the fats category takes instead of energy and saturated fat isn't published here
+    CASE WHEN NOT pub THEN d.sat WHEN NOT coalesce(is_fat_oil_nuts_seeds, false) THEN comp_sat END AS sat, CASE WHEN NOT pub THEN d.salt END AS salt, CASE WHEN NOT pub THEN d.fvl END AS fvl,
     CASE WHEN NOT pub THEN d.fiber END AS fiber, CASE WHEN NOT pub THEN d.proteins END AS proteins, pub
     FROM (SELECT *, comp_energy IS NOT NULL OR comp_sat IS NOT NULL AS pub FROM flags) f LEFT JOIN der d USING (k))),
 s AS ({nutri_sql('i')}),
--- published values of the fats category are stated apart and absent here
-t AS (SELECT barcode, score, grade, neg FROM s WHERE NOT f)
+t AS (SELECT barcode, score, grade, neg FROM s)
 SELECT barcode, score::INT AS score, grade, neg::INT AS negative_points FROM t""")
 def published_nutriscore(spark: SparkSession, sf: str) -> DataFrame:
     rows = catalog.with_published_components(dump.in_countries(docs(spark, sf), WANTED))
-    scored = scoring.with_score(scoring.with_point_struct(rows)).filter("NOT is.fats")
+    scored = scoring.with_score(scoring.with_point_struct(rows))
     return scored.select("barcode", F.col("nutri_score").alias("score"), F.col("nutri_grade").alias("grade"), "negative_points")
 
 

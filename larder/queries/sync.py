@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder.binding import load
 from larder.operators import diff
@@ -16,13 +16,13 @@ from larder.sources import delta_files
 COLUMNS = ["name", "price", "brands"]
 INDEX = ["name", "brands"]
 KEY = ["country", "part", "barcode"]
-_CUT = "0000000700"
+_CUT = "0000000000000000700"
 
 # Two generations of a catalogue: the old one lacks every 20th key and has other prices and names
 # here and there, the new one has lost every 17th key.
-_GENERATIONS = """base AS (SELECT o_orderpriority AS country, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS barcode, o_orderkey AS k,
+_GENERATIONS = """base AS (SELECT o_orderpriority AS country, lpad(CAST(o_orderkey AS VARCHAR), 19, '0') AS barcode, o_orderkey AS k,
     o_orderstatus AS brands, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'order ' || o_orderstatus END AS name, o_totalprice AS price FROM orders),
-parted AS (SELECT *, CASE WHEN barcode < '0000000700' THEN 1 ELSE 2 END AS part FROM base),
+parted AS (SELECT *, CASE WHEN barcode < '0000000000000000700' THEN 1 ELSE 2 END AS part FROM base),
 n AS (SELECT country, part, barcode, name, price, brands FROM parted WHERE k % 17 <> 0),
 o AS (SELECT country, part, barcode, CASE WHEN k % 11 = 0 THEN 'old' ELSE name END AS name, CASE WHEN k % 13 = 0 THEN price + 1 ELSE price END AS price, brands
   FROM parted WHERE k % 20 <> 0),
@@ -36,7 +36,7 @@ ch AS (SELECT CASE WHEN n.barcode IS NULL THEN 'd' ELSE 'u' END AS op,
 def generations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("o_orderkey")
     base = load(spark, sf, "orders").select(
-        F.col("o_orderpriority").alias("country"), F.lpad(k.cast("string"), 10, "0").alias("barcode"), k.alias("k"),
+        F.col("o_orderpriority").alias("country"), F.lpad(k.cast("string"), 19, "0").alias("barcode"), k.alias("k"),
         F.when(k % 29 != 0, F.concat(F.lit("order "), "o_orderstatus")).alias("name"), F.col("o_totalprice").alias("price"),
         F.col("o_orderstatus").alias("brands")).withColumn("part", F.when(F.col("barcode") < _CUT, 1).otherwise(2))
     new = base.filter(F.col("k") % 17 != 0).select(*KEY, *COLUMNS)
@@ -114,10 +114,10 @@ def delta_interchange(spark: SparkSession, sf: str) -> DataFrame:
     return delta_files.read_delta(spark, path, _SCHEMA)[1]
 
 
-_CHAIN = """steps AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_custkey % 10 < 6),
-entries AS (SELECT 'c' || c AS country, CASE c % 5 WHEN 0 THEN NULL WHEN 1 THEN 'v' || lpad(max(i)::VARCHAR, 3, '0') ELSE 'v001' END AS local,
-    CASE WHEN c % 7 <> 0 THEN 'v' || lpad(max(i)::VARCHAR, 3, '0') END AS published, sum(price) * 3 AS bytes FROM steps GROUP BY c),
-links AS (SELECT 'c' || c AS country, 'v' || lpad((i - 1)::VARCHAR, 3, '0') AS f, 'v' || lpad(i::VARCHAR, 3, '0') AS t, price AS bytes FROM steps WHERE i > 1 AND k % 31 <> 0)"""
+_CHAIN = """steps AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+entries AS (SELECT 'c' || c AS country, CASE c % 5 WHEN 0 THEN NULL WHEN 1 THEN 'v' || lpad(max(i)::VARCHAR, 12, '0') ELSE 'v000000000001' END AS local,
+    CASE WHEN c % 7 <> 0 THEN 'v' || lpad(max(i)::VARCHAR, 12, '0') END AS published, sum(price) * 3 AS bytes FROM steps GROUP BY c),
+links AS (SELECT 'c' || c AS country, 'v' || lpad((i - 1)::VARCHAR, 12, '0') AS f, 'v' || lpad(i::VARCHAR, 12, '0') AS t, price AS bytes FROM steps WHERE i > 1 AND k % 31 <> 0)"""
 _WALK = """RECURSIVE {chain}, walk AS (SELECT country, local AS at, published, 0 AS steps, 0.0::DOUBLE AS b FROM entries WHERE local IS NOT NULL AND published IS NOT NULL
   UNION ALL SELECT w.country, l.t, w.published, steps + 1, b + l.bytes FROM walk w JOIN links l ON l.country = w.country AND l.f = w.at WHERE w.at <> w.published),
 plans AS (SELECT e.country, 1 AS part, CASE WHEN e.local IS NULL THEN 'no-local-version' WHEN e.published IS NULL THEN 'no-published-version' WHEN e.local = e.published THEN NULL
@@ -127,20 +127,21 @@ p AS (SELECT country, part, CASE WHEN reason IS NOT NULL THEN 'full' WHEN same T
 q AS (SELECT country, part, kind, reason, CASE WHEN kind = 'deltas' THEN steps ELSE 0 END::INT AS steps, CASE kind WHEN 'deltas' THEN b WHEN 'full' THEN bytes ELSE 0.0 END AS transfer FROM p)""".replace("{chain}", _CHAIN)
 
 
-def _chain_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _chain_tables(spark: SparkSession, sf: str, *flags: str) -> tuple[DataFrame, DataFrame]:
     """Each customer is a catalogue and each order a version of it; some links are missing."""
     from larder.operators.prefix import with_running
 
-    rows = load(spark, sf, "orders").filter(F.col("o_custkey") % 10 < 6).select("o_custkey", "o_orderkey", "o_totalprice")
+    rows = load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     steps = with_running(rows, ["o_custkey"], ["o_orderkey"])
-    name = lambda c: F.concat(F.lit("v"), F.lpad(c.cast("string"), 3, "0"))
+    name = lambda c: F.concat(F.lit("v"), F.lpad(c.cast("string"), 12, "0"))
     country = F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("country")
     links = steps.filter((F.col("rank") > 1) & (F.col("o_orderkey") % 31 != 0)).select(
-        country, F.lit(1).alias("part"), name(F.col("rank") - 1).alias("from"), name(F.col("rank")).alias("to"), F.col("o_totalprice").alias("bytes"))
+        country, F.lit(1).alias("part"), name(F.col("rank") - 1).alias("from"), name(F.col("rank")).alias("to"), F.col("o_totalprice").alias("bytes"),
+        *[(F.col("o_orderkey") % 4 == 0).alias(f) for f in flags])
     last = name(F.max("rank"))
     c = F.col("o_custkey")
     entries = steps.groupBy("o_custkey").agg(last.alias("last"), F.sum("o_totalprice").alias("total")).select(
-        country, F.lit(1).alias("part"), F.when(c % 5 == 1, F.col("last")).when(c % 5 != 0, F.lit("v001")).alias("local"),
+        country, F.lit(1).alias("part"), F.when(c % 5 == 1, F.col("last")).when(c % 5 != 0, F.lit("v000000000001")).alias("local"),
         F.when(c % 7 != 0, F.col("last")).alias("published"), (F.col("total") * 3).alias("bytes"))
     return entries, links
 
@@ -150,6 +151,15 @@ def sync_plans(spark: SparkSession, sf: str) -> DataFrame:
     return sync.plan_sync(*_chain_tables(spark, sf)).withColumn("transfer", F.round("transfer", 4))
 
 
+@query("republished_plans", f"WITH {_WALK} SELECT country, part, kind, reason, steps, round(transfer, 4) AS transfer FROM q".replace(
+    "price AS bytes FROM steps", "price + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS bytes FROM steps"))
+def republished_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth link was published twice; the last one counts, once."""
+    entries, links = _chain_tables(spark, sf, "again")
+    twice = links.filter("again").withColumn("bytes", F.col("bytes") + 1)
+    return sync.plan_sync(entries, links.unionByName(twice).drop("again")).withColumn("transfer", F.round("transfer", 4))
+
+
 @query("sync_cost", f"""WITH {_WALK} SELECT kind, count(*) AS parts, round(sum(transfer), 3) AS transfer, max(steps) AS longest_chain FROM q
   WHERE kind <> 'up-to-date' AND reason IS DISTINCT FROM 'no-published-version' GROUP BY kind""")
 def sync_cost(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +189,30 @@ def chain_applied(spark: SparkSession, sf: str) -> DataFrame:
         "name", F.when(F.col("barcode").endswith("3"), F.concat("name", F.lit(" x"))).otherwise(F.col("name")))
     first = diff.changes(new, old, KEY, COLUMNS, INDEX).withColumn("step", F.lit(1))
     second = diff.changes(third, new, KEY, COLUMNS, INDEX).withColumn("step", F.lit(2))
-    return diff.apply_chain(old, first.unionByName(second), old.limit(0), KEY, COLUMNS, "step")[0].select("barcode", "name", "price")
+    return diff.apply_chain(old, first.unionByName(second), old.limit(0), KEY, COLUMNS, "step", *_links(new, 2))[0].select("barcode", "name", "price")
+
+
+def _links(rows: DataFrame, steps: int, start: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links v1 to v2, v2 to v3 ... of every part, and v1 as the version that is held."""
+    parts = rows.select("country", "part").distinct()
+    number = lambda k: F.concat(F.lit("v"), (F.col("step") + k).cast("string"))
+    links = parts.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    return links.select("country", "part", "step", F.coalesce(start, number(0)) if start is not None else number(0).alias("from"), number(1).alias("to")).toDF(
+        "country", "part", "step", "from", "to"), parts.withColumn("version", F.lit("v1"))
+
+
+@query("chain_refused", f"""WITH {_GENERATIONS}, later AS (SELECT * FROM n WHERE barcode NOT LIKE '%7'), third AS (SELECT country, part, barcode, CASE WHEN barcode LIKE '%3' THEN name || ' x' ELSE name END AS name, price FROM later)
+SELECT country, barcode, name, price FROM third WHERE country NOT IN ('2-HIGH', '5-LOW')
+UNION ALL SELECT country, barcode, name, price FROM n WHERE country = '2-HIGH' UNION ALL SELECT country, barcode, name, price FROM o WHERE country = '5-LOW'""")
+def chain_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """The second delta of one country starts elsewhere, another country's base isn't held."""
+    old, new = generations(spark, sf)
+    third = new.filter(~F.col("barcode").endswith("7")).withColumn(
+        "name", F.when(F.col("barcode").endswith("3"), F.concat("name", F.lit(" x"))).otherwise(F.col("name")))
+    deltas = diff.changes(new, old, KEY, COLUMNS, INDEX).withColumn("step", F.lit(1)).unionByName(
+        diff.changes(third, new, KEY, COLUMNS, INDEX).withColumn("step", F.lit(2)))
+    links, bases = _links(new, 2, F.when((F.col("country") == "2-HIGH") & (F.col("step") == 2), "v9"))
+    return diff.apply_chain(old, deltas, old.limit(0), KEY, COLUMNS, "step", links, bases.filter("country <> '5-LOW'"))[0].select("country", "barcode", "name", "price")
 
 
 @query("cache_after_delta", f"WITH {_GENERATIONS} SELECT barcode FROM o WHERE barcode NOT IN (SELECT barcode FROM ch)")
@@ -187,7 +220,7 @@ def cache_after_delta(spark: SparkSession, sf: str) -> DataFrame:
     """Cached rows that a delta did not touch stay valid."""
     old, new = generations(spark, sf)
     delta = diff.changes(new, old, KEY, COLUMNS, INDEX).withColumn("step", F.lit(1))
-    return diff.apply_chain(old, delta, old.select(*KEY), KEY, COLUMNS, "step")[1].select("barcode")
+    return diff.apply_chain(old, delta, old.select(*KEY), KEY, COLUMNS, "step", *_links(old.unionByName(new), 1))[1].select("barcode")
 
 
 @query("pending_changes", """SELECT 'changes_' || f::VARCHAR || '_' || t::VARCHAR || '.json.gz' AS path, f AS "from", t AS "to"

@@ -68,7 +68,7 @@ SELECT k, name, brand, barcode,
   1700000000 + k AS modified, k * 101 % 10007 AS popularity,
   1600000000 + k % 7 AS ocr_time
 FROM (SELECT p_partkey AS k, p_name AS name, p_brand AS brand,
-        lpad(CAST(p_partkey * 7919 + 8410000000000 AS STRING), 13, '0') AS barcode FROM part) source
+        CASE WHEN length(CAST(p_partkey * 7919 + 8410000000000 AS STRING)) >= 13 THEN CAST(p_partkey * 7919 + 8410000000000 AS STRING) ELSE lpad(CAST(p_partkey * 7919 + 8410000000000 AS STRING), 13, '0') END AS barcode FROM part) source
 """
 
 

@@ -207,14 +207,32 @@ def test_scores_stay_in_range_and_ranges_contain_them(spark):
     assert bad.count() == 0
 
 
-def test_additive_join_path_equals_map_path(spark, monkeypatch):
+def test_absent_additives_count_as_none_and_barcodes_may_repeat(spark):
     from larder.binding import additive_dim, products
 
     parts, dim = products(spark, "/root/testdata/sf0.001"), additive_dim(spark)
-    pick = lambda df: {(r.barcode, round(r.additive_total, 9), r.banned, r.sweetened) for r in df.collect()}
-    as_map = pick(scoring.with_additive_block(parts, dim))
-    monkeypatch.setattr(scoring, "MAP_ENTRIES", 1)
-    assert pick(scoring.with_additive_block(parts, dim)) == as_map
+    absent = parts.filter("additives IS NULL")
+    assert absent.count() > 0
+    rows = scoring.with_health(absent, dim).select("high_risk", "banned", "sweetened", "additive_score", "seals").distinct().collect()
+    assert all(r.high_risk == 0 and r.banned == 0 and r.sweetened is False and r.additive_score == 100 and r.seals is not None for r in rows)
+    seals = scoring.seal_rows(absent, dim).filter("id = 'sweeteners'").select("exceeded").distinct().collect()
+    assert [r.exceeded for r in seals] == [False]
+    pick = lambda df: sorted((r.barcode, round(r.additive_total, 9), r.banned) for r in df.collect())
+    once = pick(scoring.with_additive_block(parts, dim))
+    assert pick(scoring.with_additive_block(parts.unionByName(parts), dim)) == sorted(once * 2)
+
+
+def test_clamp_keeps_null(spark):
+    from larder.functions.numeric import clamp
+
+    rows = spark.createDataFrame([(None,), (-3.0,), (7.0,), (200.0,)], "v double").select(clamp(F.col("v"), 0, 100).alias("v")).collect()
+    assert [r.v for r in rows] == [None, 0.0, 7.0, 100.0]
+
+
+def test_markers_are_quoted_in_the_order_of_the_lexicon(spark):
+    text = "Modified Starch, Sodium Caseinate, high-fructose corn syrup"
+    row = spark.createDataFrame([(text,)], "t string").select(nova.text_markers(F.col("t")).alias("m")).first()
+    assert row.m == ["high-fructose", "corn syrup", "Modified Starch", "Caseinate", "Caseinat"]
 
 
 # ---------------------------------------------------------------- evidence texts
