@@ -15,12 +15,14 @@ chance of 2e-6.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.llm.arrays import Words, mix, pieces, window_hashes, window_starts
-from larder.session import cut_lineage
+from larder.session import checkpoint_root, cut_lineage
 
 SHINGLE = 5
 BANDS, ROWS = 48, 5
@@ -125,6 +127,13 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again; columns of texts take less room there than in a checkpoint."""
+    folder = f"{checkpoint_root(df.sparkSession).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each end of a link can reach.
 
@@ -156,24 +165,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sets = signed.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("id", "bands", "bits")).alias("s")).select("k1", "k2", "s.*")
     sets = cut_lineage(sets)
     # Different sets under one id are linked by that id.
-    members = sets.select("id", "bits", F.explode("bands").alias("band"))
+    members = sets.select("id", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    met = members.join(hubs, "band").select("id", F.explode(F.array("low", "high")).alias("hub")).filter("id <> hub")
-    met = met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    shared = cut_lineage(members.join(hubs, "band"))
+    # Texts of whatever stands in a bucket with others; both rounds of links read them.
+    texts = _stored(rows.join(shared.select("id").distinct(), "id", "left_semi"))
     bits = sets.select("id", "bits")
     least = (percent / 100) * 2 / 3
-    likely = (met.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a")
-              .join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
-              .filter(estimate(F.col("bits_a"), F.col("bits_b")) >= least).select("a", "b"))
-    texts = rows.join(sets.select("id"), "id", "left_semi")
+
+    met = shared.select("id", F.explode(F.array("low", "high")).alias("hub")).filter("id <> hub")
+    met = met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    guess = (met.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a")
+             .join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
+             .select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("e")).filter(F.col("e") >= least))
+    # Two hubs a document are enough here: the likeliest and the smallest. What they leave apart is compared below.
+    likely = guess.groupBy("a").agg(F.array_distinct(F.array(F.max_by("b", "e"), F.min("b"))).alias("b")).select("a", F.explode("b").alias("b"))
     links = cut_lineage(_links(likely, texts, percent))
     labels = components(links)
 
     # Buckets in which more than one component is left: everything outside the largest meets the rest.
-    open_ = cut_lineage(members.join(hubs.select("band"), "band").join(labels, "id", "left").select("band", "id", "bits", F.coalesce("label", "id").alias("label")))
-    sizes = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    labelled = shared.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("band", F.col("m.label").alias("most"))
-    rest = open_.join(largest, "band")
+    rest = cut_lineage(labelled.join(largest, "band").join(bits, "id"))
     out = rest.filter("label <> most").select("band", F.col("id").alias("a"), F.col("bits").alias("bits_a"), F.col("label").alias("label_a"))
     other = rest.select("band", F.col("id").alias("b"), F.col("bits").alias("bits_b"), F.col("label").alias("label_b"), "most")
     meets = ((out["band"] == other["band"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("most")) | (F.col("a") > F.col("b")))
