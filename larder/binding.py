@@ -110,7 +110,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.functions.text import split_tags
 
     view = spark.sql(PRODUCTS_SQL.replace("FROM part)", "FROM {part})"), part=load(spark, sf_dir, "part"))
-    return view.withColumn("additives", split_tags(F.col("additives_text"))).drop("additives_text")
+    return view.withColumn("additives", F.when(F.col("additives_text").isNotNull(), split_tags(F.col("additives_text")))).drop("additives_text")
 
 
 def additive_dim(spark: SparkSession) -> DataFrame:

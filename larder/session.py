@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,16 +32,18 @@ def build_session(app: str = "larder", master: str | None = None, **conf: str) -
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and hand-over tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    is a local folder made up.
+    A cluster names it in ``spark.checkpoint.dir``. Only on one machine, where that is unset (tests), a
+    folder is made up, and removed when Python ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
     return root
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from larder.functions import categories, codes, cosmetics, health, numeric, nutriscore as ns, text, units
+from larder.functions import categories, codes, cosmetics, health, nova, numeric, nutriscore as ns, text, units
 from larder.plans import catalog, evidence, normalize, scoring, toxicology
 from larder.sources import dump, regulation
 
