@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder.functions.text import fold
 from larder.operators.diff import drop_keys
@@ -24,13 +24,16 @@ def tokens(c: Column) -> Column:
 def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(token, key, tf, length): one row per word and document, length being the words of all columns.
 
-    Grouped by document and word, so a word that is everywhere is spread like the documents are; the
-    words of one document sit in one partition, where partial aggregation already counts them.
+    A document's words are in its row, so they are counted there: sorted, a word's count is the distance
+    from where its run begins to where the next one does. Nothing is shuffled.
     """
-    words = F.concat(*[tokens(F.col(c)) for c in columns])
-    rows = df.select(key, words.alias("_words"))
-    spread = rows.select(key, F.size("_words").alias("length"), F.explode("_words").alias("token"))
-    return spread.groupBy("token", key, "length").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("token", key, "tf", "length")
+    words = F.sort_array(F.concat(*[tokens(F.col(c)) for c in columns]))
+    rows = df.select(key, words.alias("_words")).filter(F.size("_words") > 0)
+    run = lambda i: (i == 0) | (F.get(F.col("_words"), i) != F.get(F.col("_words"), i - 1))
+    rows = rows.select(key, "_words", F.size("_words").alias("length"), F.filter(F.sequence(F.lit(0), F.size("_words") - 1), run).alias("_starts"))
+    counted = F.transform("_starts", lambda at, i: F.struct(
+        F.get(F.col("_words"), at).alias("token"), (F.coalesce(F.get(F.col("_starts"), i + 1), F.col("length")) - at).alias("tf")))
+    return rows.select(key, "length", F.inline(counted)).select("token", key, "tf", "length")
 
 
 def write_postings(rows: DataFrame, path: str) -> None:
@@ -40,6 +43,17 @@ def write_postings(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(path)
 
 
+def write_index(rows: DataFrame, key: str, path: str) -> None:
+    """Postings and, in one row, what a ranking needs to know of the whole collection."""
+    write_postings(rows, f"{path}/postings")
+    stored = rows.sparkSession.read.parquet(f"{path}/postings")
+    collection_stats(stored, key).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
 def parse_query(text: str) -> list[tuple[str, bool]]:
     """Query words, and whether each is a prefix: only the last one is. Quotes are dropped."""
     import re

@@ -176,10 +176,11 @@ def dump_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = f"{checkpoint_root(spark)}/dump-{uuid.uuid4().hex}"
-        raw_documents(spark, sf_dir).select("value").write.option("compression", "gzip").text(path)
+        # Gzip can't be split, so the text is dealt out when it lands and then read as it lies.
+        raw_documents(spark, sf_dir).select("value").repartition(spark.sparkContext.defaultParallelism).write.option("compression", "gzip").text(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
 
 def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_dump(spark, dump_path(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    return read_dump(spark, dump_path(spark, sf_dir))

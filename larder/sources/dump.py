@@ -9,7 +9,7 @@ from larder.functions.codes import strip_prefix
 
 
 def read_dump(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Line JSON as text. Gzip cannot be split, so rows are spread right after the scan."""
+    """Line JSON as text. ``partitions`` spreads the rows of a single gzip file, which cannot be split."""
     lines = spark.read.text(path)
     return lines.repartition(partitions) if partitions else lines
 
