@@ -1,7 +1,8 @@
 """Relational normalisation of raw documents: one table per shape, and profiling.
 
 All tables start from ``documents`` (VARIANT column ``raw``) and carry ``code``. Nested shapes are
-opened by generators, so a table is one narrow pass without a shuffle; only first-wins keys shuffle.
+opened in the document's row, so a table is one narrow pass without a shuffle; only OCR halves, NOVA markers and
+distinct lists are grouped.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions.numeric import epoch_millis, num_tolerant, truthy, truthy_null
-from larder.operators.latest import first_per_key
 from larder.sources.dump import variant
 
 # Fields that exist in one variant per language.
@@ -79,6 +79,19 @@ def entries(docs: DataFrame, path: str = "$") -> DataFrame:
     return docs.select("code", F.inline(pairs))
 
 
+def inline_firsts(docs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Opens the structs of ``rows``; of several with the same keys in a document the first by ``order`` stays.
+
+    The keys live inside one document, so the row is sorted and nothing is shuffled.
+    """
+    names = [f.name for f in docs.schema["rows"].dataType.elementType]
+    first = [*keys, *order, *[n for n in names if n not in (*keys, *order)]]
+    ranked = docs.withColumn("rows", F.array_sort(F.transform("rows", lambda r: F.struct(*[r[n].alias(n) for n in first]))))
+    same = lambda r, i: F.forall(F.array(*[r[k].eqNullSafe(F.get(F.col("rows"), i - 1)[k]) for k in keys]), lambda x: x)
+    kept = F.filter("rows", lambda r, i: (i == 0) | ~same(r, i))
+    return ranked.select(*[c for c in docs.columns if c != "rows"], F.inline(kept)).select(*[c for c in docs.columns if c != "rows"], *names)
+
+
 def scalar_entries(docs: DataFrame) -> DataFrame:
     """Top-level scalars with text, OCR residue and derived fields left out."""
     rows = entries(docs).filter(~is_ocr_key(F.col("key")) & ~is_derived_key(F.col("key")))
@@ -105,7 +118,7 @@ def text_key(key: Column) -> Column:
     """Field and language of a text key; the first listed field that fits wins."""
     found = F.lit(None).cast("struct<field:string,lang:string>")
     for name in reversed(TEXT_FIELDS):
-        suffix = F.substring(key, len(name) + 2, 100)
+        suffix = F.substring(key, F.lit(len(name) + 2), F.length(key))
         found = F.when(key == name, F.struct(F.lit(name).alias("field"), F.lit("").alias("lang"))).when(
             key.startswith(name + "_") & suffix.rlike(LANG_SUFFIX), F.struct(F.lit(name).alias("field"), F.lower(suffix).alias("lang"))).when(
             key.startswith(name + "_"), F.lit(None)).otherwise(found)
@@ -167,48 +180,65 @@ def docs_ocr(docs: DataFrame) -> DataFrame:
 def docs_tags(docs: DataFrame) -> DataFrame:
     """Flat lists: (type, position, value)."""
     key = F.col("key")
-    lists = entries(docs).filter(is_array(F.col("value")) & ~key.isin(OWN_TABLES) & ~is_derived_key(key))
-    flat = lists.filter(~has_nested(F.col("value"), null_counts=False))
-    rows = flat.select("code", F.regexp_replace(key, "_tags$", "").alias("type"), F.posexplode(F.try_variant_get("value", "$", "array<string>")).alias("pos", "tag"))
-    return first_per_key(rows.withColumn("tag", text_of(F.col("tag"))).filter("tag IS NOT NULL"), ["code", "type", "pos"], ["tag"])
+    pairs = F.filter(F.map_entries(F.try_variant_get("raw", "$", "map<string,variant>")),
+                     lambda e: is_array(e["value"]) & ~e["key"].isin(OWN_TABLES) & ~is_derived_key(e["key"]) & ~has_nested(e["value"], null_counts=False))
+    listed = F.flatten(F.transform(pairs, lambda e: F.transform(
+        F.try_variant_get(e["value"], "$", "array<string>"),
+        lambda x, i: F.struct(F.regexp_replace(e["key"], "_tags$", "").alias("type"), i.alias("pos"), text_of(x).alias("tag")))))
+    # ``x`` and ``x_tags`` are one type, so a position may occur twice.
+    return inline_firsts(docs.select("code", F.filter(listed, lambda t: t["tag"].isNotNull()).alias("rows")), ["type", "pos"], ["tag"])
 
 
 # ---------------------------------------------------------------- nutrients and scores
 
 def docs_nutrients(docs: DataFrame) -> DataFrame:
-    """Nutrient values of four places in long form; the first one of each natural key stays."""
-    leaf = F.map_entries(F.try_variant_get("raw", "$.nutrition.aggregated_set.nutrients", "map<string,struct<value:string,value_computed:string,unit:string,source:string>>"))
-    v3 = docs.select("code", F.inline(leaf)).select(
-        "code", F.col("key").alias("nid"), num_tolerant(F.coalesce("value.value", "value.value_computed")).alias("value"),
-        text_of(F.col("value.unit")).alias("unit"), F.lit("100g").alias("base"), F.lit("aggregated_set").alias("origin"), text_of(F.col("value.source")).alias("source"), F.lit(False).alias("prepared"))
-    n = docs.select("code", F.try_variant_get("raw", "$.nutriments", "map<string,string>").alias("n"),
-                    F.when(variant("$.nutrition_data_per") == "serving", "serving").otherwise("100g").alias("per"))
-    fields = n.select("code", "per", "n", F.explode("n").alias("k", "v")).filter(~F.col("k").rlike("_(unit|label)$"))
-    clean = F.regexp_replace("k", "_prepared", "")
-    ends = lambda s: F.col("clean").endswith(s)
-    nid = F.regexp_replace("clean", "_(100g|serving|value)$", "")
-    base = F.when(ends("_100g"), "100g").when(ends("_serving"), "serving").when(ends("_value"), "declared").otherwise(F.col("per"))
-    unit = F.when(~ends("_100g") & ~ends("_serving"), text_of(F.try_element_at("n", F.concat(nid, F.lit("_unit")))))
-    plain = fields.withColumn("clean", clean).select(
-        "code", nid.alias("nid"), num_tolerant(F.col("v")).alias("value"), unit.alias("unit"), base.alias("base"),
-        F.when(ends("_100g"), "nutriments_100g").otherwise("nutriments_base").alias("origin"), F.lit(None).cast("string").alias("source"), F.col("k").contains("_prepared").alias("prepared"))
-    estimate = docs.select("code", F.explode(F.try_variant_get("raw", "$.nutriments_estimated", "map<string,string>")).alias("k", "v")).select(
-        "code", F.regexp_replace("k", "_100g$", "").alias("nid"), num_tolerant(F.col("v")).alias("value"), F.lit(None).cast("string").alias("unit"),
-        F.lit("100g").alias("base"), F.lit("estimated").alias("origin"), F.lit("estimate").alias("source"), F.lit(False).alias("prepared"))
-    comps = components(docs, "$.nutriscore_data").select(
-        "code", F.regexp_replace("id", "_", "-").alias("nid"), "value", "unit", F.lit("100g").alias("base"),
-        F.lit("nutriscore_data").alias("origin"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("prepared"))
-    rows = v3.unionByName(plain).unionByName(estimate).unionByName(comps).filter("value IS NOT NULL AND nid <> ''")
-    return first_per_key(rows, ["code", "nid", "base", "origin", "prepared"], ["unit", "value"])
+    """Nutrient values of four places in long form; the first one of each natural key stays.
+
+    All places are opened in the document's row: one scan, no shuffle.
+    """
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    row = lambda nid, value, unit, base, origin, source, prepared: F.struct(
+        nid.alias("nid"), value.alias("value"), unit.alias("unit"), base.alias("base"), origin.alias("origin"), source.alias("source"), prepared.alias("prepared"))
+    entries_of = lambda path, kind: F.coalesce(F.map_entries(F.try_variant_get("raw", path, kind)), F.map_entries(F.create_map().cast(kind)))
+    v3 = F.transform(
+        entries_of("$.nutrition.aggregated_set.nutrients", "map<string,struct<value:string,value_computed:string,unit:string,source:string>>"),
+        lambda e: row(e["key"], num_tolerant(F.coalesce(e["value"]["value"], e["value"]["value_computed"])), text_of(e["value"]["unit"]),
+                      F.lit("100g"), F.lit("aggregated_set"), text_of(e["value"]["source"]), no))
+
+    def plain(e: Column) -> Column:
+        clean = F.regexp_replace(e["key"], "_prepared", "")
+        ends = lambda s: clean.endswith(s)
+        nid = F.regexp_replace(clean, "_(100g|serving|value)$", "")
+        base = F.when(ends("_100g"), "100g").when(ends("_serving"), "serving").when(ends("_value"), "declared").otherwise(F.col("per"))
+        unit = F.when(~ends("_100g") & ~ends("_serving"), text_of(F.try_element_at("n", F.concat(nid, F.lit("_unit")))))
+        return row(nid, num_tolerant(e["value"]), unit, base, F.when(ends("_100g"), "nutriments_100g").otherwise("nutriments_base"), none, e["key"].contains("_prepared"))
+
+    stated = F.transform(F.filter(F.map_entries("n"), lambda e: ~e["key"].rlike("_(unit|label)$")), plain)
+    estimate = F.transform(entries_of("$.nutriments_estimated", "map<string,string>"), lambda e: row(
+        F.regexp_replace(e["key"], "_100g$", ""), num_tolerant(e["value"]), none, F.lit("100g"), F.lit("estimated"), F.lit("estimate"), no))
+    comps = F.transform(F.filter(component_list("$.nutriscore_data"), lambda c: c["c"]["id"].isNotNull()), lambda c: row(
+        F.regexp_replace(c["c"]["id"], "_", "-"), num_tolerant(c["c"]["value"]), text_of(c["c"]["unit"]), F.lit("100g"), F.lit("nutriscore_data"), none, no))
+    kind = "array<struct<nid:string,value:double,unit:string,base:string,origin:string,source:string,prepared:boolean>>"
+    opened = docs.select("code", "raw", F.coalesce(F.try_variant_get("raw", "$.nutriments", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("n"),
+                         F.when(variant("$.nutrition_data_per") == "serving", "serving").otherwise("100g").alias("per"))
+    rows = F.concat(*[x.cast(kind) for x in (v3, stated, estimate, comps)])
+    rows = F.filter(rows, lambda r: r["value"].isNotNull() & (r["nid"] != ""))
+    return inline_firsts(opened.select("code", rows.alias("rows")), ["nid", "base", "origin", "prepared"], ["unit", "value"]).select(
+        "code", "nid", "value", "unit", "base", "origin", "source", "prepared")
 
 
 _COMPONENT = "array<struct<id:string,value:string,unit:string,points:string,points_max:string>>"
 
 
-def components(docs: DataFrame, path: str) -> DataFrame:
+def component_list(path: str) -> Column:
+    """Components of both sides as (side, c)."""
     side = lambda s: F.transform(F.coalesce(F.try_variant_get("raw", f"{path}.components.{s}", _COMPONENT), F.array().cast(_COMPONENT)),
                                  lambda c: F.struct(F.lit(s).alias("side"), c.alias("c")))
-    rows = docs.select("code", F.inline(F.concat(side("negative"), side("positive")))).filter("c.id IS NOT NULL")
+    return F.concat(side("negative"), side("positive"))
+
+
+def components(docs: DataFrame, path: str) -> DataFrame:
+    rows = docs.select("code", F.inline(component_list(path))).filter("c.id IS NOT NULL")
     return rows.select("code", "side", "c.id", num_tolerant(F.col("c.value")).alias("value"), text_of(F.col("c.unit")).alias("unit"),
                        num_tolerant(F.col("c.points")).alias("points"), num_tolerant(F.col("c.points_max")).alias("points_max"))
 
@@ -240,25 +270,37 @@ def docs_scores(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---------------------------------------------------------------- trees, images, packages
 
-def docs_ingredients(docs: DataFrame, depth: int = 10) -> DataFrame:
-    """Ingredient tree as rows with their path, opened level by level inside the row: one scan.
+_INGREDIENTS = "array<struct<id:string,text:string,percent:string,percent_estimate:string,vegan:string,vegetarian:string,ingredients:variant>>"
+_LEVEL = ("array<struct<path:string,parent:string,depth:int,pos:int,x:struct<id:string,text:string,percent:string,percent_estimate:string,"
+          "vegan:string,vegetarian:string,ingredients:variant>>>")
+
 
-    Raises where the tree goes deeper than ``depth``, so that nothing is cut off in silence.
+def docs_ingredients(docs: DataFrame) -> DataFrame:
+    """Ingredient tree of any depth as rows with their path, opened level by level inside the row: one scan.
+
+    A tree can't be deeper than the number of lists its text names, which bounds the levels of that row.
     """
-    kind = "array<struct<id:string,text:string,percent:string,percent_estimate:string,vegan:string,vegetarian:string,ingredients:variant>>"
-    empty = F.array().cast(kind)
-    node = lambda path, parent, d, i, x: F.struct(path.alias("path"), parent.alias("parent"), F.lit(d).alias("depth"), i.alias("pos"), x.alias("x"))
-    no_parent = F.lit(None).cast("string")
-    rows = docs.select("code", F.transform(
-        F.coalesce(variant("$.ingredients", kind), empty), lambda x, i: node(i.cast("string"), no_parent, 0, i, x)).alias("l0"))
-    for d in range(1, depth + 2):
-        def below(n: Column) -> Column:
-            return F.transform(F.coalesce(F.try_variant_get(n["x"]["ingredients"], "$", kind), empty),
-                               lambda x, i: node(F.concat_ws(".", n["path"], i.cast("string")), n["path"], d, i, x))
-
-        rows = rows.withColumn(f"l{d}", F.flatten(F.transform(f"l{d - 1}", below)))
-    whole = F.when(F.size(f"l{depth + 1}") > 0, F.raise_error(F.lit("ingredient tree deeper than expected")).cast("string"))
-    opened = rows.filter(whole.isNull()).select("code", F.inline(F.concat(*[f"l{d}" for d in range(depth + 1)]))).filter("x IS NOT NULL")
+    node = lambda path, parent, depth, i, x: F.struct(path.alias("path"), parent.alias("parent"), depth.alias("depth"), i.alias("pos"), x.alias("x"))
+    empty = F.array().cast(_INGREDIENTS)
+    top = F.transform(F.coalesce(variant("$.ingredients", _INGREDIENTS), empty),
+                      lambda x, i: node(i.cast("string"), F.lit(None).cast("string"), F.lit(0), i, x)).cast(_LEVEL)
+
+    def below(n: Column) -> Column:
+        return F.transform(F.coalesce(F.try_variant_get(n["x"]["ingredients"], "$", _INGREDIENTS), empty),
+                           lambda x, i: node(F.concat_ws(".", n["path"], i.cast("string")), n["path"], n["depth"] + 1, i, x))
+
+    state = f"struct<level:{_LEVEL},out:{_LEVEL}>"
+    grown = lambda s, level: F.struct(level.alias("level"), F.concat(s["out"], level).alias("out")).cast(state)
+
+    def step(s: Column, _: Column) -> Column:
+        under = F.flatten(F.transform(s["level"], below)).cast(_LEVEL)
+        # The lambda binds the next level, which is needed twice.
+        return F.when(F.size(s["level"]) == 0, s).otherwise(F.get(F.transform(F.array(under), lambda level: grown(s, level)), 0))
+
+    lists = F.size(F.split(F.coalesce(variant("$.ingredients"), F.lit("")), '"ingredients"'))
+    rows = docs.select("code", top.alias("top"), lists.alias("lists"))
+    whole = F.aggregate(F.sequence(F.lit(1), F.col("lists")), F.struct(F.col("top").alias("level"), F.col("top").alias("out")).cast(state), step, lambda s: s["out"])
+    opened = rows.select("code", F.inline(whole)).filter("x IS NOT NULL")
     return opened.select(
         "code", "path", "parent", "depth", "pos", text_of(F.col("x.id")).alias("id"), text_of(F.col("x.text")).alias("text"),
         num_tolerant(F.col("x.percent")).alias("percent"), num_tolerant(F.col("x.percent_estimate")).alias("percent_estimate"),
@@ -280,12 +322,17 @@ def docs_nova(docs: DataFrame) -> DataFrame:
 _IMAGE = "struct<imgid:string,rev:string,uploaded_t:string,uploader:string,sizes:map<string,struct<w:string,h:string>>>"
 
 
+_IMAGES = f"array<struct<class:string,type:string,lang:string,d:{_IMAGE}>>"
+
+
 def _images(docs: DataFrame) -> DataFrame:
-    chosen = docs.select("code", F.explode(F.try_variant_get("raw", "$.images.selected", f"map<string,map<string,{_IMAGE}>>")).alias("type", "by_lang"))
-    chosen = chosen.select("code", F.lit("selected").alias("class"), "type", F.explode("by_lang").alias("lang", "d"))
-    sent = docs.select("code", F.explode(F.try_variant_get("raw", "$.images.uploaded", f"map<string,{_IMAGE}>")).alias("type", "d")).select(
-        "code", F.lit("uploaded").alias("class"), "type", F.lit("").alias("lang"), "d")
-    return chosen.unionByName(sent).filter("d IS NOT NULL")
+    image = lambda cls, kind, lang, d: F.struct(F.lit(cls).alias("class"), kind.alias("type"), lang.alias("lang"), d.alias("d"))
+    none = F.array().cast(_IMAGES)
+    chosen = F.flatten(F.transform(
+        F.map_entries(F.try_variant_get("raw", "$.images.selected", f"map<string,map<string,{_IMAGE}>>")),
+        lambda t: F.transform(F.map_entries(t["value"]), lambda e: image("selected", t["key"], e["key"], e["value"]))))
+    sent = F.transform(F.map_entries(F.try_variant_get("raw", "$.images.uploaded", f"map<string,{_IMAGE}>")), lambda e: image("uploaded", e["key"], F.lit(""), e["value"]))
+    return docs.select("code", F.inline(F.concat(F.coalesce(chosen.cast(_IMAGES), none), F.coalesce(sent.cast(_IMAGES), none)))).filter("d IS NOT NULL")
 
 
 def docs_images(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -316,9 +363,11 @@ def docs_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def docs_languages(docs: DataFrame) -> DataFrame:
-    part = lambda path, is_code: docs.select("code", F.explode(F.try_variant_get("raw", path, "map<string,string>")).alias("lang", "n")).select(
-        "code", "lang", F.lit(is_code).alias("is_code"), num_tolerant(F.col("n")).cast("int").alias("fields"))
-    return part("$.languages", False).unionByName(part("$.languages_codes", True)).filter("fields IS NOT NULL")
+    kind = "array<struct<lang:string,is_code:boolean,fields:int>>"
+    part = lambda path, is_code: F.coalesce(F.transform(
+        F.map_entries(F.try_variant_get("raw", path, "map<string,string>")),
+        lambda e: F.struct(e["key"].alias("lang"), F.lit(is_code).alias("is_code"), num_tolerant(e["value"]).cast("int").alias("fields"))).cast(kind), F.array().cast(kind))
+    return docs.select("code", F.inline(F.concat(part("$.languages", False), part("$.languages_codes", True)))).filter("fields IS NOT NULL")
 
 
 # ---------------------------------------------------------------- generic properties

@@ -29,11 +29,11 @@ def text_variants(spark: SparkSession, sf: str) -> DataFrame:
 @query("normalized_products", f"""WITH {_RAW}
 SELECT code, lang, coalesce(nullif(trim(pn), ''), trim(pn_own), trim(coalesce(pn_ca, pn_it)), gn) AS name,
   CASE WHEN k % 3 < 2 THEN lang WHEN pn_ca IS NOT NULL THEN 'ca' WHEN pn_it IS NOT NULL THEN 'it' WHEN gn IS NOT NULL THEN lang END AS name_lang,
-  ing_text AS ingredients, CASE WHEN ing_text IS NOT NULL THEN lang END AS ingredients_lang, brand AS brands, product_quantity::DOUBLE AS quantity_g, serving::DOUBLE AS serving_g,
+  ing_text AS ingredients, CASE WHEN ing_text IS NOT NULL THEN lang END AS ingredients_lang, brand AS brands, (k % 10)::VARCHAR || '00 g' AS quantity, product_quantity::DOUBLE AS quantity_g, serving::DOUBLE AS serving_g,
   per AS nutrition_base, no_data IS NOT NULL AS no_table, CASE WHEN nova_raw BETWEEN 1 AND 4 THEN nova_raw::INT END AS nova_group, CASE WHEN grade <> 'unknown' THEN grade END AS nutriscore_grade,
   CASE WHEN k % 9 = 0 THEN NULL ELSE (modified - 1000) * 1000 END AS created, modified * 1000 AS modified, popularity::DOUBLE AS popularity FROM d""")
 def normalized_products(spark: SparkSession, sf: str) -> DataFrame:
-    return nz.docs_product(docs(spark, sf)).drop("quantity")
+    return nz.docs_product(docs(spark, sf))
 
 
 @query("ocr_runs", f"""WITH {_RAW} SELECT code, 'ingredients_text' AS field, 'es' AS lang, ocr_time * 1000 AS ran_at, 'scan ' || name AS text, CASE WHEN k % 6 = 0 THEN 'read' END AS result FROM d WHERE k % 3 = 0""")
@@ -72,9 +72,9 @@ def nutrient_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("score_versions", f"""WITH {_RAW} SELECT code, flag_source AS version, (k % 40 - 10)::DOUBLE AS score, grade, true AS applicable, f_drink AS is_beverage, f_water AS is_water, f_cheese AS is_cheese,
-  f_fats AS is_fat_oil_nuts_seeds, f_red AS is_red_meat_product, (k % 20)::DOUBLE AS negative_points FROM d WHERE flag_source IN ('2023', '2021')""")
+  f_fats AS is_fat_oil_nuts_seeds, f_red AS is_red_meat_product, (k % 20)::DOUBLE AS negative_points, (k % 6)::DOUBLE AS positive_points FROM d WHERE flag_source IN ('2023', '2021')""")
 def score_versions(spark: SparkSession, sf: str) -> DataFrame:
-    return nz.docs_scores(docs(spark, sf))[0].drop("positive_points")
+    return nz.docs_scores(docs(spark, sf))[0]
 
 
 @query("score_components", f"""WITH {_RAW} SELECT code, flag_source AS version, 'negative' AS side, 'energy' AS id, comp_energy AS value, 'kJ' AS unit, (k % 10)::DOUBLE AS points FROM d WHERE flag_source IN ('2023', '2021') AND comp_energy IS NOT NULL
@@ -84,14 +84,15 @@ def score_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _INGREDIENTS = """w AS (SELECT code, k, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS word FROM (SELECT code, k, string_split(ing_text, ', ') AS l FROM d WHERE ing_text IS NOT NULL)),
-ing AS (SELECT code, pos::VARCHAR AS path, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, pos::INT AS pos, word AS text, CAST(NULL AS DOUBLE) AS percent, (k % 50 + pos)::DOUBLE AS percent_estimate, 'maybe' AS vegan FROM w
-  UNION ALL SELECT code, '0.0', '0', 1, 0, 'part', NULL, NULL, NULL FROM w WHERE pos = 0 AND k % 2 = 0
-  UNION ALL SELECT code, '0.0.0', '0.0', 2, 0, 'minor', (k % 7)::DOUBLE, NULL, NULL FROM w WHERE pos = 0 AND k % 4 = 0)"""
+ing AS (SELECT code, pos::VARCHAR AS path, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, pos::INT AS pos, 'en:' || lower(word) AS id, word AS text, CAST(NULL AS DOUBLE) AS percent, (k % 50 + pos)::DOUBLE AS percent_estimate, 'maybe' AS vegan, CASE WHEN pos = 1 THEN 'yes' END AS vegetarian FROM w
+  UNION ALL SELECT code, '0.0', '0', 1, 0, 'en:part', 'part', NULL, NULL, NULL, NULL FROM w WHERE pos = 0 AND k % 2 = 0
+  UNION ALL SELECT code, '0.0.0', '0.0', 2, 0, 'en:minor', 'minor', (k % 7)::DOUBLE, NULL, NULL, NULL FROM w WHERE pos = 0 AND k % 4 = 0
+  UNION ALL SELECT code, '0.0.0' || repeat('.0', i), '0.0.0' || repeat('.0', i - 1), 2 + i, 0, NULL, 'deep' || i::VARCHAR, NULL, NULL, NULL, NULL FROM w, range(1, 15) t(i) WHERE pos = 0 AND k % 40 = 0)"""
 
 
-@query("ingredient_rows", f"WITH {_RAW}, {_INGREDIENTS} SELECT code, path, parent, depth::INT AS depth, pos, text, percent, percent_estimate, vegan FROM ing")
+@query("ingredient_rows", f"WITH {_RAW}, {_INGREDIENTS} SELECT code, path, parent, depth::INT AS depth, pos, id, text, percent, percent_estimate, vegan, vegetarian FROM ing")
 def ingredient_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return nz.docs_ingredients(docs(spark, sf), 4).drop("id", "vegetarian")
+    return nz.docs_ingredients(docs(spark, sf))
 
 
 @query("ingredient_trees", f"""WITH {_RAW}, {_INGREDIENTS} SELECT code, path, repeat('  ', depth) || text AS label,
@@ -99,7 +100,7 @@ def ingredient_rows(spark: SparkSession, sf: str) -> DataFrame:
 def ingredient_trees(spark: SparkSession, sf: str) -> DataFrame:
     from larder.operators.prefix import with_running
 
-    rows = nz.ingredient_tree(nz.docs_ingredients(docs(spark, sf), 4)).select("code", "order", "path", "label")
+    rows = nz.ingredient_tree(nz.docs_ingredients(docs(spark, sf))).select("code", "order", "path", "label")
     return with_running(rows, ["code"], ["order"]).select("code", "path", "label", F.col("rank").cast("int").alias("line"))
 
 
@@ -114,20 +115,20 @@ def image_rows(spark: SparkSession, sf: str) -> DataFrame:
     return nz.docs_images(docs(spark, sf))[0]
 
 
-@query("image_sizes", f"""WITH {_RAW} SELECT code, CASE WHEN image_lang = 'own' THEN lang ELSE image_lang END AS lang, '100' AS size, 100 AS width, (k % 100)::INT AS height FROM d WHERE image_lang IS NOT NULL
-  UNION ALL SELECT code, CASE WHEN image_lang = 'own' THEN lang ELSE image_lang END, 'full', (k % 3000)::INT, 4000 FROM d WHERE image_lang IS NOT NULL""")
+@query("image_sizes", f"""WITH {_RAW} SELECT code, 'selected' AS class, 'front' AS type, CASE WHEN image_lang = 'own' THEN lang ELSE image_lang END AS lang, '100' AS size, 100 AS width, (k % 100)::INT AS height FROM d WHERE image_lang IS NOT NULL
+  UNION ALL SELECT code, 'selected', 'front', CASE WHEN image_lang = 'own' THEN lang ELSE image_lang END, 'full', (k % 3000)::INT, 4000 FROM d WHERE image_lang IS NOT NULL""")
 def image_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return nz.docs_images(docs(spark, sf))[1].drop("class", "type")
+    return nz.docs_images(docs(spark, sf))[1]
 
 
-@query("package_rows", f"WITH {_RAW} SELECT code, 0 AS pos, 'en:bottle' AS shape, 'en:glass' AS material, 1.0::DOUBLE AS units, (k % 9)::DOUBLE + 0.5 AS weight FROM d WHERE k % 5 = 0")
+@query("package_rows", f"WITH {_RAW} SELECT code, 0 AS pos, 'en:bottle' AS shape, 'en:glass' AS material, 'en:recycle' AS recycling, k % 10 = 0 AS food_contact, 1.0::DOUBLE AS units, (k % 9)::DOUBLE + 0.5 AS weight FROM d WHERE k % 5 = 0")
 def package_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return nz.docs_packages(docs(spark, sf)).drop("recycling", "food_contact")
+    return nz.docs_packages(docs(spark, sf))
 
 
-@query("source_rows", f"WITH {_RAW} SELECT code, 0 AS pos, 'maker' AS id, brand AS name, true AS manufacturer, modified * 1000 AS imported FROM d WHERE k % 6 = 0")
+@query("source_rows", f"WITH {_RAW} SELECT code, 0 AS pos, 'maker' AS id, brand AS name, 'http://maker/' || k::VARCHAR AS url, true AS manufacturer, modified * 1000 AS imported, 'open' AS licence FROM d WHERE k % 6 = 0")
 def source_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return nz.docs_sources(docs(spark, sf))[0].drop("url", "licence")
+    return nz.docs_sources(docs(spark, sf))[0]
 
 
 @query("source_fields", f"WITH {_RAW} SELECT code, 0 AS pos, unnest(['brands', 'quantity']) AS field FROM d WHERE k % 6 = 0")
@@ -146,7 +147,7 @@ p AS (SELECT code, '' AS scope, 'product_quantity_unit' AS key, quantity_unit AS
   UNION ALL SELECT code, 'misc.depth', 'note', 'n' || (k % 4)::VARCHAR FROM d UNION ALL SELECT code, 'misc', 'list', (k % 3)::VARCHAR || ',7' FROM d)
 SELECT code, scope, key, value, try_cast(replace(value, ',', '.') AS DOUBLE) AS number FROM p WHERE value IS NOT NULL""")
 def properties(spark: SparkSession, sf: str) -> DataFrame:
-    return nz.docs_properties(docs(spark, sf), 2)
+    return nz.docs_properties(docs(spark, sf))
 
 
 @query("vocabulary", f"""WITH {_RAW}, {_TEXT} SELECT DISTINCT 'field' AS class, field AS value FROM t WHERE value <> '' UNION SELECT DISTINCT 'language', lang FROM t WHERE value <> ''""")

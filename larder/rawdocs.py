@@ -107,7 +107,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "grade": c("grade"), "score": (k % 40 - 10).cast("int"), "nutriscore_applicable": F.lit(1),
         "data": _object({"is_beverage": flags["is_beverage"], "is_water": flags["is_water"], "is_cheese": flags["is_cheese"],
                          "is_fat_oil_nuts_seeds": flags["is_fat_oil_nuts_seeds"], "is_red_meat_product": flags["is_red_meat_product"],
-                         "negative_points": (k % 20).cast("int"), "components": _object({"negative": comps})})}))))
+                         "negative_points": (k % 20).cast("int"), "positive_points": (k % 6).cast("int"), "components": _object({"negative": comps})})}))))
     v3_leaf = lambda v, computed, unit, source, modifier: F.when(F.coalesce(v, computed).isNotNull(), _object(
         {"value": v, "value_computed": computed, "unit": unit, "source": source, "modifier": modifier}))
     nd = F.lit(None).cast("double")
@@ -130,9 +130,13 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "imgid": k.cast("string"), "rev": c("image_rev"),
         "sizes": _object({"100": _object({"w": F.lit(100), "h": (k % 100).cast("int")}), "full": _object({"w": (k % 3000).cast("int"), "h": F.lit(4000)})})}))))
     words = F.transform(F.split(F.coalesce(text, F.lit("")), ", "), lambda w: F.trim(w))
-    leaf = F.when(k % 4 == 0, F.array(_object({"id": F.lit("en:minor"), "text": F.lit("minor"), "percent": k % 7})))
+    # Some trees are much deeper than most.
+    deep = None
+    for i in range(14, 0, -1):
+        deep = F.array(_object({"text": F.lit(f"deep{i}"), **({"ingredients": deep} if deep is not None else {})}))
+    leaf = F.when(k % 4 == 0, F.array(_object({"id": F.lit("en:minor"), "text": F.lit("minor"), "percent": k % 7, "ingredients": F.when(k % 40 == 0, deep)})))
     tree = F.when(text.isNotNull(), F.transform(words, lambda w, i: _object({
-        "id": F.concat(F.lit("en:"), F.lower(w)), "text": w, "percent_estimate": (k % 50 + i).cast("double"), "vegan": F.lit("maybe"),
+        "id": F.concat(F.lit("en:"), F.lower(w)), "text": w, "percent_estimate": (k % 50 + i).cast("double"), "vegan": F.lit("maybe"), "vegetarian": F.when(i == 1, "yes"),
         "ingredients": F.when((i == 0) & (k % 2 == 0), F.array(_object({
             "id": F.lit("en:part"), "text": F.lit("part"), "vegan": F.lit("sometimes"), "ingredients": leaf})))})))
     uniform = F.map_from_arrays(
@@ -153,8 +157,8 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "nova_groups_markers": F.when(k % 4 == 3, F.create_map(F.lit("4"), F.array(
             F.array(F.lit("additives"), F.lit("en:e100")), F.array(F.lit("additives"), F.lit("en:e100")), F.array(F.lit("ingredients"), F.lit("en:sugar"))))),
         "ingredients": tree, "packagings": F.when(k % 5 == 0, F.array(_object({
-            "shape": F.lit("en:bottle"), "material": F.lit("en:glass"), "number_of_units": F.lit("1"), "weight_measured": F.concat((k % 9).cast("string"), F.lit(",5"))}))),
-        "sources": F.when(k % 6 == 0, F.array(_object({"id": F.lit("maker"), "name": c("brand"), "manufacturer": F.lit("1"),
+            "shape": F.lit("en:bottle"), "material": F.lit("en:glass"), "recycling": F.lit("en:recycle"), "food_contact": F.when(k % 10 == 0, "1").otherwise("0"), "number_of_units": F.lit("1"), "weight_measured": F.concat((k % 9).cast("string"), F.lit(",5"))}))),
+        "sources": F.when(k % 6 == 0, F.array(_object({"id": F.lit("maker"), "name": c("brand"), "url": F.concat(F.lit("http://maker/"), k.cast("string")), "source_licence": F.lit("open"), "manufacturer": F.lit("1"),
             "import_t": c("modified"), "fields": F.array(F.lit("brands"), F.lit("brands"), F.lit("quantity"))}))),
         "languages_codes": F.map_from_arrays(F.array(c("lang")), F.array((k % 4 + 1).cast("int"))),
         "cells": uniform, "misc": _object({"depth": _object({"note": F.concat(F.lit("n"), (k % 4).cast("string"))}),
