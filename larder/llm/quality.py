@@ -136,15 +136,25 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> dict[str
     return {"embed": d_embed, "filters": d_filters, "bias": da.sum(0), "hidden": a.T @ db, "hidden_bias": db.sum(0), "out": b.T @ dz, "out_bias": np.array([dz.sum()], np.float32)}
 
 
+def drawn_labels(labels: DataFrame, id_column: str, label_column: str, rows: int, seed: int) -> DataFrame:
+    """(_id, _label) of at most ``rows`` labelled ids that aren't held out, drawn by a hash of the id.
+
+    The bound makes it safe to broadcast, so texts aren't shuffled to find the sample.
+    """
+    some = labels.filter(~held_out(id_column) & F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label"))
+    return F.broadcast(some.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "_label").limit(rows))
+
+
 def fitted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
            rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, seed: int = 7) -> Network:
     """Network of at most ``rows`` labelled documents of at most ``size`` bytes, drawn by a hash of the id.
 
     Held-out ids, NULL labels and labels other than 0 and 1 aren't drawn.
     """
-    some = labels.filter(~held_out(id_column) & F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label"))
     drawn = (docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).filter(F.octet_length("_text") <= size)
-             .join(some, "_id").orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "_label").limit(rows).select("_text", "_label").toArrow())
+             .join(drawn_labels(labels, id_column, label_column, rows, seed), "_id").toArrow())
+    # The fit depends on the order of its rows, so it is fixed.
+    drawn = drawn.sort_by([("_id", "ascending"), ("_label", "ascending"), ("_text", "ascending")])
     return fit([t.encode() for t in drawn.column("_text").to_pylist()], drawn.column("_label").to_numpy(), seed)
 
 
