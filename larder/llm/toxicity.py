@@ -3,7 +3,7 @@
 Grades run from 0 (not toxic) to 3. The chance of a grade above k is logistic(w x - theta_k): one weight
 vector for all thresholds, which stay in order because each is the one before plus a positive step. x are
 sparse counts of words, log(1 + n). Words are chosen by how far their document frequencies among toxic and
-other labelled documents differ, counted over all of those. The expected grade is the severity.
+other documents of the labelled sample differ. The expected grade is the severity.
 
 Labels are only toxic or not. A toxic document's grade is the number of the chosen words of the toxic side
 that it holds: 1 for none or one, 2 for two, 3 for more.
@@ -15,16 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.llm.arrays import pieces, span_hashes
 from larder.llm.letters import LetterRuns
-from larder.llm.quality import held_out
+from larder.llm.quality import drawn_labels, held_out
 
 #: Words are told apart by so many hash bits when they are counted; so many are features.
 WORD_BITS, FEATURES, GRADES = 20, 512, 4
-#: Bound of the sample the weights are fitted on.
-SAMPLE_ROWS = 4000
+#: Bounds of the labelled sample: documents in which words are counted, and those the weights are fitted on.
+COUNT_ROWS, SAMPLE_ROWS = 20_000, 4000
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 20
 
 
 def word_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,21 +90,21 @@ def fit(x: np.ndarray, grades: np.ndarray, steps: int = 400, rate: float = 0.05,
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
-            rows: int = SAMPLE_ROWS, features: int = FEATURES, seed: int = 7) -> Severity:
+            counted: int = COUNT_ROWS, rows: int = SAMPLE_ROWS, features: int = FEATURES, seed: int = 7) -> Severity:
     """Model from labels of rows that aren't held out.
 
-    Word frequencies are counted over all labelled documents; what comes to the driver is the ``features``
-    words that differ most and, for the fit, their counts in at most ``rows`` documents, toxic ones and
-    others in equal parts as far as there are, drawn by a hash of the id. NULL labels don't count. Without
+    Word frequencies are counted over at most ``counted`` labelled documents, drawn by a hash of the id. What
+    comes to the driver is the ``features`` words that differ most and, for the fit, their counts in at most
+    ``rows`` of these documents, toxic ones and others in equal parts as far as there are. NULL labels don't count. Without
     both classes nothing is toxic.
     """
-    some = labels.filter(~held_out(id_column) & F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("y"))
-    known = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(some, "_id")
+    known = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(
+        drawn_labels(labels, id_column, label_column, counted, seed), "_id").withColumnRenamed("_label", "y")
 
     def count(batches):
         sums = np.zeros((2, 1 << WORD_BITS), np.int64)
         n = np.zeros(2, np.int64)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             y = batch.column(batch.schema.get_field_index("y")).to_numpy(zero_copy_only=False)
             text, word, _ = word_counts(batch.column(batch.schema.get_field_index("text")).to_pylist())
             for k in (0, 1):
@@ -111,20 +113,19 @@ def trained(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
         at = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(sums[0, at], n[0])), pa.array(np.append(sums[1, at], n[1]))], ["word", "clean", "toxic"])
 
-    counts = known.select("text", "y").mapInArrow(count, "word bigint, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.persist()
-    whole = counts.filter("word = -1").first()
-    if whole is None or not whole["clean"] or not whole["toxic"]:
-        counts.unpersist()
+    # At most one row a bucket comes to the driver.
+    told = known.select("text", "y").mapInArrow(count, "word bigint, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    word, clean, toxic = (told.column(c).to_numpy() for c in ("word", "clean", "toxic"))
+    n0, n1 = (int(x[word == -1].sum()) for x in (clean, toxic))
+    if not n0 or not n1:
         return Severity(np.zeros(0, np.int64), np.zeros(0), np.array([20.0, 21.0, 22.0]))
     # Two-proportion score of a word's document frequencies.
-    p1, p0 = F.col("toxic") / whole["toxic"], F.col("clean") / whole["clean"]
-    mean = (F.col("toxic") + F.col("clean")) / (whole["toxic"] + whole["clean"])
-    score = (p1 - p0) / F.sqrt(mean * (1 - mean) * (1 / whole["toxic"] + 1 / whole["clean"]) + 1e-9)
-    chosen = counts.filter("word >= 0").select("word", score.alias("z")).orderBy(F.abs("z").desc(), "word").limit(features).toArrow()
-    counts.unpersist()
-    order = np.argsort(chosen.column("word").to_numpy())
-    words, z = chosen.column("word").to_numpy()[order], chosen.column("z").to_numpy()[order]
+    word, clean, toxic = (x[word >= 0] for x in (word, clean, toxic))
+    mean = (clean + toxic) / (n0 + n1)
+    z = (toxic / n1 - clean / n0) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-9)
+    chosen = np.lexsort((word, -np.abs(z)))[:features]
+    chosen = chosen[np.argsort(word[chosen])]
+    words, z = word[chosen], z[chosen]
     # Words far beyond chance on the toxic side grade the toxic documents.
     strong = z > 6
     model = Severity(words, np.zeros(len(words)), np.zeros(GRADES - 1))
@@ -137,8 +138,10 @@ def trained(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
                 lists[t].append({"at": int(a), "x": float(v)})
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), pa.array(lists, pa.list_(pa.struct([("at", pa.int32()), ("x", pa.float64())])))], ["y", "features"])
 
-    draw = lambda k: known.filter(F.col("y") == k).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(rows // 2)
-    drawn = draw(0).unionByName(draw(1)).mapInArrow(measured, "y int, features array<struct<at:int,x:double>>").toArrow()
+    # Equal parts of both classes, as far as there are, by the same hash.
+    place = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("_id", F.lit(seed)), "_id"))
+    some = F.broadcast(drawn_labels(labels, id_column, label_column, counted, seed).withColumn("_place", place).filter(F.col("_place") <= rows // 2).select("_id"))
+    drawn = known.join(some, "_id").select("text", "y").mapInArrow(measured, "y int, features array<struct<at:int,x:double>>").toArrow()
     x = np.zeros((drawn.num_rows, len(words)))
     for i, entries in enumerate(drawn.column("features").to_pylist()):
         for e in entries:
@@ -160,7 +163,7 @@ def graded(docs: DataFrame, model: Severity, id_column: str = "doc_id", text_col
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             above = model.above([t or "" for t in batch.column(2).to_pylist()])
             chance = -np.diff(np.column_stack([np.ones(len(above)), above, np.zeros(len(above))]), axis=1)
             yield pa.RecordBatch.from_arrays(
