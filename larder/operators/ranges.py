@@ -12,18 +12,33 @@ def in_range(key: Column, low: Column, high: Column) -> Column:
     return (low.isNull() | (key >= low)) & (high.isNull() | (key < high))
 
 
+#: Tasks over which the rows of one group are dealt when they meet the group's few lines.
+DEAL = 64
+
+
+def join_lines(rows: DataFrame, lines: DataFrame, group: list[str], key: str, how: str = "left") -> DataFrame:
+    """Joins rows with a small table of lines a group, without gathering a group in one task.
+
+    Rows are dealt by a hash of ``key`` beside their group, and the lines repeated for each of the deals,
+    so a group with a third of all rows is spread like the others.
+    """
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(DEAL)).cast("int"))
+    repeated = lines.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    return dealt.join(repeated, [*group, "_deal"], how).drop("_deal")
+
+
 def part_for(rows: DataFrame, parts: DataFrame, group: list[str], key: str, fallback_last: bool = False) -> DataFrame:
     """Adds ``part``. ``parts`` holds the ranges of each group (a bounded list per group).
 
-    The ranges of a group travel as one sorted array, so the join is an equi join on the group and
-    needs no nested loop; with a NULL range everything belongs to part 1.
+    The ranges of a group travel as one sorted array, so the join is an equi join and needs no nested
+    loop; with a NULL range everything belongs to part 1.
     """
     packed = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("part", "from_key", "to_key"))).alias("_ranges"))
     hit = F.try_element_at(F.filter("_ranges", lambda r: in_range(F.col(key), r["from_key"], r["to_key"])), F.lit(1))["part"]
     if fallback_last:
         hit = F.coalesce(hit, F.array_max(F.transform("_ranges", lambda r: r["part"])))
-    return rows.join(packed, group, "left").withColumn(
-        "part", F.when(F.col("_ranges").isNull(), 1).otherwise(hit)).drop("_ranges")
+    return join_lines(rows, packed, group, key).withColumn(
+        "part", F.when(F.col("_ranges").isNull(), 1).otherwise(hit)).drop("_ranges").select(*rows.columns, "part")
 
 
 def parts_of(entries: DataFrame) -> DataFrame:

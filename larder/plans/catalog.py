@@ -115,8 +115,7 @@ def new_ranges(rows: DataFrame, group: list[str], key: str, weight: str, cap: in
     big = totals.filter(F.col("_total") > cap).withColumn(
         "_parts", F.greatest(F.lit(2), F.ceil(F.col("_total") / F.lit(cap)).cast("int")))
     # One row per group: bounded by the number of catalogues.
-    heavy = rows.join(big, group)
-    per_key = heavy.groupBy(*group, key).agg(F.sum(weight).alias(weight), F.max("_parts").alias("_parts"))
+    per_key = ranges.join_lines(rows.groupBy(*group, key).agg(F.sum(weight).alias(weight)), big, group, key, "inner")
     cuts = prefix.weight_cuts_by(per_key, group, key, weight, "_parts")
     whole = totals.filter(F.col("_total") <= cap).select(
         *group, F.lit(1).alias("part"), F.lit(None).cast("string").alias("from_key"), F.lit(None).cast("string").alias("to_key"))
@@ -134,7 +133,7 @@ def reuse_ranges(rows: DataFrame, previous: DataFrame, group: list[str], key: st
     redo = stale.unionByName(unknown)
     kept = previous.join(grown.select(*group), group, "left_semi").join(stale, group, "left_anti")
     return kept.withColumn("reused", F.lit(True)).unionByName(
-        new_ranges(rows.join(redo, group, "left_semi"), group, key, weight, cap).withColumn("reused", F.lit(False)))
+        new_ranges(ranges.join_lines(rows, redo, group, key, "left_semi"), group, key, weight, cap).withColumn("reused", F.lit(False)))
 
 
 def split_parts(rows: DataFrame, ranges_df: DataFrame, group: list[str] = ("country",), key: str = "barcode") -> DataFrame:

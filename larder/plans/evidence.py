@@ -12,7 +12,6 @@ from larder.functions.codes import e_from_tag, e_mentions, e_number, tag_parts,
 from larder.functions.text import names_alike
 from larder.operators.latest import best_per_key, first_per_key
 from larder.operators.prefix import position_in_group
-from larder.session import broadcast_checked
 
 # Weight of a link by how it was found.
 LINK_WEIGHT = {"cas": 2, "e-in-name": 1, "manual-group": 1, "family": 0}
@@ -46,7 +45,7 @@ def link_tags(items: DataFrame, tags: DataFrame) -> DataFrame:
     """(item, tag, via): by the item a tag names, then by E number where not yet linked."""
     by_item = items.select("item").join(tags.select(F.col("item_ref").alias("item"), "tag"), "item").withColumn("via", F.lit("item"))
     numbers = items.select("item", F.explode("e_numbers").alias("e"))
-    by_number = numbers.join(broadcast_checked(tags.select(e_number(F.col("e_raw")).alias("e"), "tag")), "e").select("item", "tag", F.lit("e-number").alias("via"))
+    by_number = numbers.join(tags.select(e_number(F.col("e_raw")).alias("e"), "tag"), "e").select("item", "tag", F.lit("e-number").alias("via"))
     rank = F.when(F.col("via") == "item", 0).otherwise(1)
     return first_per_key(by_item.unionByName(by_number).withColumn("_rank", rank), ["item", "tag"], ["_rank"]).drop("_rank")
 
@@ -57,9 +56,9 @@ def link_substances(items: DataFrame, links: DataFrame, subs: DataFrame, groups:
     by_cas = items.select("item", F.explode("cas").alias("cas")).join(subs.filter("cas IS NOT NULL").select("cas", "uuid"), "cas").select("item", "uuid", F.lit("cas").alias("via"))
     roots = items.select("item", F.explode(F.array_distinct(F.transform("e_numbers", lambda e: F.regexp_extract(e, r"^(\d{3,4})", 1)))).alias("e"))
     covers = subs.select("uuid", F.explode(e_mentions(F.col("name"))).alias("e"))
-    by_name = roots.join(broadcast_checked(covers), "e").select("item", "uuid", F.lit("e-in-name").alias("via"))
+    by_name = roots.join(covers, "e").select("item", "uuid", F.lit("e-in-name").alias("via"))
     grouped = groups.join(subs.select(F.trim("name").alias("name"), "uuid"), "name").select("tag", "uuid")
-    by_hand = links.join(broadcast_checked(grouped), "tag").select("item", "uuid", F.lit("manual-group").alias("via"))
+    by_hand = links.join(grouped, "tag").select("item", "uuid", F.lit("manual-group").alias("via"))
     order = F.array_position(F.array(F.lit("cas"), F.lit("e-in-name"), F.lit("manual-group")), F.col("via"))
     rows = by_cas.unionByName(by_name).unionByName(by_hand).withColumn("_rank", order)
     return first_per_key(rows, ["item", "uuid"], ["_rank"]).drop("_rank")
@@ -67,7 +66,7 @@ def link_substances(items: DataFrame, links: DataFrame, subs: DataFrame, groups:
 
 def review_flags(items: DataFrame, links: DataFrame, tags: DataFrame, substances: DataFrame, subs: DataFrame) -> DataFrame:
     """What to look at by hand: numbers that differ, several substances, no CAS, names unlike."""
-    named = links.join(broadcast_checked(tags.select("tag", e_number(F.col("e_raw")).alias("tag_e"), "name_en")), "tag")
+    named = links.join(tags.select("tag", e_number(F.col("e_raw")).alias("tag_e"), "name_en"), "tag")
     lead = first_per_key(named.withColumn("_rank", F.when(F.col("via") == "item", 0).otherwise(1)), ["item"], ["_rank", "tag"]).select("item", F.col("name_en").alias("tag_name"))
     known = items.select("item", "e_numbers")
     differs = named.filter("via = 'item' AND tag_e IS NOT NULL").join(known, "item").groupBy("item").agg(
@@ -167,7 +166,7 @@ def lead_tag(links: DataFrame) -> DataFrame:
 def attach_legal(links: DataFrame, law: DataFrame) -> DataFrame:
     """Legal state by the number of the lead tag. Not being listed is its own state, not a withdrawal."""
     numbered = lead_tag(links).withColumn("e", e_from_tag(F.col("tag"))).filter("e IS NOT NULL")
-    rows = numbered.join(broadcast_checked(law.withColumn("known", F.lit(True))), "e", "left")
+    rows = numbered.join(law.withColumn("known", F.lit(True)), "e", "left")
     no = F.lit(False)
     return rows.select("item", "e", F.coalesce("authorised", no).alias("authorised"), F.coalesce("withdrawn", no).alias("withdrawn"),
                        F.coalesce("listed", no).alias("listed"), F.col("known").isNull().alias("absent"))
@@ -181,7 +180,7 @@ def attach_classifications(items: DataFrame, links: DataFrame, iarc: DataFrame,
     numbers = items.select("item", F.explode("cas").alias("cas"))
     by_cas = numbers.join(iarc.select(F.explode("cas").alias("cas"), "name", "group"), "cas").groupBy("item").agg(F.min(F.struct("name", "group")).alias("i"))
     rules = numbers.join(clp.select("cas", "classes", "worst"), "cas").groupBy("item").agg(F.min_by(F.struct("cas", "classes", "worst"), "cas").alias("c"))
-    by_hand = links.join(broadcast_checked(manual), "tag").groupBy("item").agg(F.min(F.struct("name", "group")).alias("m"))
+    by_hand = links.join(manual, "tag").groupBy("item").agg(F.min(F.struct("name", "group")).alias("m"))
     rows = by_cas.join(rules, "item", "full_outer").join(by_hand, "item", "full_outer")
     return rows.select("item", F.coalesce("i.group", "m.group").alias("iarc_group"), F.coalesce("i.name", "m.name").alias("iarc_name"),
                        F.when(F.col("i").isNotNull(), "cas").when(F.col("m").isNotNull(), "manual").alias("iarc_via"),
@@ -189,7 +188,7 @@ def attach_classifications(items: DataFrame, links: DataFrame, iarc: DataFrame,
 
 
 def attach_exposure(links: DataFrame, exposure: DataFrame) -> DataFrame:
-    return lead_tag(links).join(broadcast_checked(exposure), "tag").drop("tag")
+    return lead_tag(links).join(exposure, "tag").drop("tag")
 
 
 def exposure_rows(taxonomy: DataFrame) -> DataFrame:
@@ -215,7 +214,7 @@ def attach_bans(links: DataFrame, bans: DataFrame) -> DataFrame:
     holds its tag; other tags of the item that it does not name are other substances."""
     held = links.groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     named = bans.withColumn("covers", covers(F.col("covers"), F.col("tag")))
-    rows = links.select("item", "tag").join(broadcast_checked(named), "tag").join(held, "item")
+    rows = links.select("item", "tag").join(named, "tag").join(held, "item")
     return rows.select("item", "tag", "kind", "jurisdiction", F.array_sort("covers").alias("covers"), F.array_except("tags", "covers").alias("not_covers"),
                        (F.col("kind") == "ban").alias("penalises"))
 
@@ -319,7 +318,7 @@ def claims_per_tag(links: DataFrame) -> DataFrame:
     """Adds how many items claim each tag. Counted apart and joined back: a window over a popular
     tag would gather all its rows."""
     counts = links.groupBy("tag").agg(F.count(F.lit(1)).cast("int").alias("claims"))
-    return links.join(broadcast_checked(counts), "tag")
+    return links.join(counts, "tag")
 
 
 def completeness(df: DataFrame) -> Column:
@@ -360,7 +359,7 @@ def resolved_slice(links: DataFrame, evidence: DataFrame, bans: DataFrame) -> tu
 def enrich_taxonomy(taxonomy: DataFrame, slice_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(taxonomy with hazard data, tags the hazard base knows and the taxonomy does not)."""
     known = slice_.drop("item", "risk", "watched")
-    return taxonomy.join(broadcast_checked(known), "tag", "left"), slice_.join(taxonomy.select("tag"), "tag", "left_anti").select("tag")
+    return taxonomy.join(known, "tag", "left"), slice_.join(taxonomy.select("tag"), "tag", "left_anti").select("tag")
 
 
 def collect_bans(taxonomy: DataFrame, tag_bans: DataFrame) -> DataFrame:
@@ -446,7 +445,7 @@ def audit_without_cas(items: DataFrame, subs: DataFrame) -> DataFrame:
     bare = items.filter(F.size("cas") == 0)
     roots = bare.select("item", F.explode("e_numbers").alias("e")).select("item", root(F.col("e")).alias("e")).distinct()
     covers_ = subs.select(F.explode(e_mentions(F.col("name"))).alias("e")).distinct()
-    by_e = roots.join(broadcast_checked(covers_), "e", "left_semi").select("item").distinct().withColumn("by_e", F.lit(True))
+    by_e = roots.join(covers_, "e", "left_semi").select("item").distinct().withColumn("by_e", F.lit(True))
     reach = items.filter(F.size("cas") > 0).select("item", "e_numbers", F.explode("cas").alias("cas")).join(subs.select("cas").distinct(), "cas", "left_semi")
     siblings = reach.select(F.explode("e_numbers").alias("e")).select(root(F.col("e")).alias("e")).distinct()
     by_family = roots.join(siblings, "e", "left_semi").select("item").distinct().withColumn("by_family", F.lit(True))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.operators.diff import changes
 from larder.operators.prefix import top_n_per_group
-from larder.session import broadcast_checked, cut_lineage
+from larder.session import cut_lineage
 
 # Share of the catalogue above which a full download is cheaper; deltas kept per part.
 DELTA_SHARE = 0.35
@@ -34,7 +34,7 @@ def delta_reasons(old_parts: DataFrame, new_parts: DataFrame, missing_columns: l
 
 def build_deltas(old: DataFrame, new: DataFrame, reasons: DataFrame, columns: list[str], index_columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """All deltas in one job: the part is a column, not a loop. Returns changes and manifest."""
-    allowed = broadcast_checked(reasons.filter(F.col("reason") == "delta").select("country", "part"))
+    allowed = reasons.filter(F.col("reason") == "delta").select("country", "part")
     key = ["country", "part", "barcode"]
     pick = lambda df: df.join(allowed, ["country", "part"], "left_semi")
     found = changes(pick(new), pick(old), key, columns, index_columns)

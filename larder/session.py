@@ -8,9 +8,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows up to which a checked side may be broadcast.
-BROADCAST_ROWS = 200_000
-
 
 def build_session(app: str = "larder", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -53,16 +50,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` holds at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a check of the size; otherwise the plan keeps a shuffle join."""
-    return F.broadcast(df) if small_enough(df, rows) else df
-
-
 def settle(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keep later filters on computed columns above this point.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larder.session import broadcast_checked
 
 FORMAT = 1
 
@@ -50,7 +49,7 @@ def read_delta(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
               .when((F.col("found_upserts") != _field("upserts", "long")) | (F.col("found_deletes") != _field("deletes", "long")), "incomplete")
               .otherwise("ok"))
     headers = found.select("country", "part", _field("from").alias("from"), _field("to").alias("to"), "found_upserts", "found_deletes", status.alias("status"))
-    accepted = broadcast_checked(headers.filter(F.col("status") == "ok").select("country", "part"))
+    accepted = headers.filter(F.col("status") == "ok").select("country", "part")
     rows = lines.filter(~is_head).join(accepted, ["country", "part"], "left_semi")
     return headers, rows.select("country", "part", F.from_json("value", schema).alias("r")).select("country", "part", "r.*")
 

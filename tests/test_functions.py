@@ -286,14 +286,17 @@ def test_uniform_maps_collapse(spark):
     assert rows == {("m", "*"): "a", ("m", "k7"): "b", ("m", "k8"): "b", ("deep.x.y[0]", "z"): "1", ("deep.x.y", "1"): "2"}
 
 
-def test_ingredient_tree_too_deep_fails(spark):
-    tree = {"text": "a"}
-    for _ in range(4):
-        tree = {"text": "a", "ingredients": [tree]}
-    docs = normalize.with_code(dump.documents(spark.createDataFrame([(json.dumps({"code": "1", "ingredients": [tree]}),)], "value string")))
-    assert normalize.docs_ingredients(docs, 5).count() == 5
-    with pytest.raises(Exception, match="deeper than expected"):
-        normalize.docs_ingredients(docs, 2).collect()
+def test_ingredient_trees_of_any_depth_open(spark):
+    def deep(n):
+        tree = {"text": "a"}
+        for _ in range(n):
+            tree = {"text": "a", "ingredients": [tree]}
+        return {"code": str(n), "ingredients": [tree]}
+
+    lines = [(json.dumps(deep(n)),) for n in (0, 4, 40)] + [('{"code": "x"}',)]
+    docs = normalize.with_code(dump.documents(spark.createDataFrame(lines, "value string")))
+    counts = {r.code: r.n for r in normalize.docs_ingredients(docs).groupBy("code").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"0": 1, "4": 5, "40": 41}
 
 
 def test_taxonomy_and_manual_files(spark, tmp_path):
