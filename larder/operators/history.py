@@ -96,5 +96,5 @@ def debounce(scans: DataFrame, user: str, code: str, at: str, tie: str, seconds:
 
 
 def sample_docs(docs: DataFrame, key: Column, n: int, seed: int = 0) -> DataFrame:
-    """A repeatable random sample of ``n`` rows: the smallest salted hashes of the key."""
-    return docs.orderBy(F.xxhash64(key, F.lit(seed))).limit(n)
+    """A repeatable random sample of ``n`` rows: the smallest MD5 hashes of key and seed, which any engine has."""
+    return docs.orderBy(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), key).limit(n)

@@ -88,23 +88,28 @@ def debounced_scans(spark: SparkSession, sf: str) -> DataFrame:
     return history.debounce(rows, "user_id", "event_type", "ts", "event_id", 12 * 3600).select("user_id", "event_id")
 
 
-@query("sampled_documents")
+@query("sampled_documents", "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY md5(doc_id::VARCHAR || '|0'), doc_id LIMIT 50")
 def sampled_documents(spark: SparkSession, sf: str) -> DataFrame:
     return history.sample_docs(load(spark, sf, "documents"), F.col("doc_id"), 50).select("doc_id", "lang", "source", "n_chars")
 
 
-@query("streamed_changes", """WITH rec AS (SELECT p_partkey AS k, p_name || ' s' AS name, CASE p_partkey % 3 WHEN 0 THEN ['c0', 'c1'] WHEN 1 THEN ['c1'] ELSE ['c2'] END AS cs FROM part)
-SELECT k, c AS country, name FROM (SELECT k, name, unnest(cs) AS c FROM rec WHERE k % 10 <> 3) WHERE c <> 'c2'""")
+@query("streamed_changes", """WITH base AS (SELECT k, c AS country, name FROM (SELECT p_partkey AS k, p_name || ' s' AS name, unnest(CASE p_partkey % 3 WHEN 0 THEN ['c0', 'c1'] WHEN 1 THEN ['c1'] ELSE ['c2'] END) AS c FROM part WHERE p_partkey % 10 <> 3) WHERE c <> 'c2'),
+later AS (SELECT max(p_partkey) AS k FROM part)
+SELECT * FROM base WHERE k <> (SELECT k FROM later) UNION ALL SELECT p_partkey, 'c1', p_name || ' t' FROM part WHERE p_partkey = (SELECT k FROM later)""")
 def streamed_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Change files through the streaming path: landed, merged per batch, read through the pointer."""
+    """Change files through the streaming path in two batches; the second one changes a single product."""
     from larder.streaming.changes import read_current, stream_changes
 
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     k = F.col("p_partkey")
-    records = load(spark, sf, "part").select(
+    part = load(spark, sf, "part")
+    records = part.select(
         k.alias("k"), k.alias("file"), F.when(k % 10 != 3, F.concat("p_name", F.lit(" s"))).alias("name"),
         F.when(k % 3 == 0, F.array(F.lit("c0"), F.lit("c1"))).when(k % 3 == 1, F.array(F.lit("c1"))).otherwise(F.array(F.lit("c2"))).alias("countries"))
-    records.write.json(f"{root}/landing")
-    stream_changes(spark, f"{root}/landing", f"{root}/catalog", f"{root}/checkpoint", "k long, file long, name string, countries array<string>",
-                   ["c0", "c1"], key="k").awaitTermination()
+    last = part.join(part.agg(F.max(k).alias("_last")), k == F.col("_last")).select(
+        k.alias("k"), k.alias("file"), F.concat("p_name", F.lit(" t")).alias("name"), F.array(F.lit("c1")).alias("countries"))
+    for rows in (records, last):
+        rows.write.mode("append").json(f"{root}/landing")
+        stream_changes(spark, f"{root}/landing", f"{root}/catalog", f"{root}/checkpoint", "k long, file long, name string, countries array<string>",
+                       ["c0", "c1"], key="k").awaitTermination()
     return read_current(spark, f"{root}/catalog").select("k", "country", "name")

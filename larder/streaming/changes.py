@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators.latest import latest_per_key
@@ -28,42 +29,73 @@ def apply_changes(base: DataFrame, records: DataFrame, countries: list[str], key
 
 # ---------------------------------------------------------------- generations on disk
 
-def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The generation the newest pointer row names; None before the first one."""
+#: Folders that the rows of a country are dealt to by their key; a batch rewrites only those it touches.
+BUCKETS = 16
+
+
+def folder_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    """Current path of each (country, bucket); a NULL path is a folder that has become empty."""
     try:
-        pointers = spark.read.json(f"{root}/pointer")
-    except Exception as error:  # no pointer folder yet
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    row = pointers.agg(F.max_by("path", "batch").alias("path")).first()
-    return spark.read.parquet(row["path"]) if row and row["path"] else None
+        rows = spark.read.schema("batch long, country string, bucket int, path string").json(f"{root}/pointer/*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.groupBy("country", "bucket").agg(F.max_by("path", "batch").alias("path"))
+
+
+def read_current(spark: SparkSession, root: str, touched: DataFrame | None = None) -> DataFrame | None:
+    """The current generation, or of it only the folders that ``touched`` names; None before the first one.
+
+    Folders are countries times buckets, so their paths are a short list.
+    """
+    pointers = _pointers(spark, root)
+    if pointers is None:
+        return None
+    if touched is not None:
+        pointers = pointers.join(touched, ["country", "bucket"], "left_semi")
+    paths = [r.path for r in pointers.filter("path IS NOT NULL").collect()]
+    return spark.read.parquet(*paths) if paths else None
 
 
-def commit(df: DataFrame, root: str, batch: int) -> None:
-    """Write a new version directory, then add the pointer row that makes it current.
+def commit(df: DataFrame, root: str, batch: int, touched: DataFrame, key: str) -> None:
+    """Write the touched folders under the batch's number, then the pointers that make them current.
 
-    Named by the batch, so a batch that runs again after a failure writes the same directory.
+    Both are named by the batch and overwritten, so a batch that runs again after a failure leaves the same
+    files and no second pointer.
     """
-    path = f"{root}/version={batch:010d}"
-    df.write.mode("overwrite").parquet(path)
-    df.sparkSession.createDataFrame([(batch, path)], "batch long, path string").coalesce(1).write.mode("append").json(f"{root}/pointer")
+    path = f"{root}/data/batch={batch:010d}"
+    placed = df.withColumns({"_c": F.col("country"), "_b": folder_of(key)})
+    placed.write.mode("overwrite").partitionBy("_c", "_b").parquet(path)
+    filled = placed.select(F.col("_c").alias("country"), F.col("_b").alias("bucket")).distinct().withColumn(
+        "path", F.concat(F.lit(f"{path}/_c="), "country", F.lit("/_b="), F.col("bucket").cast("string")))
+    pointers = touched.join(filled, ["country", "bucket"], "left").withColumn("batch", F.lit(batch))
+    pointers.coalesce(1).write.mode("overwrite").json(f"{root}/pointer/batch={batch:010d}")
 
 
 def stream_changes(spark: SparkSession, landing: str, root: str, checkpoint: str, schema: str, countries: list[str],
-                   key: str = "barcode", order: list[str] = ("file",), prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Apply change files as they land; each batch makes one new generation.
+                   key: str = "barcode", order: list[str] = ("file",), prepare: Callable[[DataFrame], DataFrame] | None = None,
+                   files_per_batch: int = 1000) -> StreamingQuery:
+    """Apply change files as they land; each batch rewrites the folders it touches and leaves the others.
 
-    ``availableNow`` drains what has landed and stops, so a nightly job and a live one share the code.
+    ``availableNow`` drains what has landed in batches of at most ``files_per_batch`` files and stops, so a
+    nightly job and a live one share the code. Country names must be fit for folder names, as codes are.
     """
-    records = spark.readStream.schema(schema).json(landing)
+    records = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(landing)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare(batch) if prepare else batch
-        base = read_current(batch.sparkSession, root)
+        rows = (prepare(batch) if prepare else batch).persist()
+        # Every record speaks about every country.
+        touched = rows.select(F.explode(F.array(*[F.lit(c) for c in countries])).alias("country"), folder_of(key).alias("bucket")).distinct()
+        base = read_current(batch.sparkSession, root, touched)
         if base is None:
             base = rows.drop("countries", *order).withColumn("country", F.lit(None).cast("string")).limit(0)
-        commit(apply_changes(base, rows, countries, key, list(order)), root, batch_id)
+        commit(apply_changes(base, rows, countries, key, list(order)), root, batch_id, touched, key)
+        rows.unpersist()
 
     return (records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -42,6 +42,23 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
     assert sorted(map(tuple, batch.select("barcode", "country", "name").collect())) == state(spark, root)
 
 
+def test_a_batch_leaves_other_folders_alone(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "catalog")
+    run = lambda: stream_changes(spark, str(landing), root, str(tmp_path / "checkpoint"), SCHEMA, ["es", "fr"]).awaitTermination()
+    land(landing, "f1.json", [rec(str(i), 1, f"n{i}", "es", "fr") for i in range(200)])
+    run()
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "catalog" / "data").rglob("*.parquet")}
+    before = files()
+    land(landing, "f2.json", [rec("7", 2, "new", "es")])
+    run()
+    after = files()
+    assert all(after[p] == t for p, t in before.items())
+    # One product lies in one bucket of each country.
+    assert len({p.parent for p in set(after) - set(before)}) <= 2 and len({p.parent.name for p in set(after) - set(before)}) == 1
+    got = {(r[0], r[1]): r[2] for r in state(spark, root)}
+    assert len(got) == 399 and got["7", "es"] == "new" and ("7", "fr") not in got
+
+
 def brute(rows, seconds):
     out, last = [], {}
     for user, code, at in rows:
