@@ -19,7 +19,7 @@ def annex(spark: SparkSession, sf: str) -> DataFrame:
     n = lambda base: _num(F.lit(base) + D % 50)
     lit = F.lit
     body = F.concat(
-        lit("<p>PARTE A "), F.regexp_replace("text", "PARTE", "Parte"), lit("</p> PARTE B E "), n(100), lit(" Silicato ( 2 ) E "), n(200), lit("a Bentonita E "), n(300),
+        lit("<p>PARTE A "), F.col("text"), lit("</p> PARTE B E "), n(100), lit(" Silicato ( 2 ) E "), n(200), lit("a Bentonita E "), n(300),
         lit(" Goma ( 3 ) E 535 Sal E 537 Otra ( 2 ) Autorizado hasta el 31 de enero de "), _num(lit(2010) + D % 30), lit(". ( 3 ) Periodo: desde el 6 de febrero de 2013. PARTE C Grupo E "), n(100),
         lit(", E 535-538 PARTE D nada PARTE E uso E "), n(300), lit(" y E "), n(200), lit("a(ii) fin"))
     return load(spark, sf, "documents").select(D.alias("doc"), body.alias("text"))
@@ -32,10 +32,15 @@ def _sections(spark: SparkSession, sf: str) -> DataFrame:
 _N = "d AS (SELECT doc_id AS doc, doc_id % 50 AS r, 2010 + doc_id % 30 AS y FROM documents)"
 
 
-@query("annex_sections", f"""WITH {_N} SELECT doc, 'C' AS part, 'PARTE C Grupo E ' || (100 + r)::VARCHAR || ', E 535-538 ' AS text FROM d UNION ALL SELECT doc, 'D', 'PARTE D nada ' FROM d
-  UNION ALL SELECT doc, 'E', 'PARTE E uso E ' || (300 + r)::VARCHAR || ' y E ' || (200 + r)::VARCHAR || 'a(ii) fin' FROM d""")
+@query("annex_sections", """WITH body AS (SELECT doc_id AS doc, '<p>PARTE A ' || text || '</p> PARTE B E ' || (100 + doc_id % 50)::VARCHAR || ' Silicato ( 2 ) E ' || (200 + doc_id % 50)::VARCHAR || 'a Bentonita E ' || (300 + doc_id % 50)::VARCHAR
+   || ' Goma ( 3 ) E 535 Sal E 537 Otra ( 2 ) Autorizado hasta el 31 de enero de ' || (2010 + doc_id % 30)::VARCHAR || '. ( 3 ) Periodo: desde el 6 de febrero de 2013. PARTE C Grupo E ' || (100 + doc_id % 50)::VARCHAR
+   || ', E 535-538 PARTE D nada PARTE E uso E ' || (300 + doc_id % 50)::VARCHAR || ' y E ' || (200 + doc_id % 50)::VARCHAR || 'a(ii) fin' AS t FROM documents),
+flat AS (SELECT doc, regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g') AS t FROM body),
+at AS (SELECT doc, t, strpos(t, 'PARTE A') AS a, strpos(t, 'PARTE B') AS b, strpos(t, 'PARTE C') AS c, strpos(t, 'PARTE D') AS d, strpos(t, 'PARTE E') AS e FROM flat)
+SELECT doc, 'A' AS part, substring(t, a, b - a) AS text FROM places UNION ALL SELECT doc, 'B', substring(t, b, c - b) FROM places UNION ALL SELECT doc, 'C', substring(t, c, d - c) FROM places
+UNION ALL SELECT doc, 'D', substring(t, d, e - d) FROM places UNION ALL SELECT doc, 'E', substring(t, e) FROM places""".replace("at AS (SELECT doc, t,", "places AS (SELECT doc, t,"))
 def annex_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return _sections(spark, sf).filter("part IN ('C', 'D', 'E')")
+    return _sections(spark, sf)
 
 
 _AUTH = f"""{_N}, ls AS (SELECT doc, unnest([(100 + r)::VARCHAR, (200 + r)::VARCHAR || 'a', (300 + r)::VARCHAR, '535', '537']) AS e FROM d),
@@ -124,7 +129,7 @@ def us_code(spark: SparkSession, sf: str) -> DataFrame:
         lit("<P>(a)<I>Red "), n, lit(".</I> It "), F.when(D % 4 == 0, "causes cancer in rats").when(D % 4 == 1, "rests on insufficient data").when(D % 4 == 2, "had a notice, in the absence of a petition").otherwise("was listed"),
         lit(". The agency terminates the provisional listing of Red "), n, lit(" for use in "), F.when(D % 2 == 0, "foods and drugs").otherwise("cosmetics"), lakes, n,
         lit(" for use in food, effective 1990.</P><P>(b)(1) <I>Green.</I> Nothing ends here.</P>"))
-    return load(spark, sf, "documents").select(D.alias("doc"), F.concat(F.regexp_replace("text", "[<>]", " "), heads, para).alias("text"))
+    return load(spark, sf, "documents").select(D.alias("doc"), F.concat("text", heads, para).alias("text"))
 
 
 @query("us_banned", "SELECT doc_id AS doc, '21 CFR 189.' || (doc_id % 300 + 100)::VARCHAR AS section, 'Agent β-' || doc_id::VARCHAR || ' & salts' AS name FROM documents")
@@ -132,9 +137,12 @@ def us_banned(spark: SparkSession, sf: str) -> DataFrame:
     return reg.us_banned(us_code(spark, sf))
 
 
-@query("us_paragraphs", "SELECT doc_id AS doc, 'a' AS letter, 'Red ' || doc_id::VARCHAR AS name FROM documents UNION ALL SELECT doc_id, 'b', 'Green' FROM documents")
+@query("us_paragraphs", """SELECT doc_id AS doc, 'a' AS letter, 'Red ' || doc_id::VARCHAR AS name, '(a) Red ' || doc_id::VARCHAR || '. It ' || CASE doc_id % 4 WHEN 0 THEN 'causes cancer in rats' WHEN 1 THEN 'rests on insufficient data' WHEN 2 THEN 'had a notice, in the absence of a petition' ELSE 'was listed' END
+  || '. The agency terminates the provisional listing of Red ' || doc_id::VARCHAR || ' for use in ' || CASE WHEN doc_id % 2 = 0 THEN 'foods and drugs' ELSE 'cosmetics' END
+  || CASE WHEN doc_id % 3 = 0 THEN ' and the provisional listing of the lakes of Red ' ELSE ' and the provisional listing of Blue ' END || doc_id::VARCHAR || ' for use in food, effective 1990.' AS text FROM documents
+UNION ALL SELECT doc_id, 'b', 'Green', '(b)(1) Green. Nothing ends here.' FROM documents""")
 def us_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return reg.us_colour_paragraphs(us_code(spark, sf)).drop("text")
+    return reg.us_colour_paragraphs(us_code(spark, sf))
 
 
 @query("us_scope", """SELECT doc_id AS doc, 'a' AS letter, 'Red ' || doc_id::VARCHAR AS substance, CASE WHEN doc_id % 2 = 0 THEN 'foods and drugs' ELSE 'cosmetics' END AS uses, doc_id % 2 = 0 AS food, false AS lake FROM documents
@@ -162,18 +170,18 @@ def us_law(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _alarms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    us = reg.us_withdrawals(reg.us_colour_paragraphs(us_code(spark, sf))).filter("letter = 'a'").withColumn("section", F.concat(F.lit("s"), _num(F.col("doc"))))
+    us = reg.us_withdrawals(reg.us_colour_paragraphs(us_code(spark, sf))).withColumn("section", F.concat(F.lit("s"), _num(F.col("doc"))))
     mapping = load(spark, sf, "documents").filter(D % 5 != 0).select(F.concat(F.lit("s"), _num(D)).alias("section"), F.array(F.concat(F.lit("en:e"), _num(D % 90 + 100))).alias("applies_to"))
     bans = load(spark, sf, "nation").select(F.concat(F.lit("en:e"), _num(F.col("n_nationkey") + 100)).alias("tag"), F.lit("United States").alias("jurisdiction"))
     return ev.missing_withdrawals(us, mapping, bans)
 
 
-@query("unmapped_withdrawals", f"WITH {_US} SELECT 's' || doc::VARCHAR AS section, name FROM us WHERE letter = 'a' AND food AND doc % 5 = 0")
+@query("unmapped_withdrawals", f"WITH {_US} SELECT 's' || doc::VARCHAR AS section, name FROM us WHERE food AND doc % 5 = 0")
 def unmapped_withdrawals(spark: SparkSession, sf: str) -> DataFrame:
     return _alarms(spark, sf)[0]
 
 
-@query("unrecorded_withdrawals", f"WITH {_US} SELECT 's' || doc::VARCHAR AS section, 'en:e' || (doc % 90 + 100)::VARCHAR AS tag FROM us WHERE letter = 'a' AND food AND doc % 5 <> 0 AND doc % 90 >= 25")
+@query("unrecorded_withdrawals", f"WITH {_US} SELECT 's' || doc::VARCHAR AS section, 'en:e' || (doc % 90 + 100)::VARCHAR AS tag FROM us WHERE food AND doc % 5 <> 0 AND doc % 90 >= 25")
 def unrecorded_withdrawals(spark: SparkSession, sf: str) -> DataFrame:
     return _alarms(spark, sf)[1]
 
