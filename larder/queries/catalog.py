@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder import schema
@@ -12,7 +14,7 @@ from larder.plans import catalog, scoring
 from larder.queries.registry import query
 from larder.queries.scoring import nutri_sql
 from larder.rawdocs import RAW_SQL, dump_lines
-from larder.session import cut_lineage
+from larder.session import checkpoint_root, cut_lineage
 from larder.sources import dump
 
 WANTED = ["spain", "mexico", "united-states"]
@@ -278,6 +280,14 @@ def catalog_index(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.index_json(catalog.catalog_index(_placed(spark, sf)), "v1")
 
 
+@query("stored_catalog", f"WITH {_LADDER}, {_WEIGHTED}, {_CUTS}, {_PARTS} SELECT country, part::INT AS part, barcode, weight FROM placed")
+def stored_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Written by country and part in one pass, and read back by folder."""
+    path = f"{checkpoint_root(spark)}/catalog-{uuid.uuid4().hex}"
+    catalog.write_catalog(_placed(spark, sf), path, "v1")
+    return spark.read.parquet(f"{path}/version=v1").select("country", F.col("part").cast("int").alias("part"), "barcode", "weight")
+
+
 @query("reused_cuts", f"""WITH {_LADDER}, {_WEIGHTED}, tot AS (SELECT country, sum(weight) AS total FROM weighted GROUP BY country),
 old AS (SELECT w.country, '8410008' AS cut FROM tot w),
 piece AS (SELECT w.country, sum(weight) FILTER (barcode < cut) AS a, sum(weight) FILTER (barcode >= cut) AS b FROM weighted w JOIN old USING (country) GROUP BY w.country),

@@ -77,17 +77,39 @@ def contribution_queue(spark: SparkSession, sf: str) -> DataFrame:
     return history.export_queue(history.pending(rows))
 
 
-@query("debounced_scans", """WITH RECURSIVE r AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+_DEBOUNCED = """WITH RECURSIVE r AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 d AS (SELECT event_id, user_id, rn, event_type AS code, t AS last, true AS emit FROM r WHERE rn = 1
   UNION ALL SELECT r.event_id, r.user_id, r.rn, CASE WHEN r.event_type <> d.code OR r.t - d.last >= 43200000000 THEN r.event_type ELSE d.code END,
     CASE WHEN r.event_type <> d.code OR r.t - d.last >= 43200000000 THEN r.t ELSE d.last END, r.event_type <> d.code OR r.t - d.last >= 43200000000
   FROM d JOIN r ON r.user_id = d.user_id AND r.rn = d.rn + 1)
-SELECT user_id, event_id FROM d WHERE emit""")
+SELECT user_id, event_id FROM d WHERE emit"""
+
+
+@query("debounced_scans", _DEBOUNCED)
 def debounced_scans(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     return history.debounce(rows, "user_id", "event_type", "ts", "event_id", 12 * 3600).select("user_id", "event_id")
 
 
+@query("streamed_scans", _DEBOUNCED)
+def streamed_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rule as a stream: the earlier half of the time lands first, state carries over to the later one."""
+    from larder.streaming.scans import debounce_exact
+
+    root = f"{checkpoint_root(spark)}/scans-{uuid.uuid4().hex}"
+    rows = load(spark, sf, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    ends = rows.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b"))
+    late = F.col("ts").cast("double") >= (F.col("a") + F.col("b")) / 2
+    dealt = rows.crossJoin(F.broadcast(ends)).withColumn("late", late)  # one row of ends
+    for half in (~F.col("late"), F.col("late")):
+        dealt.filter(half).select(*rows.columns).write.mode("append").parquet(f"{root}/landing")
+        scans = spark.readStream.schema(rows.schema).parquet(f"{root}/landing")
+        kept = debounce_exact(scans, "user_id", "event_type", "ts", 12 * 3600)
+        (kept.writeStream.format("parquet").option("path", f"{root}/kept").option("checkpointLocation", f"{root}/checkpoint")
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{root}/kept").select("user_id", "event_id")
+
+
 @query("sampled_documents", "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY md5(doc_id::VARCHAR || '|0'), doc_id LIMIT 50")
 def sampled_documents(spark: SparkSession, sf: str) -> DataFrame:
     return history.sample_docs(load(spark, sf, "documents"), F.col("doc_id"), 50).select("doc_id", "lang", "source", "n_chars")

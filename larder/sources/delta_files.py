@@ -64,6 +64,10 @@ def pending_files(listing: DataFrame, since: int) -> DataFrame:
     """
     named = listing.filter(F.col("path").rlike(NAME)).select(
         "path", F.regexp_extract("path", NAME, 1).cast("long").alias("from"), F.regexp_extract("path", NAME, 2).cast("long").alias("to"))
+    # One row: how many names there are and how many of them are change files.
+    seen = listing.agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("path").rlike(NAME)).alias("_known"))
+    checked = seen.filter(F.assert_true((F.col("_all") == 0) | (F.col("_known") > 0), F.lit("no file name is that of a change file")).isNull())
+    named = named.crossJoin(F.broadcast(checked)).drop("_all", "_known")
     oldest = named.agg(F.min("from").alias("oldest"))
     return (named.crossJoin(F.broadcast(oldest))
             .filter(F.assert_true(F.col("oldest") <= since, F.lit("previous generation is older than the history")).isNull())

@@ -23,14 +23,19 @@ def debounce_window(scans: DataFrame, keys: list[str], at: str, delay: str = "25
     return scans.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def debounce_exact(scans: DataFrame, user: str, code: str, at: str, seconds: float = 2.5) -> DataFrame:
+def debounce_exact(scans: DataFrame, user: str, code: str, at: str, seconds: float = 2.5, delay: str = "1 minute") -> DataFrame:
     """Suppress a code that equals the last one emitted for the user less than ``seconds`` ago.
 
-    State is one (code, time) pair per user. Rows of a batch are ordered by event time inside it.
+    State is one (code, time) pair a user, and goes once the watermark is ``seconds`` past it, when it can't
+    suppress anything any more. Rows of a batch are ordered by event time inside it; rows later than
+    ``delay`` are dropped by the watermark, so an order across batches can't be broken by them.
     """
     schema = scans.schema
 
     def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_code, last_at = state.get if state.exists else (None, float("-inf"))
         rows = pd.concat(list(batches)).sort_values(at, kind="stable")
         keep = []
@@ -41,7 +46,8 @@ def debounce_exact(scans: DataFrame, user: str, code: str, at: str, seconds: flo
             if fresh:
                 last_code, last_at = c, now
         state.update((last_code, last_at))
+        state.setTimeoutTimestamp(max(int((last_at + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield rows[keep]
 
-    return scans.groupBy(user).applyInPandasWithState(
-        emit, schema, "code string, at double", "append", GroupStateTimeout.NoTimeout)
+    return scans.withWatermark(at, delay).groupBy(user).applyInPandasWithState(
+        emit, schema, "code string, at double", "append", GroupStateTimeout.EventTimeTimeout)
