@@ -152,7 +152,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     return model
 
 
-def graded(docs: DataFrame, model: Severity, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
+def graded(docs: DataFrame, model: Severity, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.25) -> DataFrame:
     """(id, held_out, severity, grade, p_toxic, toxic) of every row, from whole texts.
 
     severity is the expected grade (0 to 3), grade the likeliest one (the smaller of equals), toxic whether
