@@ -6,11 +6,12 @@ longs: the share of equal bit pairs, less those that agree by chance, estimates
 candidate pair, and only pairs well below the threshold are let go (0.5 for 0.75: more than five standard
 deviations). The others are confirmed on their full sets.
 
-Copies of one set are one representative. Inside a bucket of a band nobody meets everybody: each member
-meets the bucket's two hubs, links give components, and then only members outside a bucket's largest
-component meet the rest of it. So a large group of copies costs a few pairs a member, while every two
-members that the links haven't joined are still compared. At the threshold a pair misses all bands with a
-chance of 2e-6.
+Copies of one set are one representative. Inside a bucket of a band pairs aren't listed: each document
+meets two of the hubs of its buckets, links give components, and most groups are then whole. What the hubs
+leave apart is compared in full, in blocks: buckets with the same smallest member are a circle, a circle's
+documents are dealt to blocks of bounded size, and two blocks at a time meet in one task, which counts the
+shared shingles of all its pairs and returns a forest of links. So every two documents of a bucket that
+aren't joined yet are still compared. At the threshold a pair misses all bands with a chance of 2e-6.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHINGLE = 5
 BANDS, ROWS = 48, 5
 SAMPLES, LOW_BITS = 128, 2
 LONGS = SAMPLES * LOW_BITS // 64
+#: Bounds of a block of a circle: documents and shingles. Two blocks meet in one task.
+CELL_DOCS, CELL_SHINGLES = 512, 200_000
 _CHANCE = 1 / (1 << LOW_BITS)
 
 # Odd multipliers and offsets of the minima, from the mixer of consecutive numbers.
@@ -120,6 +123,48 @@ def _confirm(percent: int):
     return run
 
 
+def _cell(percent: int):
+    """Links between the documents of two blocks of a circle, as a forest: enough to join what belongs together."""
+    def run(table: pa.Table) -> pa.Table:
+        ids, labels, own = (table.column(c).to_numpy() for c in ("id", "label", "own"))
+        parts = [shingle_sets(b.column(b.schema.get_field_index("text"))) for b in pieces(iter(table.combine_chunks().to_batches()), "text")]
+        sizes = np.concatenate([np.diff(o) for _, o in parts])
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        _, which, counts = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True, return_counts=True)
+        # Shingles of one document alone meet nobody. The others are columns, a stretch of them at a time.
+        column = np.cumsum(counts > 1) - 1
+        useful = counts[which] > 1
+        owner, column = owner[useful], column[which[useful]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        width = 4096
+        cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            has = np.zeros((len(ids), width), np.float32)
+            has[owner[lo:hi], column[lo:hi] - k * width] = 1
+            both += has @ has.T
+        linked = (100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & (labels[:, None] != labels[None])
+        # Pairs inside a block belong to the cell of that block with itself.
+        if own.min() != own.max():
+            linked &= own[:, None] != own[None]
+        root = {x: x for x in labels.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        found = []
+        for x, y in np.argwhere(np.triu(linked, 1)).tolist():
+            p, q = top(int(labels[x])), top(int(labels[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                found.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([max(f) for f in found], pa.int64()), "b": pa.array([min(f) for f in found], pa.int64())})
+    return run
+
+
 def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -162,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     signed = cut_lineage(rows.mapInArrow(_signed, "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, bits array<bigint>"))
-    sets = signed.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("id", "bands", "bits")).alias("s")).select("k1", "k2", "s.*")
+    sets = signed.filter("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("id", "n", "bands", "bits")).alias("s")).select("k1", "k2", "s.*")
     sets = cut_lineage(sets)
     # Different sets under one id are linked by that id.
     members = sets.select("id", F.explode("bands").alias("band"))
@@ -173,27 +218,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     bits = sets.select("id", "bits")
     least = (percent / 100) * 2 / 3
 
-    met = shared.select("id", F.explode(F.array("low", "high")).alias("hub")).filter("id <> hub")
+    # Two hubs a document are enough here: the one it shares most bands with, and the smallest. What they
+    # leave apart is compared below.
+    hub = shared.select("id", F.col("low").alias("hub")).union(shared.select("id", F.col("high").alias("hub"))).filter("id <> hub")
+    votes = hub.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max(F.struct("n", -F.col("hub"))).alias("most"), F.min("hub").alias("least"))
+    met = votes.select("id", (-F.col("most").getField("col2")).alias("hub")).union(votes.select("id", "least"))
     met = met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-    guess = (met.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a")
-             .join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
-             .select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("e")).filter(F.col("e") >= least))
-    # Two hubs a document are enough here: the likeliest and the smallest. What they leave apart is compared below.
-    likely = guess.groupBy("a").agg(F.array_distinct(F.array(F.max_by("b", "e"), F.min("b"))).alias("b")).select("a", F.explode("b").alias("b"))
+    likely = (met.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a")
+              .join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
+              .filter(estimate(F.col("bits_a"), F.col("bits_b")) >= least).select("a", "b"))
     links = cut_lineage(_links(likely, texts, percent))
     labels = components(links)
 
-    # Buckets in which more than one component is left: everything outside the largest meets the rest.
-    labelled = shared.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("band", F.col("m.label").alias("most"))
-    rest = cut_lineage(labelled.join(largest, "band").join(bits, "id"))
-    out = rest.filter("label <> most").select("band", F.col("id").alias("a"), F.col("bits").alias("bits_a"), F.col("label").alias("label_a"))
-    other = rest.select("band", F.col("id").alias("b"), F.col("bits").alias("bits_b"), F.col("label").alias("label_b"), "most")
-    meets = ((out["band"] == other["band"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("most")) | (F.col("a") > F.col("b")))
-             & (estimate(F.col("bits_a"), F.col("bits_b")) >= least))
-    more = out.join(other, meets).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    later = cut_lineage(_links(more, texts, percent))
+    # Circles (buckets with the same smallest member) in which more than one component is left.
+    circles = shared.select("low", "id").distinct().join(sets.select("id", "n").groupBy("id").agg(F.max("n").alias("n")), "id")
+    circles = circles.join(labels, "id", "left").select("low", "id", "n", F.coalesce("label", "id").alias("label"))
+    open_ = circles.groupBy("low").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).filter("l0 < l1")
+    blocks = F.ceil(F.greatest(F.col("docs") / CELL_DOCS, F.col("shingles") / CELL_SHINGLES)).cast("int")
+    placed = circles.join(open_.select("low", blocks.alias("blocks")), "low").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.join(texts, "id").select("low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "text")
+    later = cut_lineage(cells.groupBy("low", "i", "j").applyInArrow(_cell(percent), "a bigint, b bigint"))
     if not later.isEmpty():
         labels = components(links.union(later))
 
