@@ -8,6 +8,8 @@ eight longs. Two fingerprints agree by chance in one bin of 16, which the likene
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BIN_BITS, LOW_BITS, SHINGLE = 7, 4, 5
@@ -76,24 +78,25 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(estimate)
 
 
-def with_next(rows: DataFrame, id_column: str, taken: list[str], bucket_rows: int = 1024) -> DataFrame:
-    """Adds next_<c> for each column taken: its value in the next row by descending id, after the last the first.
+def with_next(plain: DataFrame, id_column: str, taken: str, made: str, make: Callable[[DataFrame], DataFrame], bucket_rows: int = 1024) -> DataFrame:
+    """``make(plain)`` with next_<taken> and next_<made>: their values in the next row by descending id, after the last the first.
+
+    ``make`` adds the column ``made``, which follows from ``taken``; for the few rows at the edges of buckets
+    it is made again.
 
     Ids are dealt to buckets by equal steps of their range; a window runs inside a bucket only, and the
     last row of a bucket gets the first of the next one that has rows, found over buckets of buckets.
-    Rows without an id come last. Rows with the same id follow each other by the columns taken.
+    Rows without an id come last. Rows with the same id follow each other by the column taken.
     """
-    span = rows.agg(F.min(id_column).alias("lo"), F.max(id_column).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    span = plain.agg(F.min(id_column).alias("lo"), F.max(id_column).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi = span["lo"] or 0, span["hi"] or 0
     step = max(1, -(-(hi - lo + 1) * bucket_rows // max(span["n"], 1)))
     bucket = F.coalesce(F.floor((F.col(id_column).cast("decimal(20,0)") - lo) / step).cast("long"), _long(-1))
-    rows = rows.withColumn("_bucket", bucket)
-    order = [F.col(id_column).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in taken]]
-    run = Window.partitionBy("_bucket").orderBy(*order)
-    inner = rows.withColumns({f"_in_{c}": F.lead(F.struct(c)).over(run) for c in taken})
+    rows = make(plain).withColumn("_bucket", bucket)
+    run = Window.partitionBy("_bucket").orderBy(F.col(id_column).desc_nulls_last(), F.col(taken).desc_nulls_last())
+    inner = rows.withColumns({f"_in_{c}": F.lead(F.struct(c)).over(run) for c in (taken, made)})
 
-    first = F.struct(id_column, *taken)
-    heads = rows.groupBy("_bucket").agg(F.max(first).alias("_head"))
+    heads = plain.groupBy(bucket.alias("_bucket")).agg(F.max(F.struct(id_column, taken)).alias("_head"))
     places = heads.select("_bucket", F.floor(F.col("_bucket") / 1024).alias("_super"))
     outer = Window.partitionBy("_super").orderBy(F.desc("_bucket"))
     top = Window.orderBy(F.desc("_super"))
@@ -101,11 +104,12 @@ def with_next(rows: DataFrame, id_column: str, taken: list[str], bucket_rows: in
     supers = supers.select("_super", F.coalesce(F.lead("_most").over(top), F.max("_most").over(Window.partitionBy())).alias("_after"))
     follows = places.withColumn("_next", F.lead("_bucket").over(outer)).join(supers, "_super").select(
         F.col("_bucket").alias("_of"), F.coalesce("_next", "_after").alias("_next"))
-    heads = follows.join(heads.withColumnRenamed("_bucket", "_next"), "_next").select("_of", "_head")
-    last = F.col(f"_in_{taken[0]}").isNull()
+    heads = make(follows.join(heads.withColumnRenamed("_bucket", "_next"), "_next").select("_of", F.col("_head")[taken].alias(taken)))
+    heads = heads.select("_of", F.struct(taken, made).alias("_head"))
+    last = F.col(f"_in_{taken}").isNull()
     out = inner.join(heads, (F.col("_bucket") == F.col("_of")) & last, "left")
     return out.select(*[c for c in rows.columns if c != "_bucket"], *[
-        F.when(last, F.col("_head")[c]).otherwise(F.col(f"_in_{c}")[c]).alias(f"next_{c}") for c in taken])
+        F.when(last, F.col("_head")[c]).otherwise(F.col(f"_in_{c}")[c]).alias(f"next_{c}") for c in (taken, made)])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -115,8 +119,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     is followed by itself; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
-    rows = with_bins(rows, F.col("_text"), "_bins")
-    rows = with_next(rows, "_id", ["_text", "_bins"])
+    rows = with_next(rows, "_id", "_text", "_bins", lambda df: with_bins(df, F.col("_text"), "_bins"))
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("next__text"), F.lit(1), half))
