@@ -426,11 +426,21 @@ def publish(tables: dict[str, DataFrame], path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- audits
 
-def audit_source(items: DataFrame, universe: DataFrame, linked: DataFrame) -> DataFrame:
-    """Coverage of one source: which items' CAS numbers it holds, which are linked, which are lost."""
+def source_coverage(items: DataFrame, universe: DataFrame, linked: DataFrame) -> DataFrame:
+    """(item, has_cas, held, linked): whether a source holds an item's CAS numbers and whether it was linked."""
     held = items.select("item", F.explode("cas").alias("cas")).join(universe.select("cas").distinct(), "cas", "left_semi").select("item").distinct().withColumn("held", F.lit(True))
-    rows = items.select("item", (F.size("cas") > 0).alias("has_cas")).join(held, "item", "left").join(
+    return items.select("item", (F.size("cas") > 0).alias("has_cas")).join(held, "item", "left").join(
         linked.select("item").distinct().withColumn("linked", F.lit(True)), "item", "left").fillna(False, ["held", "linked"])
+
+
+def lost_items(items: DataFrame, universe: DataFrame, linked: DataFrame) -> DataFrame:
+    """Items whose CAS number a source holds though no link was made: the list behind the count."""
+    return source_coverage(items, universe, linked).filter(F.col("held") & ~F.col("linked")).select("item")
+
+
+def audit_source(items: DataFrame, universe: DataFrame, linked: DataFrame) -> DataFrame:
+    """Coverage of one source: how many items' CAS numbers it holds, how many are linked, how many are lost."""
+    rows = source_coverage(items, universe, linked)
     return rows.agg(F.count(F.lit(1)).alias("items"), F.count_if("has_cas").alias("with_cas"), F.count_if("held").alias("in_source"),
                     F.count_if(F.col("has_cas") & ~F.col("held")).alias("not_in_source"), F.count_if("linked").alias("linked"),
                     F.count_if(F.col("held") & ~F.col("linked")).alias("lost"), F.count_if(F.col("linked") & ~F.col("held")).alias("linked_otherwise"))

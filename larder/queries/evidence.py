@@ -400,6 +400,16 @@ def source_audit(spark: SparkSession, sf: str) -> DataFrame:
     return ev.audit_source(c.items, view(spark, sf, "clp_v"), c.classes.filter("clp_cas IS NOT NULL"))
 
 
+@query("lost_items", f"""WITH {_CLASSES}, u AS (SELECT cas FROM cp UNION SELECT cas FROM clp_v)
+SELECT DISTINCT i.item FROM it i WHERE i.cas IN (SELECT cas FROM u) AND i.item NOT IN (SELECT item FROM cl WHERE clp_cas IS NOT NULL AND item::VARCHAR NOT LIKE '%3')""")
+def lost_items(spark: SparkSession, sf: str) -> DataFrame:
+    """As if the links of some items had been forgotten."""
+    c = Chain(spark, sf)
+    c.wide()
+    linked = c.classes.filter("clp_cas IS NOT NULL AND CAST(item AS STRING) NOT LIKE '%3'")
+    return ev.lost_items(c.items, view(spark, sf, "clp_v"), linked)
+
+
 @query("audit_without_cas", f"""WITH {_SUBS}, b AS (SELECT * FROM it WHERE cas IS NULL), rt AS (SELECT item, regexp_extract(e, '^([0-9]+)', 1) AS e FROM b WHERE e IS NOT NULL),
 sib AS (SELECT DISTINCT regexp_extract(e, '^([0-9]+)', 1) AS e FROM it WHERE cas IN (SELECT cas FROM subs_v) AND e IS NOT NULL),
 f AS (SELECT b.item, b.item IN (SELECT item FROM rt JOIN gm ON gm.e = rt.e) AS by_e, b.item IN (SELECT item FROM rt JOIN sib ON sib.e = rt.e) AS by_family FROM b)

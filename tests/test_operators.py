@@ -183,3 +183,32 @@ def test_catalogue_scan_is_pruned(spark):
     rows = load(spark, "/root/testdata/sf0.001", "events").select("user_id", "event_id", "ts").filter("user_id = 3")
     text = plan(latest_per_key(rows, ["user_id"], ["ts"]))
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in text and "props" not in text
+
+
+def test_shared_folder_is_required_off_one_machine():
+    from types import SimpleNamespace
+
+    from larder.session import checkpoint_root
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default),
+                            sparkContext=SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(spark)
+
+
+def test_republished_links_count_once(spark):
+    from larder.plans.sync import walk_chains
+
+    starts = spark.createDataFrame([("c", 1, "v1", "v4")], "country string, part int, local string, published string")
+    links = [("c", 1, "v1", "v2", 5), ("c", 1, "v1", "v2", 7), ("c", 1, "v2", "v3", 1), ("c", 1, "v2", "v3", 1), ("c", 1, "v3", "v4", 2)]
+    rows = walk_chains(starts, spark.createDataFrame(links, "country string, part int, from string, to string, bytes long")).collect()
+    assert [(r.steps, r.bytes, r.complete) for r in rows] == [(3, 10.0, True)]
+
+
+def test_listing_without_change_files_fails(spark):
+    from larder.sources.delta_files import pending_files
+
+    with pytest.raises(Exception, match="no file name"):
+        pending_files(spark.createDataFrame([("a.txt",)], "path string"), 0).collect()
+    empty = spark.createDataFrame([], "path string")
+    assert pending_files(empty, 0).collect() == []

@@ -15,6 +15,8 @@ SF = "/root/testdata/sf0.001"
 FAST = [
     "nutriscore", "health_scores", "additive_assessments", "nova_markers", "cosmetic_flags", "catalog_rows", "trimmed_catalog",
     "generation_changes", "delta_violations", "changes_applied", "postings", "ranked_documents", "barcode_checks", "gs1_classes",
+    "sync_plans", "republished_plans", "chain_refused", "published_nutriscore", "annex_sections", "us_paragraphs", "tag_lists", "ingredient_rows",
+    "properties", "part_routing", "product_search", "sampled_documents", "streamed_changes", "streamed_scans", "stored_catalog",
     "history_view", "nutrient_values", "field_census", "item_tag_links", "protective_intakes", "annex_classes", "us_scope",
 ]
 NAMES = list(oracle_sql()) if os.environ.get("LARDER_ALL") else FAST
