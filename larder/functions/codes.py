@@ -49,6 +49,9 @@ GS1_RULES = [
     (990, 999, "coupon", None, "coupon"),
 ]
 UNRESOLVABLE = ["store-internal", "coupon", "refund"]
+# Short codes of what a user is told about a code that isn't a product's.
+GS1_NOTES = {"store-internal": "not-unique-worldwide", "book": "isbn-of-a-book", "magazine": "issn-of-a-periodical",
+             "coupon": "coupon-not-a-product", "refund": "refund-not-a-product"}
 
 
 def normalize_barcode(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larder.functions.codes import GS1_RULES, UNRESOLVABLE, catalog_priority, only_digits
+from larder.functions.codes import GS1_NOTES, GS1_RULES, UNRESOLVABLE, catalog_priority, only_digits
 
 
 def in_range(key: Column, low: Column, high: Column) -> Column:
@@ -61,7 +61,7 @@ def gs1_rules(spark, order: str = "as_published") -> DataFrame:
 
 
 def classify_barcodes(df: DataFrame, code: str, order: str = "as_published") -> DataFrame:
-    """Adds ``kind``, ``region`` and ``country`` of the first matching rule.
+    """Adds ``kind``, ``region`` and ``country`` of the first matching rule, and ``note`` where it is no product.
 
     The rules only look at two or three digits, so they are joined with the 1000 possible prefixes
     once; codes then take an equi join with that 1000-row table.
@@ -77,7 +77,12 @@ def classify_barcodes(df: DataFrame, code: str, order: str = "as_published") ->
     prefix = F.when(F.length(digits) > 8, F.left(digits, F.lit(3)).cast("int"))
     kind = F.when(F.length(digits) < 8, "unknown").otherwise(F.coalesce(F.col("gs1.kind"), F.lit("product")))
     return (df.withColumn("_p3", prefix).join(F.broadcast(table), F.col("_p3") == F.col("p3"), "left")
-            .select(*df.columns, kind.alias("kind"), F.col("gs1.region").alias("region"), F.col("gs1.country").alias("country")))
+            .select(*df.columns, kind.alias("kind"), F.col("gs1.region").alias("region"), F.col("gs1.country").alias("country"))
+            .withColumn("note", gs1_note(F.col("kind"))))
+
+
+def gs1_note(kind: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in GS1_NOTES.items() for x in pair]), kind)
 
 
 def unresolvable(kind: Column) -> Column:

@@ -61,7 +61,7 @@ def _classify(spark: SparkSession, sf: str, order: str = "as_published") -> Data
     return ranges.classify_barcodes(normal, "code", order)
 
 
-@query("gs1_classes", f"WITH {_classified()} SELECT code, kind, region, country FROM c")
+@query("gs1_classes", f"WITH {_classified()} SELECT code, kind, region, country, CASE kind WHEN 'store-internal' THEN 'not-unique-worldwide' WHEN 'book' THEN 'isbn-of-a-book' WHEN 'magazine' THEN 'issn-of-a-periodical' WHEN 'coupon' THEN 'coupon-not-a-product' WHEN 'refund' THEN 'refund-not-a-product' END AS note FROM c")
 def gs1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return _classify(spark, sf)
 
