@@ -361,6 +361,21 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return rows.mapInArrow(run, rows.select(*kept).schema.add(text, "string"))
 
 
+def coded(docs: DataFrame, path: str, text_column: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with piece ids added and the text decoded from them again, in one pass; else as ``encoded``."""
+    kept = [c for c in docs.columns if c != ids]
+
+    def run(batches):
+        worker = encoder(path)
+        for batch in pieces(batches, text_column):
+            flat, offsets = worker.encode([t or "" for t in batch.column(batch.schema.get_field_index(text_column)).to_pylist()])
+            back = pa.array([worker.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:])], pa.string())
+            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[back if c == text_column else batch.column(batch.schema.get_field_index(c)) for c in kept], column], [*kept, ids])
+
+    return docs.mapInArrow(run, docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType())))
+
+
 def piece_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, n_pieces, ids_sha256, decoded_sha256, round_trip): encoding and decoding in one pass.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.arrays import Words, ragged, window_hashes, window_starts
+from larder.llm.arrays import Words, give_back, ragged, window_hashes, window_starts
 
 #: A perfect difference cover (fixed values).
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -42,6 +42,7 @@ class _Block:
         self.table, self.ids, self.window = table.take(order), self.ids[order], window
         self.words = Words(self.table.column(text))
         self.hashes = self.words.hashes()
+        give_back()
 
     def anchors(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the anchors."""

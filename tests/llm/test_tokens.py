@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from larder.llm.sentencepieces import decoded, encoded, encoder, piece_digests
+from larder.llm.sentencepieces import coded, decoded, encoded, encoder, piece_digests
 from larder.llm.tokens import token_counts, with_token_counts
 
 from conftest_llm import odd_rows
@@ -53,6 +53,9 @@ def test_pieces_round_trip(clashing, empty):
     out = decoded(encoded(clashing, PIECES), PIECES)
     assert out.columns == [*clashing.columns, "ids", "decoded"]
     assert all(r.decoded == (r.text or "") for r in out.collect())
+    both = coded(clashing, PIECES)
+    assert both.columns == [*clashing.columns, "ids"]
+    assert sorted((r.text, r.ids) for r in both.collect()) == sorted((r.decoded, r.ids) for r in out.collect())
     assert all(r.round_trip for r in piece_digests(clashing, PIECES).collect())
 
 
