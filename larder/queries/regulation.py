@@ -10,19 +10,19 @@ from larder.plans import evidence as ev
 from larder.queries.registry import query
 from larder.sources import regulation as reg
 
-D = F.col("doc_id")
+D = lambda: F.col("doc_id")
 _num = lambda c: c.cast("string")
 
 
 def annex(spark: SparkSession, sf: str) -> DataFrame:
     """One annex per document: its own text as preamble, then five sections."""
-    n = lambda base: _num(F.lit(base) + D % 50)
+    n = lambda base: _num(F.lit(base) + D() % 50)
     lit = F.lit
     body = F.concat(
         lit("<p>PARTE A "), F.col("text"), lit("</p> PARTE B E "), n(100), lit(" Silicato ( 2 ) E "), n(200), lit("a Bentonita E "), n(300),
-        lit(" Goma ( 3 ) E 535 Sal E 537 Otra ( 2 ) Autorizado hasta el 31 de enero de "), _num(lit(2010) + D % 30), lit(". ( 3 ) Periodo: desde el 6 de febrero de 2013. PARTE C Grupo E "), n(100),
+        lit(" Goma ( 3 ) E 535 Sal E 537 Otra ( 2 ) Autorizado hasta el 31 de enero de "), _num(lit(2010) + D() % 30), lit(". ( 3 ) Periodo: desde el 6 de febrero de 2013. PARTE C Grupo E "), n(100),
         lit(", E 535-538 PARTE D nada PARTE E uso E "), n(300), lit(" y E "), n(200), lit("a(ii) fin"))
-    return load(spark, sf, "documents").select(D.alias("doc"), body.alias("text"))
+    return load(spark, sf, "documents").select(D().alias("doc"), body.alias("text"))
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,14 +122,14 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def us_code(spark: SparkSession, sf: str) -> DataFrame:
     """Part 189 headings and § 81.10 paragraphs after each document's own text."""
-    lit, n = F.lit, _num(D)
-    heads = F.concat(lit("<HEAD>§ 189."), _num(D % 300 + 100), lit(" Agent &#x3B2;-"), n, lit(" &amp; salts.</HEAD><HEAD>§ 189.1 General.</HEAD><HEAD>Other</HEAD>"))
-    lakes = F.when(D % 3 == 0, " and the provisional listing of the lakes of Red " ).otherwise(" and the provisional listing of Blue ")
+    lit, n = F.lit, _num(D())
+    heads = F.concat(lit("<HEAD>§ 189."), _num(D() % 300 + 100), lit(" Agent &#x3B2;-"), n, lit(" &amp; salts.</HEAD><HEAD>§ 189.1 General.</HEAD><HEAD>Other</HEAD>"))
+    lakes = F.when(D() % 3 == 0, " and the provisional listing of the lakes of Red " ).otherwise(" and the provisional listing of Blue ")
     para = F.concat(
-        lit("<P>(a)<I>Red "), n, lit(".</I> It "), F.when(D % 4 == 0, "causes cancer in rats").when(D % 4 == 1, "rests on insufficient data").when(D % 4 == 2, "had a notice, in the absence of a petition").otherwise("was listed"),
-        lit(". The agency terminates the provisional listing of Red "), n, lit(" for use in "), F.when(D % 2 == 0, "foods and drugs").otherwise("cosmetics"), lakes, n,
+        lit("<P>(a)<I>Red "), n, lit(".</I> It "), F.when(D() % 4 == 0, "causes cancer in rats").when(D() % 4 == 1, "rests on insufficient data").when(D() % 4 == 2, "had a notice, in the absence of a petition").otherwise("was listed"),
+        lit(". The agency terminates the provisional listing of Red "), n, lit(" for use in "), F.when(D() % 2 == 0, "foods and drugs").otherwise("cosmetics"), lakes, n,
         lit(" for use in food, effective 1990.</P><P>(b)(1) <I>Green.</I> Nothing ends here.</P>"))
-    return load(spark, sf, "documents").select(D.alias("doc"), F.concat("text", heads, para).alias("text"))
+    return load(spark, sf, "documents").select(D().alias("doc"), F.concat("text", heads, para).alias("text"))
 
 
 @query("us_banned", "SELECT doc_id AS doc, '21 CFR 189.' || (doc_id % 300 + 100)::VARCHAR AS section, 'Agent β-' || doc_id::VARCHAR || ' & salts' AS name FROM documents")
@@ -171,7 +171,7 @@ def us_law(spark: SparkSession, sf: str) -> DataFrame:
 
 def _alarms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     us = reg.us_withdrawals(reg.us_colour_paragraphs(us_code(spark, sf))).withColumn("section", F.concat(F.lit("s"), _num(F.col("doc"))))
-    mapping = load(spark, sf, "documents").filter(D % 5 != 0).select(F.concat(F.lit("s"), _num(D)).alias("section"), F.array(F.concat(F.lit("en:e"), _num(D % 90 + 100))).alias("applies_to"))
+    mapping = load(spark, sf, "documents").filter(D() % 5 != 0).select(F.concat(F.lit("s"), _num(D())).alias("section"), F.array(F.concat(F.lit("en:e"), _num(D() % 90 + 100))).alias("applies_to"))
     bans = load(spark, sf, "nation").select(F.concat(F.lit("en:e"), _num(F.col("n_nationkey") + 100)).alias("tag"), F.lit("United States").alias("jurisdiction"))
     return ev.missing_withdrawals(us, mapping, bans)
 
@@ -189,11 +189,11 @@ def unrecorded_withdrawals(spark: SparkSession, sf: str) -> DataFrame:
 def acts(spark: SparkSession, sf: str) -> DataFrame:
     """Recitals in front of each document's text, far enough apart not to share a context."""
     gap = F.repeat(F.lit("filler words "), F.lit(14))
-    said = (F.when(D % 5 == 0, "It can no longer be considered safe when used as an additive.").when(D % 5 == 1, "There is a lack of toxicity data and genotoxicity data were requested.")
-            .when(D % 5 == 2, "The substance was found to be carcinogenic in mice.").when(D % 5 == 3, "Available studies on carcinogenic effects, genotoxicity and others were limited.").otherwise("Nothing is said."))
+    said = (F.when(D() % 5 == 0, "It can no longer be considered safe when used as an additive.").when(D() % 5 == 1, "There is a lack of toxicity data and genotoxicity data were requested.")
+            .when(D() % 5 == 2, "The substance was found to be carcinogenic in mice.").when(D() % 5 == 3, "Available studies on carcinogenic effects, genotoxicity and others were limited.").otherwise("Nothing is said."))
     # The driver's prose may hold any of the words looked for: letters that spell them are masked.
     prose = F.regexp_replace("text", r"(?i)\b(data|information|evidence|studies|study|limited|available|submitted|provided|lack|absence|requested|missing|insufficient|no|not|concern|genotox\w*|carcinogen\w*|mutagen\w*)\b", "w")
-    return load(spark, sf, "documents").select(D.alias("doc"), F.concat(said, F.lit(" "), gap, prose).alias("text"))
+    return load(spark, sf, "documents").select(D().alias("doc"), F.concat(said, F.lit(" "), gap, prose).alias("text"))
 
 
 @query("withdrawal_reasons", """SELECT doc_id AS doc, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS verdicts, CASE WHEN doc_id % 5 = 2 THEN 1 ELSE 0 END AS hazards, CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END AS no_data, 0 AS nobody,

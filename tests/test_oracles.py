@@ -39,3 +39,13 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_queries_can_be_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"], cwd=root, capture_output=True, text=True)
+    assert said.stdout.strip().endswith("True"), said.stderr[-500:]
