@@ -70,7 +70,7 @@ def pending_files(listing: DataFrame, since: int) -> DataFrame:
     named = named.crossJoin(F.broadcast(checked)).drop("_all", "_known")
     oldest = named.agg(F.min("from").alias("oldest"))
     return (named.crossJoin(F.broadcast(oldest))
-            .filter(F.assert_true(F.col("oldest") <= since, F.lit("previous generation is older than the history")).isNull())
+            .filter(F.assert_true(F.coalesce(F.col("oldest") <= since, F.lit(True)), F.lit("previous generation is older than the history")).isNull())
             .filter(F.col("to") > since).drop("oldest"))
 
 
