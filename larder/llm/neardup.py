@@ -22,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larder.llm.arrays import Words, mix, pieces, window_hashes, window_starts
+from larder.llm.arrays import Words, give_back, mix, pieces, window_hashes, window_starts
+from larder.operators.ranges import join_lines
 from larder.session import checkpoint_root, cut_lineage
 
 SHINGLE = 5
@@ -138,7 +139,7 @@ def _cell(percent: int):
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         both = np.zeros((len(ids), len(ids)), np.float32)
-        width = 4096
+        width, has = 2048, None
         cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
         for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
             has = np.zeros((len(ids), width), np.float32)
@@ -156,11 +157,17 @@ def _cell(percent: int):
             return x
 
         found = []
-        for x, y in np.argwhere(np.triu(linked, 1)).tolist():
-            p, q = top(int(labels[x])), top(int(labels[y]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                found.append((int(ids[x]), int(ids[y])))
+        for x in range(len(ids)):
+            others = x + 1 + np.flatnonzero(linked[x, x + 1:])
+            # One link to each label is enough.
+            names, first = np.unique(labels[others], return_index=True)
+            for name, y in zip(names.tolist(), others[first].tolist()):
+                p, q = top(int(labels[x])), top(name)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    found.append((int(ids[x]), int(ids[y])))
+        del has, both, linked
+        give_back()
         return pa.table({"a": pa.array([max(f) for f in found], pa.int64()), "b": pa.array([min(f) for f in found], pa.int64())})
     return run
 
@@ -235,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     circles = circles.join(labels, "id", "left").select("low", "id", "n", F.coalesce("label", "id").alias("label"))
     open_ = circles.groupBy("low").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")).filter("l0 < l1")
     blocks = F.ceil(F.greatest(F.col("docs") / CELL_DOCS, F.col("shingles") / CELL_SHINGLES)).cast("int")
-    placed = circles.join(open_.select("low", blocks.alias("blocks")), "low").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = join_lines(circles, open_.select("low", blocks.alias("blocks")), ["low"], "id", "inner").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = placed.join(texts, "id").select("low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "text")
     later = cut_lineage(cells.groupBy("low", "i", "j").applyInArrow(_cell(percent), "a bigint, b bigint"))
