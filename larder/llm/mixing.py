@@ -102,8 +102,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
             .select(F.col("_id").alias(id_column), back.alias(source_column), "block", "slot", "place"))
 
 
-def in_mixed_order(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with the same columns and rows, sorted as ``mixed`` says."""
+def in_mixed_order(docs: DataFrame, id_column: str = "doc_id", slot: str | None = None, place: str | None = None, **settings) -> DataFrame:
+    """``docs`` with the same rows, sorted as ``mixed`` says; its slot and place are added under the names given."""
     where = mixed(docs, id_column=id_column, **settings).select(F.col(id_column).alias("_mixed_id"), F.col("slot").alias("_mixed_slot"), F.col("place").alias("_mixed_place"))
-    joined = docs.join(where, F.col(id_column).eqNullSafe(F.col("_mixed_id")), "left")
-    return joined.orderBy("_mixed_slot", "_mixed_place").select(*[docs[c] for c in docs.columns])
+    joined = docs.join(where, F.col(id_column).eqNullSafe(F.col("_mixed_id")), "left").orderBy("_mixed_slot", "_mixed_place")
+    added = [F.col(c).alias(name) for c, name in (("_mixed_slot", slot), ("_mixed_place", place)) if name]
+    return joined.select(*[docs[c] for c in docs.columns], *added)

@@ -1,11 +1,16 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
+import random
+from itertools import groupby
+from types import SimpleNamespace
+
 import pytest
 
 import corpus_pipeline
 from larder.llm.queries import ORACLES, QUERIES
 from oracle import compare, connect
 from test_copies import brute_components, brute_repeats
+from test_native import _check
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +46,31 @@ def test_stages_hand_on_the_columns_of_documents(spark, tmp_path):
 
 def test_run_writes_all_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_run_keeps_the_shares_of_sources_in_every_prefix(spark, tmp_path):
+    r = random.Random(5)
+    known = sorted({w for x in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").limit(40).collect() for w in x.text.lower().split() if w.isalpha()})
+    sources = ["big"] * 900 + ["mid"] * 450 + ["small"] * 150
+    rows = [(i, " ".join(r.choice(known) for _ in range(r.choice((30, 300)))), "en", s) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) AS n_chars")
+    docs.repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        got, files = out.select("source", "doc_id", "slot", "place").collect(), sorted(out.inputFiles())
+        by_file = [x.doc_id for f in files for x in spark.read.option("maxPartitionBytes", "1g").parquet(f).coalesce(1).select("doc_id").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(files) > 3 and len(got) == len({x.doc_id for x in got}) > 1400
+    # Blocks as they come in the result.
+    blocks, seen, placed = [list(g) for _, g in groupby(got, key=lambda x: (x.source, x.slot))], {}, []
+    for slot, block in enumerate(blocks):
+        nth = seen[block[0].source] = seen.get(block[0].source, -1) + 1
+        assert [(x.slot, x.place) for x in block] == [(slot, p) for p in range(len(block))]
+        placed += [SimpleNamespace(source=x.source, block=nth, slot=slot) for x in block]
+    _check(placed, 64, 1000)
+    assert len(seen) == 3 and by_file == [x.doc_id for x in got]
