@@ -191,9 +191,7 @@ def acts(spark: SparkSession, sf: str) -> DataFrame:
     gap = F.repeat(F.lit("filler words "), F.lit(14))
     said = (F.when(D() % 5 == 0, "It can no longer be considered safe when used as an additive.").when(D() % 5 == 1, "There is a lack of toxicity data and genotoxicity data were requested.")
             .when(D() % 5 == 2, "The substance was found to be carcinogenic in mice.").when(D() % 5 == 3, "Available studies on carcinogenic effects, genotoxicity and others were limited.").otherwise("Nothing is said."))
-    # The driver's prose may hold any of the words looked for: letters that spell them are masked.
-    prose = F.regexp_replace("text", r"(?i)\b(data|information|evidence|studies|study|limited|available|submitted|provided|lack|absence|requested|missing|insufficient|no|not|concern|genotox\w*|carcinogen\w*|mutagen\w*)\b", "w")
-    return load(spark, sf, "documents").select(D().alias("doc"), F.concat(said, F.lit(" "), gap, prose).alias("text"))
+    return load(spark, sf, "documents").select(D().alias("doc"), F.concat(said, F.lit(" "), gap, "text").alias("text"))
 
 
 @query("withdrawal_reasons", """SELECT doc_id AS doc, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS verdicts, CASE WHEN doc_id % 5 = 2 THEN 1 ELSE 0 END AS hazards, CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END AS no_data, 0 AS nobody,
