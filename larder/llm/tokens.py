@@ -1,13 +1,12 @@
-"""Token counts by compiled finite-state transducers.
+"""Token counts: words by a compiled finite-state transducer, their tokens by merging.
 
-Two deterministic transducers are compiled from the vocabulary file. The outer one reads character
-classes of the normalised text and marks where tokens' words begin; its transitions carry the marks.
-A text is cut into chunks that are run from all states at once, which gives each chunk a map from
-states to states; the maps are composed by a parallel prefix scan, after which the true first state
-of each chunk is known. The inner one reads the bytes of a word; the transition at a word's end emits
-the number of tokens that the merges leave of it. It is compiled for the distinct words of a piece of
-text, all words side by side: each step merges the earliest pair of every word. A text's count is the
-difference of the running sum of emissions.
+The transducer is compiled by hand. It reads character classes of the normalised text and marks where
+words begin; its transitions carry the marks, no counts. A text is cut into chunks that are run from all
+states at once, which gives each chunk a map from states to states; the maps are composed by a parallel
+prefix scan, after which the true first state of each chunk is known. The distinct words of a piece of
+text are then counted by iterative merging, all words side by side: each step merges the earliest pair of
+every word, and the symbols that are left are its tokens. A text's count is the difference of the running
+sum of its words' counts.
 
 Fixed forms of the vocabulary: composed (NFC) and lower-cased text, white space dropped, word pattern
 ``'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+``, bytes as symbols, the last one of a
@@ -80,7 +79,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordCounter:
-    """The inner transducer: merges of byte symbols, with the mark of a word's end on the last one."""
+    """Merges of byte symbols, with the mark of a word's end on the last one, until no pair is left."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
