@@ -68,7 +68,7 @@ def finding_terms(text: Column) -> Column:
         for t in TERMS:
             name = (F if name is None else name).when(F.lower(p["said"]).startswith(t.lower()), t)
         canonical = name
-        note = F.btrim(F.substring(p["said"], F.length(canonical) + 1, F.lit(100000)), F.lit(" .:;"))
+        note = F.btrim(F.substring(p["said"], F.length(canonical) + 1, F.length(p["said"])), F.lit(" .:;"))
         return F.struct(p["kind"].alias("kind"), F.coalesce(canonical, p["said"]).alias("term"), F.nullif(note, F.lit("")).alias("note"))
 
     return F.transform(known, term)

@@ -246,6 +246,12 @@ def test_toxicology_vocabulary(spark):
     assert [tuple(t) for t in terms] == [("genotoxic", "Not determined", "QSAR: none"), ("mutagenic", "Negative", None)]
 
 
+def test_long_notes_of_findings_stay_whole(spark):
+    note = "x" * 250_000 + "y"
+    terms = value(spark, toxicology.finding_terms(F.lit(f"Genotoxic: Not determined {note}.; Mutagenic: Negative")))
+    assert [tuple(t) for t in terms] == [("genotoxic", "Not determined", note), ("mutagenic", "Negative", None)]
+
+
 def test_hazard_words_about_missing_data_do_not_count(spark):
     texts = ["It is carcinogenic in mice.", "lack of genotoxicity data", "genotoxicity and carcinogenicity studies were limited",
              "It is carcinogenic. " + "x" * 150 + " data", "data " + "x" * 150 + " It is mutagenic."]
