@@ -4,7 +4,7 @@ from importlib import import_module
 
 from larder.llm.registry import ORACLES, QUERIES
 
-MODULES = ["query_search", "query_phrases", "query_native", "query_tokens", "query_dedup", "query_models"]
+MODULES = ["query_search", "query_phrases", "query_alignment", "query_curves", "query_native", "query_tokens", "query_dedup", "query_models"]
 
 for _name in MODULES:
     import_module(f"larder.llm.{_name}")
