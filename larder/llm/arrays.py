@@ -25,8 +25,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-# Odd multipliers of polynomial hashes modulo 2**64, and the finaliser's constants.
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+# Odd multipliers modulo 2**64, and the finaliser's constants.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -71,19 +71,83 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def _inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
+def quick_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of values[start:end] for every span, by a running polynomial modulo 2 ** 64.
 
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
-    """64-bit hash of values[start:end] for every span, by differences of one running polynomial."""
+    Long spans can be made that share it, so it is for uses where equal hashes do no harm.
+    """
     with np.errstate(over="ignore"):
         run = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64, copy=False) * _powers(base, len(values)), out=run[1:])
-        back = _powers(_inverse(base), len(values) + 1)
+        np.cumsum(values.astype(np.uint64, copy=False) * _powers(_BASE, len(values)), out=run[1:])
+        back = _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), len(values) + 1)
         return mix((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Modulus of the hashes that tell texts apart, and their bases: two for spans, two for windows, two for windows once more.
+_PRIME = (1 << 31) - 1
+SPANS, WINDOWS, WINDOWS_AGAIN = (0x2545F491, 0x6C62272E), (0x4F6CDD1D, 0x1B873593), (0x5851F42D, 0x7FEB352D)
+_REMEMBERED_POWERS: dict[int, np.ndarray] = {}
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """The same modulo the prime, below 2 ** 32 for products of two remainders."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
+def _powers_modulo(base: int, n: int) -> np.ndarray:
+    known = _REMEMBERED_POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.ones(1, np.uint64)
+        while len(known) < n:
+            known = np.concatenate([known, known * np.uint64(pow(base, len(known), _PRIME)) % np.uint64(_PRIME)])
+        if n <= 8 * PIECE_BYTES:
+            _REMEMBERED_POWERS[base] = known
+    return known[:n]
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, bases: tuple[int, int] = SPANS) -> np.ndarray:
+    """64-bit hash of values[start:end] for every span: two running polynomials modulo a prime, with 62 bits together."""
+    values = values.astype(np.uint64, copy=False)
+    large = bool(len(values)) and int(values.max()) >= _PRIME
+    parts = []
+    for i, base in enumerate(bases):
+        # Different bits of a large value for each polynomial.
+        v = values if not large else values % np.uint64(_PRIME) if i == 0 else (mix(values) >> np.uint64(33)) % np.uint64(_PRIME)
+        run = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(_fold(v * _powers_modulo(base, len(values))), out=run[1:])
+        part = (run[ends] - run[starts]) % np.uint64(_PRIME)
+        parts.append(part * _powers_modulo(pow(base, -1, _PRIME), len(values) + 1)[starts] % np.uint64(_PRIME))
+    with np.errstate(over="ignore"):
+        return mix((parts[0] << np.uint64(31) | parts[1]) ^ (ends - starts).astype(np.uint64) * _BASE)
+
+
+def equal_spans(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """Whether a[from:to] equals b[from:to], span by span."""
+    size = a_to - a_from
+    same = size == b_to - b_from
+    some = np.flatnonzero(same & (size > 0))
+    differ = a[ragged(a_from[some], size[some])] != b[ragged(b_from[some], size[some])]
+    sums = np.concatenate([[0], np.cumsum(differ)])
+    ends = np.cumsum(size[some])
+    same[some] = sums[ends] == sums[ends - size[some]]
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First span of each kind, and the kind of every span; spans are of one kind only if they are equal."""
+    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    lead = first[kind]
+    names: dict[bytes, int] = {}
+    more = []
+    for i in np.flatnonzero(~equal_spans(data, starts, ends, data, starts[lead], ends[lead])):  # they share a hash with another one
+        name = data[starts[i]:ends[i]].tobytes()
+        if name not in names:
+            names[name] = len(first) + len(more)
+            more.append(i)
+        kind[i] = names[name]
+    return np.concatenate([first, np.array(more, first.dtype)]), kind
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of many texts: byte spans, hashes, and where each text's words begin."""
 
@@ -108,9 +172,9 @@ class Words:
         return span_hashes(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
 
 
-def window_hashes(words: np.ndarray, at: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+def window_hashes(words: np.ndarray, at: np.ndarray, size: int | np.ndarray, bases: tuple[int, int] = WINDOWS) -> np.ndarray:
     """Hash of ``size`` consecutive word hashes from each place of ``at`` on."""
-    return span_hashes(words, at, at + size, _STEP)
+    return span_hashes(words, at, at + size, bases)
 
 
 def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -256,6 +256,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the smallest id. Rows without an id stay."""
+    """``docs`` with one document of each group of near-duplicates: the smallest id.
+
+    Rows without an id stay. Of rows that share an id and the text one is kept; those that share only the id
+    are one document and stay or go together. NULL and empty texts are no copies of each other; an empty
+    table gives no rows; other columns don't matter.
+    """
     gone = near_duplicates(docs, id_column, text_column, percent).filter("NOT kept").select(F.col(id_column).alias("_gone"))
-    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    left = docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    # Rows without an id are told apart by where they are read, so they aren't taken for repeated ones.
+    apart = F.when(F.col(id_column).isNull(), F.monotonically_increasing_id())
+    return left.withColumns({"_text_print": F.xxhash64(text_column), "_apart": apart}).dropDuplicates([id_column, "_text_print", "_apart"]).select(*docs.columns)

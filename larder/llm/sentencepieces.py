@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from larder.llm.arrays import Lookup, pieces, ragged, span_hashes
+from larder.llm.arrays import Lookup, distinct_spans, equal_spans, pieces, ragged, span_hashes
 
 MARK = 0x2581
 REMEMBERED = 400_000
@@ -42,6 +42,7 @@ class Machines:
         if model.trainer_spec.model_type != 2 or told.name != "identity" or told.remove_extra_whitespaces or not told.add_dummy_prefix:
             raise ValueError("only merge models with the identity normaliser, kept spaces and a space put before are compiled")
         self.surface = [self._bytes(p) for p in model.pieces]
+        self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == _UNKNOWN), -1)
         self.byte_id = np.zeros(256, np.int64)
         for i, p in enumerate(model.pieces):
             if p.type == _BYTE:
@@ -212,6 +213,8 @@ class Encoder:
         self._keys, self._at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._begin, self._size, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self._lead = np.zeros(0, bool)
+        # The signs of each part: a part is known by them, its hash only says where to look.
+        self._signs, self._sign_from, self._sign_to = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _solve(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of each part without a lone leading mark, their numbers, and whether there was one."""
@@ -239,6 +242,9 @@ class Encoder:
         """Pool of ids, and each distinct part's begin, size and lead in it."""
         at = np.searchsorted(self._keys, keys)
         old = (at < len(self._keys)) & (self._keys[np.minimum(at, max(len(self._keys) - 1, 0))] == keys) if len(self._keys) else np.zeros(len(keys), bool)
+        same = np.flatnonzero(old)
+        entry = self._at[at[same]]
+        old[same] = equal_spans(points, starts[same], ends[same], self._signs, self._sign_from[entry], self._sign_to[entry])
         ids, sizes, leads = self._solve(points, starts[~old], ends[~old])
         begin, size, lead = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         entry = self._at[at[old]]
@@ -247,6 +253,10 @@ class Encoder:
         pool = np.concatenate([self._pool, ids])
         if len(self._keys) + len(sizes) <= REMEMBERED:
             fresh = len(self._begin) + np.arange(len(sizes))
+            length = (ends - starts)[~old]
+            self._sign_from = np.concatenate([self._sign_from, len(self._signs) + np.cumsum(length) - length])
+            self._sign_to = np.concatenate([self._sign_to, len(self._signs) + np.cumsum(length)])
+            self._signs = np.concatenate([self._signs, points[ragged(starts[~old], length)]])
             merged = np.concatenate([self._keys, keys[~old]])
             order = np.argsort(merged, kind="stable")
             self._keys, self._at = merged[order], np.concatenate([self._at, fresh])[order]
@@ -292,8 +302,8 @@ class Encoder:
         tail_at, tail = last[tail > 0], tail[tail > 0]
 
         key = span_hashes(points.astype(np.uint64) + np.uint64(1), starts, ends)
-        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
-        pool, begin, size, lead = self._known(distinct, points, starts[first], ends[first])
+        first, which = distinct_spans(points, starts, ends, key)
+        pool, begin, size, lead = self._known(key[first], points, starts[first], ends[first])
         # Parts and trailing runs in the order of the text.
         place = np.concatenate([begins, tail_at - 1])
         run = np.concatenate([runs + lead[which], tail])
@@ -317,7 +327,7 @@ class Encoder:
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that aren't UTF-8 become U+FFFD, control pieces nothing."""
         raw = b"".join(map(self.machines.surface.__getitem__, ids.tolist()))
-        if len(ids) and raw[:1] == b" " and self.machines.surface[ids[0]][:1] == b" ":
+        if len(ids) and raw[:1] == b" " and self.machines.surface[ids[0]][:1] == b" " and ids[0] != self.machines.unknown:
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 

@@ -4,7 +4,7 @@ A window is 20 consecutive words. Anchors of 8 words are hashed only where the p
 13 lies in the cover {0, 1, 3, 9}: every difference modulo 13 is one of two of its members, so two equal
 windows have an anchor at the same distance from their starts, wherever they stand. Anchors that occur
 once can't lie in a repeated window; windows around the others are extended to their 20 words and hashed
-whole, and one that isn't the first of its kind is removed.
+whole, twice, and one that isn't the first of its kind is removed. Two windows are the same if 124 bits agree.
 
 Documents are dealt to blocks of about the same size. A block asks about each distinct hash once, in
 packed rows to the bucket of the hash, and gets one bit back. So a passage that stands in a third of all
@@ -20,14 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.arrays import Words, give_back, ragged, window_hashes, window_starts
+from larder.llm.arrays import WINDOWS_AGAIN, Words, give_back, ragged, window_hashes, window_starts
 
 #: A perfect difference cover (fixed values).
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Text of a block, and hashes of a bucket.
 BLOCK_BYTES, BUCKET_HASHES = 2 << 20, 500_000
 
-_ASKED = "block bigint, bucket bigint, hashes binary, owners binary"
+_ASKED = "block bigint, bucket bigint, hashes binary, again binary, owners binary"
 _TOLD = "block bigint, bucket bigint, bits binary"
 
 
@@ -52,25 +52,25 @@ class _Block:
         at = at[in_cover[(at - self.words.first[text]) % PERIOD]]
         return at, window_hashes(self.hashes, at, size)
 
-    def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows with a repeated anchor: their places, hashes and ids, in the order of the text."""
+    def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows with a repeated anchor: their places, two hashes and ids, in the order of the text."""
         at, text = window_starts(self.words.first, self.window)
         marks = np.zeros(len(self.hashes) + PERIOD + 1, np.int32)
         marks[repeated + 1] = 1
         sums = np.cumsum(marks)
         some = sums[at + PERIOD] > sums[at]
         at, text = at[some], text[some]
-        return at, window_hashes(self.hashes, at, self.window), self.ids[text]
+        return at, window_hashes(self.hashes, at, self.window), window_hashes(self.hashes, at, self.window, WINDOWS_AGAIN), self.ids[text]
 
 
-def _packed(block: int, bucket: np.ndarray, hashes: np.ndarray, owners: np.ndarray | None) -> pa.Table:
+def _packed(block: int, bucket: np.ndarray, hashes: np.ndarray, again: np.ndarray | None, owners: np.ndarray | None) -> pa.Table:
     """One row a bucket, from entries sorted by bucket."""
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     bounds = list(zip(cuts, np.append(cuts[1:], len(bucket))))
     return pa.table({
         "block": pa.array([block] * len(cuts), pa.int64()), "bucket": pa.array(bucket[cuts].astype(np.int64)),
         "hashes": pa.array([hashes[a:b].tobytes() for a, b in bounds], pa.binary()),
-        "owners": pa.array([owners[a:b].tobytes() if owners is not None else b"" for a, b in bounds], pa.binary())})
+        **{name: pa.array([x[a:b].tobytes() if x is not None else b"" for a, b in bounds], pa.binary()) for name, x in (("again", again), ("owners", owners))}})
 
 
 def _bits(table: pa.Table, kind: int | None = None) -> dict[int, bytes]:
@@ -102,19 +102,23 @@ def _anchor_entries(block: _Block, size: int, bucket_bits: int):
 
 def _window_entries(block: _Block, repeated: np.ndarray, bucket_bits: int):
     """First of each distinct window by bucket; and for every window whether it is that one."""
-    at, hashes, owners = block.candidates(repeated)
-    _, first = np.unique(hashes, return_index=True)
+    at, hashes, again, owners = block.candidates(repeated)
+    # A stable sort: the first of equal windows leads them.
+    by_hash = np.lexsort((again, hashes))
+    lead = np.ones(len(by_hash), bool)
+    lead[1:] = (hashes[by_hash][1:] != hashes[by_hash][:-1]) | (again[by_hash][1:] != again[by_hash][:-1])
+    first = by_hash[lead]
     bucket = _split(hashes[first], bucket_bits)
     # In a bucket the order of the text, in which owners repeat.
     order = np.lexsort((first, bucket))
-    return at, hashes, owners, first[order], bucket[order]
+    return at, hashes, again, owners, first[order], bucket[order]
 
 
 def _ask_anchors(id_column: str, text: str, window: int, bucket_bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = _Block(table, text, id_column, window)
         _, _, _, bucket, rest = _anchor_entries(block, window - PERIOD + 1, bucket_bits)
-        return _packed(key[0].as_py(), bucket, rest, None)
+        return _packed(key[0].as_py(), bucket, rest, None, None)
     return run
 
 
@@ -135,9 +139,10 @@ def _tell_repeated(table: pa.Table) -> pa.Table:
 def _tell_first(table: pa.Table) -> pa.Table:
     """Which entries of a bucket are the first of their window: the smallest id."""
     parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    hashes, owners = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()])
-    order = np.lexsort((owners, hashes))
-    lead = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    hashes = np.concatenate(parts)
+    again, owners = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("again", np.uint64), ("owners", np.int64)))
+    order = np.lexsort((owners, again, hashes))
+    lead = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (again[order][1:] != again[order][:-1])])
     flags = np.zeros(len(hashes), bool)
     flags[order[lead]] = True
     return _tell(table, flags, [len(p) for p in parts])
@@ -151,10 +156,10 @@ def _repeated(block: _Block, told: dict[int, bytes], bucket_bits: int) -> np.nda
 def _ask_windows(id_column: str, text: str, window: int, bucket_bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _packed(0, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return _packed(0, np.zeros(0, np.int64), np.zeros(0, np.uint64), None, None)
         block = _Block(table, text, id_column, window)
-        _, hashes, owners, first, bucket = _window_entries(block, _repeated(block, _bits(told), bucket_bits), bucket_bits)
-        return _packed(key[0].as_py(), bucket, hashes[first], owners[first])
+        _, hashes, again, owners, first, bucket = _window_entries(block, _repeated(block, _bits(told), bucket_bits), bucket_bits)
+        return _packed(key[0].as_py(), bucket, hashes[first], again[first], owners[first])
     return run
 
 
@@ -165,7 +170,7 @@ def _remove(id_column: str, text: str, window: int, bucket_bits: int, columns: l
         gone = np.zeros(n + 1, np.int32)
         if told.num_rows:
             repeated = _repeated(block, _bits(told, 0), bucket_bits)
-            at, _, _, first, bucket = _window_entries(block, repeated, bucket_bits)
+            at, _, _, _, first, bucket = _window_entries(block, repeated, bucket_bits)
             again = np.ones(len(at), bool)
             again[first[_answers(_bits(told, 1), bucket)]] = False
             np.add.at(gone, at[again], 1)
@@ -202,8 +207,10 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     blocks = max(64, math.ceil(size / BLOCK_BYTES))
     # About 21 bytes of text an anchor.
     bucket_bits = max(6, math.ceil(math.log2(max(1, size / 21 / BUCKET_HASHES))))
-    rows = docs.select(*columns, F.pmod(F.xxhash64(id_column), F.lit(blocks)).alias("_block"))
-    grouped = rows.groupBy("_block")
+    # Under a name that no column has.
+    name = next(n for n in (f"_block{'_' * k}" for k in range(len(columns) + 1)) if n not in {c.lower() for c in columns})
+    rows = docs.select(*columns, F.pmod(F.xxhash64(id_column), F.lit(blocks)).alias(name))
+    grouped = rows.groupBy(name)
     settings = (id_column, text_column, window, bucket_bits)
     anchors = grouped.applyInArrow(_ask_anchors(*settings), _ASKED)
     repeated = anchors.groupBy("bucket").applyInArrow(_tell_repeated, _TOLD)

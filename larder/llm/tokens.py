@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larder.llm.arrays import Lookup, pieces, ragged, span_hashes
+from larder.llm.arrays import Lookup, distinct_spans, pieces, ragged, span_hashes
 
 # Classes of characters.
 _SPACE, _LETTER, _DIGIT, _OTHER, _QUOTE, _R, _V, _L, _E, _ONE = range(10)
@@ -204,7 +204,7 @@ def token_counts(texts: list[str], path: str) -> np.ndarray:
     spaces = np.flatnonzero(classes == _SPACE)
     ends = np.minimum(np.append(starts[1:], len(points)), spaces[np.searchsorted(spaces, starts)])
     key = span_hashes(data.astype(np.uint64) + np.uint64(1), place[starts], place[ends])
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    first, which = distinct_spans(data, place[starts], place[ends], key)
     emitted = counter.counts(data, place[starts[first]], place[ends[first]])[which]
     run = np.concatenate([[0], np.cumsum(emitted)])
     edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from larder.llm.arrays import pieces, span_hashes
+from larder.llm.arrays import pieces, quick_hashes
 from larder.llm.letters import LetterRuns
 from larder.llm.quality import drawn_labels, held_out
 
@@ -34,7 +34,7 @@ def word_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     runs = LetterRuns(texts)
     if not len(runs.starts):
         return tuple(np.zeros(0, np.int64) for _ in range(3))
-    h = span_hashes(runs.letters.astype(np.uint64) + np.uint64(1), runs.first_letter, runs.first_letter + runs.sizes)
+    h = quick_hashes(runs.letters.astype(np.uint64) + np.uint64(1), runs.first_letter, runs.first_letter + runs.sizes)
     key = runs.of_text() << WORD_BITS | (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     key, n = np.unique(key, return_counts=True)
     return key >> WORD_BITS, key & ((1 << WORD_BITS) - 1), n

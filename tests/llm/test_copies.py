@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from larder.llm.neardup import near_duplicates, one_of_each
 from larder.llm.substrings import repeats_removed, without_repeats
@@ -108,3 +109,30 @@ def test_repeats_of_nothing(empty, clashing):
         if r.doc_id not in (20, 21):  # rows that occur twice: the first stays, the second goes
             assert gone < n or n == 0
             assert gone == 0 or r.text == text
+
+
+def twins(size, one, two):
+    """Two words that a polynomial modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join((one, two)[b] for b in bits), "".join((two, one)[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_made_to_share_a_hash(spark, size):
+    rows = []
+    for i, (one, two) in enumerate(("ab", "er", "xq")):
+        a, b = twins(size, one, two)
+        rows += [(10 * i, a), (10 * i + 1, b), (10 * i + 2, " ".join([a, b] * 13)), (10 * i + 3, " ".join((a, b)[bin(k).count("1") & 1] for k in range(64)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in near_duplicates(docs).collect()) == brute_components(rows)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in without_repeats(docs).collect()) == brute_repeats(rows)
+
+
+def test_copies_with_clashing_columns_and_without_ids(spark):
+    rows = [(None, "a b c d e f", 1), (None, "a b c d e f", 1), (3, "a b c d e f", 2), (4, "a b c d e f", 2), (3, "a b c d e f", 2), (5, "", 0), (5, "", 0), (5, "x", 0), (6, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _block int").withColumns({c: F.lit(1) for c in ("_gone", "kept", "id", "label")})
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted([(None, "a b c d e f")] * 2 + [(3, "a b c d e f"), (5, ""), (5, "x"), (6, None)], key=key)
+    assert without_repeats(docs).count() == repeats_removed(docs, length_column="label").count() == len(rows)
