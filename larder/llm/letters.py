@@ -35,8 +35,14 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letter, lower, script
 
 
+@lru_cache(1)
+def base_letters() -> np.ndarray:
+    """Of every code point: whether it is a letter itself."""
+    return np.array([unicodedata.category(chr(point))[0] == "L" for point in range(sys.maxunicode + 1)])
+
+
 class LetterRuns:
-    """Maximal runs of letters: their first and last places, the text of each, and where texts begin."""
+    """Maximal runs of letters and marks that hold a letter: their first and last places, and where texts begin."""
 
     def __init__(self, texts: list[str]):
         letter, lower, _ = tables()
@@ -46,6 +52,12 @@ class LetterRuns:
         before = np.concatenate([[False], solid[:-1]])
         after = np.concatenate([solid[1:], [False]])
         self.starts, self.ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+        sums = np.concatenate([[0], np.cumsum(base_letters()[points])])
+        held = sums[self.ends] > sums[self.starts]
+        if not held.all():  # marks alone aren't a word
+            for a, b in zip(self.starts[~held].tolist(), self.ends[~held].tolist()):
+                solid[a:b] = False
+            self.starts, self.ends = self.starts[held], self.ends[held]
         # Letters only, a zero at each run's edge is put in by ``neighbours``.
         self.letters = lower[points[solid]]
         self.sizes = self.ends - self.starts

@@ -79,32 +79,48 @@ def schedule(supply: DataFrame, source: str) -> DataFrame:
         (F.col("before") + (F.col("_cycle") - F.col("from_cycle")) * F.col("slots") + F.col("_slot")).alias("slot"))
 
 
+def _scheduled(rows: DataFrame, weights: dict[str, float] | None, temperature: float, block_rows: int, seed: int, period: int) -> DataFrame:
+    """``rows`` (_id, _source and others) with block, slot and place; each row has a place of its own."""
+    # NULL sources sort and join like the others behind a flag that no name has.
+    rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("_source").cast("string")), F.lit("")))
+    named = {f"s{k}": v for k, v in weights.items()} if weights else None
+    plan = schedule(supplies(rows, "_source", block_rows, named, temperature, period), "_source")
+    # Rows that share an id and all else are told apart by where they are read; which of them is which doesn't matter.
+    rows = rows.withColumns({"_h": F.xxhash64(F.col("_id"), F.lit(seed)), "_nth": F.monotonically_increasing_id()})
+    others = [c for c in rows.columns if c not in ("_h", "_id", "_source", "_nth")]
+    dealt = with_running(rows, ["_source"], ["_h", "_id", *others, "_nth"])
+    placed = dealt.withColumns({"block": F.floor((F.col("rank") - 1) / block_rows), "place": F.pmod(F.col("rank") - 1, F.lit(block_rows)).cast("int")})
+    back = F.when(F.col("_source") != "", F.expr("substring(_source, 2)"))
+    return placed.join(plan, ["_source", "block"]).select("_id", back.alias("_source"), *others, "block", "slot", "place")
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64,
           id_column: str = "doc_id", source_column: str = "source", seed: int = 42, period: int = PERIOD) -> DataFrame:
-    """(id, source, block, slot, place): where each document stands in the mixture.
+    """(id, source, block, slot, place): where each row stands in the mixture.
 
-    Order by slot, then place. Within a source documents are dealt to blocks by a seeded hash of their
-    id. NULL is a source like any other. Rows with the same id stand together, under the smallest source
-    that they name; rows without an id are one such document. An empty table gives no rows; other
-    columns of ``docs`` don't matter.
+    Order by slot, then place. Within a source rows are dealt to blocks by a seeded hash of their id. NULL is
+    a source like any other. Rows that repeat an id, and rows without one, are rows like the others: each
+    has a place, and counts for its source. An empty table gives no rows; other columns don't matter.
     """
-    ids = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"))
-    ids = ids.groupBy("_id").agg(F.min("_source").alias("_source"))
-    # NULL sources sort and join like the others behind a flag that no name has.
-    ids = ids.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("_source").cast("string")), F.lit("")))
-    named = {f"s{k}": v for k, v in weights.items()} if weights else None
-    plan = schedule(supplies(ids, "_source", block_rows, named, temperature, period), "_source")
-    # A NULL id isn't hashed to a null.
-    dealt = with_running(ids.withColumn("_h", F.xxhash64(F.col("_id"), F.lit(seed))), ["_source"], ["_h", "_id"])
-    placed = dealt.select("_id", "_source", F.floor((F.col("rank") - 1) / block_rows).alias("block"), F.pmod(F.col("rank") - 1, F.lit(block_rows)).cast("int").alias("place"))
-    back = F.when(F.col("_source") != "", F.expr("substring(_source, 2)"))
-    return (placed.join(plan, ["_source", "block"])
-            .select(F.col("_id").alias(id_column), back.alias(source_column), "block", "slot", "place"))
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"))
+    done = _scheduled(rows, weights, temperature, block_rows, seed, period)
+    return done.select(F.col("_id").alias(id_column), F.col("_source").alias(source_column), "block", "slot", "place")
 
 
-def in_mixed_order(docs: DataFrame, id_column: str = "doc_id", slot: str | None = None, place: str | None = None, **settings) -> DataFrame:
-    """``docs`` with the same rows, sorted as ``mixed`` says; its slot and place are added under the names given."""
-    where = mixed(docs, id_column=id_column, **settings).select(F.col(id_column).alias("_mixed_id"), F.col("slot").alias("_mixed_slot"), F.col("place").alias("_mixed_place"))
-    joined = docs.join(where, F.col(id_column).eqNullSafe(F.col("_mixed_id")), "left").orderBy("_mixed_slot", "_mixed_place")
+def in_mixed_order(docs: DataFrame, id_column: str = "doc_id", slot: str | None = None, place: str | None = None, source_column: str = "source",
+                   weights: dict[str, float] | None = None, temperature: float = 0.5, block_rows: int = 64, seed: int = 42, period: int = PERIOD) -> DataFrame:
+    """``docs`` with the same rows, sorted as ``mixed`` says; slot and place are added under the names given.
+
+    Columns that have these names are replaced. Equal rows are kept, each in a place of its own; NULL ids and
+    sources, empty texts and an empty table are taken as they are.
+    """
+    kept = [c for c in docs.columns if c not in (slot, place)]
+    print_ = F.xxhash64(*[F.col(c) for c in kept])
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), print_.alias("_print"))
+    where = _scheduled(rows, weights, temperature, block_rows, seed, period).select(
+        F.col("_id").alias("_mixed_id"), F.col("_print").alias("_mixed_print"), F.col("slot").alias("_mixed_slot"), F.col("place").alias("_mixed_place"))
+    # One of equal rows meets the places of all of them.
+    single = docs.select(*kept, F.col(id_column).alias("_own_id"), print_.alias("_print")).dropDuplicates(["_own_id", "_print"])
+    joined = single.join(where, F.col("_own_id").eqNullSafe(F.col("_mixed_id")) & (F.col("_print") == F.col("_mixed_print"))).orderBy("_mixed_slot", "_mixed_place")
     added = [F.col(c).alias(name) for c, name in (("_mixed_slot", slot), ("_mixed_place", place)) if name]
-    return joined.select(*[docs[c] for c in docs.columns], *added)
+    return joined.select(*kept, *added)

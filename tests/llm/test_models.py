@@ -91,6 +91,8 @@ def test_spans_of_mixed_text(docs, clashing, empty, spark):
     main = [s for s in spans[0] if s["end"] - s["start"] > 100]
     assert [s["lang"] for s in main] == ["de", "es"] and abs(main[1]["start"] - len(part["de"])) < 40
     assert lang[1:] == ["und", "und"] and share[1:].tolist() == [0, 0]
+    lang, share, _ = language.identify(["❤️ 12", "\u0301", "e\u0301te\u0301 \u0301"], model)  # marks alone are no letters
+    assert lang[:2] == ["und", "und"] and share[:2].tolist() == [0, 0] and lang[2] != "und"
     rows = language.with_languages(clashing, model).collect()
     assert len(rows) == clashing.count() and all((r.lang_pred == "und") == (r.lang_score == 0) for r in rows)
     assert language.with_languages(empty, model).collect() == []

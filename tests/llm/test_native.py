@@ -123,9 +123,24 @@ def test_mixing_stays_within_a_block(spark, weights):
 def test_mixing_of_odd_rows(clashing, empty, spark):
     assert mixed(empty).collect() == []
     got = mixed(clashing, block_rows=3).collect()
-    assert len(got) == len({r[0] for r in odd_rows()})
+    assert len(got) == len(odd_rows())
     out = in_mixed_order(clashing, block_rows=3)
     assert out.columns == clashing.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, clashing.collect()))
     nulls = spark.createDataFrame([(None, None), (None, "b"), (1, None)], "doc_id long, source string")
     assert in_mixed_order(nulls).count() == 3
+
+
+def test_repeated_and_missing_ids_keep_their_rows(spark):
+    rows = [(i % 20, "a" if i % 3 else "b", f"t{i % 4}", 1, 2) for i in range(90)] + [(None, "a", None, 1, 2)] * 25 + [(None, None, "x", 3, 4)] * 3 + [(7, "b", "same", 0, 0)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, slot int, place int").repartition(5)
+    got = mixed(docs, block_rows=4, period=20).collect()
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(((r.doc_id, r.source) for r in got), key=key) == sorted(((r[0], r[1]) for r in rows), key=key)
+    assert len({(r.slot, r.place) for r in got}) == len(rows)
+    _check(got, 4, 20)
+    out = in_mixed_order(docs, slot="slot", place="place", block_rows=4, period=20)
+    assert out.columns == ["doc_id", "source", "text", "slot", "place"]
+    found = out.collect()
+    assert sorted((tuple(r)[:3] for r in found), key=key) == sorted((r[:3] for r in rows), key=key)
+    assert len({(r.slot, r.place) for r in found}) == len(rows)

@@ -74,3 +74,24 @@ def test_run_keeps_the_shares_of_sources_in_every_prefix(spark, tmp_path):
         placed += [SimpleNamespace(source=x.source, block=nth, slot=slot) for x in block]
     _check(placed, 64, 1000)
     assert len(seen) == 3 and by_file == [x.doc_id for x in got]
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Empty tables, NULLs in every column, empty texts, repeated rows and ids, and names that stages use themselves."""
+    known = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(6).collect()
+    rows = [(x.doc_id, x.text, x.lang, x.source, x.n_chars) for x in known] + [(None, None, None, None, None), (900, None, "en", "a", 0), (901, "", None, None, 0), (902, " \n ", "en", "a", 3)]
+    rows += [(x.doc_id, x.text, x.lang, x.source, x.n_chars) for x in known[:2]] * 2 + [(None, known[0].text, "en", "a", 5), (known[3].doc_id, known[4].text, "en", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+        "*", *[f"{i} AS {c}" for i, c in enumerate(("slot", "place", "ids", "n_pieces", "_block", "kept", "label", "score", "rank"))])
+    for name, table in (("odd", docs), ("empty", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        before = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, before, f"{tmp_path}/{name}")
+            assert len(set(after.columns)) == len(after.columns) and set(docs.columns) <= set(after.columns)
+            assert after.count() <= before.count()
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len({(r.slot, r.place) for r in out}) == len(out)
+        # Clean documents stay, repeated rows once.
+        assert {x.doc_id for x in known} <= {r.doc_id for r in out} if name == "odd" else out == []
+        assert len({(r.doc_id, r.text) for r in out if r.doc_id is not None}) == len([r for r in out if r.doc_id is not None])
