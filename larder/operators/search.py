@@ -1,4 +1,4 @@
-"""Full-text search: postings, prefix queries, BM25 and incremental upkeep."""
+"""Full-text search: postings, prefix queries, BM25, and an index that is stored in segments and kept up by changes."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder.functions.text import fold
-from larder.operators.diff import drop_keys
+from larder.operators import runs
 from larder.operators.latest import first_per_key
 
 # BM25 constants of the index, and the floor of a term's weight.
@@ -36,22 +36,43 @@ def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.select(key, "length", F.inline(counted)).select("token", key, "tf", "length")
 
 
-def write_postings(rows: DataFrame, path: str) -> None:
-    """Sorted by word inside files, so that a query reads only the row groups of its words. Range
-    partitioning on (word, key) splits a word that is everywhere over many files."""
-    key = [c for c in rows.columns if c not in ("token", "tf", "length")][0]
-    rows.repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(path)
+def _documents(rows: DataFrame, key: str) -> DataFrame:
+    """Length of each document in the postings."""
+    return rows.groupBy(key).agg(F.max("length").alias("length"))
 
 
 def write_index(rows: DataFrame, key: str, path: str) -> None:
-    """Postings and, in one row, what a ranking needs to know of the whole collection."""
-    write_postings(rows, f"{path}/postings")
-    stored = rows.sparkSession.read.parquet(f"{path}/postings")
-    collection_stats(stored, key).write.mode("overwrite").parquet(f"{path}/stats")
+    """Stores postings as the base of an index, sorted by word inside files, so that a query reads only the row
+    groups of its words. Range partitioning on (word, key) splits a word that is everywhere over many files."""
+    docs = _documents(rows, key).withColumn("_gone", F.lit(False))
+    seen = docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+    runs.append(rows.sparkSession, path, 0, docs, [key], {"postings": (rows, ["token", key])}, seen.asDict())
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+def read_index(spark: SparkSession, path: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Postings as they are now, and in one row what a ranking needs to know of the whole collection."""
+    totals = runs.read_totals(spark, path)
+    stats = spark.range(1).select(*[F.lit(totals[c]).alias(c) for c in ("documents", "words")])
+    return runs.read_detail(spark, path, [key], "postings"), stats
+
+
+def update_index(spark: SparkSession, path: str, batch: int, changes: DataFrame, key: str, columns: list[str]) -> None:
+    """Brings a stored index up to date: one segment with the words of what changed and marks of what went.
+
+    Touched are deleted keys and those whose indexed columns changed. The numbers of documents and words follow
+    from what the touched documents were and are; nothing is counted anew. A batch that runs again does no harm.
+    """
+    touched = changes.filter((F.col("op") == "d") | (F.col("fts") == 1))
+    fresh = postings(touched.filter((F.col("op") == "u") & F.col(columns[0]).isNotNull()), key, columns)
+    now = _documents(fresh, key)
+    segment = touched.select(key).join(now, key, "left").withColumn("_gone", F.col("length").isNull())
+    before = runs.manifest(spark, path, before=batch)
+    was = runs.newest(spark, before, [key]).filter("NOT _gone").join(touched.select(key), key, "left_semi")
+    # One row for what was and one for what is.
+    moved = was.select(F.lit(-1).alias("sign"), "length").unionByName(now.select(F.lit(1).alias("sign"), "length"))
+    change = moved.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("documents"), F.coalesce(F.sum(F.col("sign") * F.col("length")), F.lit(0)).alias("words")).first()
+    totals = {c: before[0].totals[c] + change[c] for c in ("documents", "words")}
+    runs.append(spark, path, batch, segment, [key], {"postings": (fresh, ["token", key])}, totals)
 
 
 def parse_query(text: str) -> list[tuple[str, bool]]:
@@ -125,16 +146,6 @@ def merge_hits(hits: DataFrame, key: str, k: int) -> DataFrame:
     return first_per_key(hits, [key], ["catalog_no", "rank"]).orderBy("catalog_no", "rank").limit(k)
 
 
-def reindex(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Postings after a delta: one delete pass over the touched keys and one insert pass.
-
-    Touched are deleted keys and those whose indexed columns changed; others are not looked at.
-    """
-    touched = changes.filter((F.col("op") == "d") | (F.col("fts") == 1))
-    fresh = postings(touched.filter((F.col("op") == "u") & F.col(columns[0]).isNotNull()), key, columns)
-    return drop_keys(rows, touched, [key]).unionByName(fresh.select(*rows.columns))
-
-
 def dedupe_index(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One index entry per key: the one inserted last."""
     latest = rows.groupBy(key).agg(F.max(order).alias(order))

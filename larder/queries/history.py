@@ -115,23 +115,28 @@ def sampled_documents(spark: SparkSession, sf: str) -> DataFrame:
     return history.sample_docs(load(spark, sf, "documents"), F.col("doc_id"), 50).select("doc_id", "lang", "source", "n_chars")
 
 
-@query("streamed_changes", """WITH base AS (SELECT k, c AS country, name FROM (SELECT p_partkey AS k, p_name || ' s' AS name, unnest(CASE p_partkey % 3 WHEN 0 THEN ['c0', 'c1'] WHEN 1 THEN ['c1'] ELSE ['c2'] END) AS c FROM part WHERE p_partkey % 10 <> 3) WHERE c <> 'c2'),
-later AS (SELECT max(p_partkey) AS k FROM part)
-SELECT * FROM base WHERE k <> (SELECT k FROM later) UNION ALL SELECT p_partkey, 'c1', p_name || ' t' FROM part WHERE p_partkey = (SELECT k FROM later)""")
+@query("streamed_changes", """WITH r AS (
+  SELECT p_partkey AS k, 0 AS batch, CASE WHEN p_partkey % 10 <> 3 THEN p_name || ' s' END AS name,
+         CASE p_partkey % 3 WHEN 0 THEN ['c0', 'c1'] WHEN 1 THEN ['c1'] ELSE ['c2'] END AS countries FROM part
+  UNION ALL SELECT p_partkey, 1, p_name || ' t', ['c1', 'c9'] FROM part WHERE p_partkey % 20 = 1
+  UNION ALL SELECT p_partkey, 2, CASE WHEN p_partkey % 8 <> 1 THEN p_name || ' u' END, ['c0'] FROM part WHERE p_partkey % 4 = 1),
+last AS (SELECT k, arg_max(countries, batch) AS countries, arg_max({'n': name}, batch).n AS name FROM r GROUP BY k)
+SELECT k, country, name FROM (SELECT k, name, unnest(countries) AS country FROM last) WHERE country IN ('c0', 'c1') AND name IS NOT NULL""")
 def streamed_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Change files through the streaming path in two batches; the second one changes a single product."""
+    """Change files through the streaming path in three batches: all products, a few, and so many that the runs are merged."""
     from larder.streaming.changes import read_current, stream_changes
 
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     k = F.col("p_partkey")
     part = load(spark, sf, "part")
-    records = part.select(
-        k.alias("k"), k.alias("file"), F.when(k % 10 != 3, F.concat("p_name", F.lit(" s"))).alias("name"),
-        F.when(k % 3 == 0, F.array(F.lit("c0"), F.lit("c1"))).when(k % 3 == 1, F.array(F.lit("c1"))).otherwise(F.array(F.lit("c2"))).alias("countries"))
-    last = part.join(part.agg(F.max(k).alias("_last")), k == F.col("_last")).select(
-        k.alias("k"), k.alias("file"), F.concat("p_name", F.lit(" t")).alias("name"), F.array(F.lit("c1")).alias("countries"))
-    for rows in (records, last):
+    countries = lambda *names: F.array(*[F.lit(n) for n in names])
+    batches = [
+        part.select(k.alias("k"), k.alias("file"), F.when(k % 10 != 3, F.concat("p_name", F.lit(" s"))).alias("name"),
+                    F.when(k % 3 == 0, countries("c0", "c1")).when(k % 3 == 1, countries("c1")).otherwise(countries("c2")).alias("countries")),
+        part.filter(k % 20 == 1).select(k.alias("k"), k.alias("file"), F.concat("p_name", F.lit(" t")).alias("name"), countries("c1", "c9").alias("countries")),
+        part.filter(k % 4 == 1).select(k.alias("k"), k.alias("file"), F.when(k % 8 != 1, F.concat("p_name", F.lit(" u"))).alias("name"), countries("c0").alias("countries"))]
+    for rows in batches:
         rows.write.mode("append").json(f"{root}/landing")
         stream_changes(spark, f"{root}/landing", f"{root}/catalog", f"{root}/checkpoint", "k long, file long, name string, countries array<string>",
                        ["c0", "c1"], key="k").awaitTermination()
-    return read_current(spark, f"{root}/catalog").select("k", "country", "name")
+    return read_current(spark, f"{root}/catalog", "k").select("k", "country", "name")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from larder.binding import duck, load, products
 from larder.operators import diff, search
 from larder.queries.registry import query
-from larder.session import checkpoint_root
+from larder.session import checkpoint_root, files_stamp
 
 _WORDS = """w AS (SELECT doc_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+')) AS token FROM documents),
 p AS (SELECT token, doc_id, count(*) AS tf FROM w WHERE token <> '' GROUP BY ALL),
@@ -21,17 +21,20 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return search.postings(load(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"])
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str, str], str] = {}
 
 
-def _index(spark: SparkSession, sf: str, name: str, key: str, build: Callable[[SparkSession, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Postings and statistics of a text index that is written once an application, as a catalogue's is."""
-    known = (spark.sparkContext.applicationId, sf, name)
+def _index(spark: SparkSession, sf: str, name: str, table: str, key: str, build: Callable[[SparkSession, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Postings and statistics of a text index that is written once for what its table holds, as a catalogue's is.
+
+    Known by the names, sizes and times of the table's files: a table that is replaced gets an index of its own.
+    """
+    known = (spark.sparkContext.applicationId, sf, name, files_stamp(spark, f"{sf}/{table}.parquet"))
     if known not in _WRITTEN:
         path = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
         search.write_index(build(spark, sf), key, path)
         _WRITTEN[known] = path
-    return search.read_index(spark, _WRITTEN[known])
+    return search.read_index(spark, _WRITTEN[known], key)
 
 
 @query("postings", f"WITH {_WORDS} SELECT token, count(*) AS documents, sum(tf)::BIGINT AS occurrences FROM p GROUP BY token")
@@ -52,19 +55,19 @@ hits AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUB
 
 @query("prefix_search", f"WITH {_bm25(_WORDS, 'the', 'an')} SELECT g.doc_id, term::INT AS term, tf::BIGINT AS tf, length::INT AS length FROM g WHERE doc_id IN (SELECT doc_id FROM full_match)")
 def prefix_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.prefix_search(_index(spark, sf, "documents", "doc_id", _documents)[0], "doc_id", 'the "an')
+    return search.prefix_search(_index(spark, sf, "documents", "documents", "doc_id", _documents)[0], "doc_id", 'the "an')
 
 
 @query("ranked_documents", f"WITH {_bm25(_WORDS, 'the', 'wh')} SELECT doc_id, round(score, 6) AS score FROM hits")
 def ranked_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows, stats = _index(spark, sf, "documents", "doc_id", _documents)
+    rows, stats = _index(spark, sf, "documents", "documents", "doc_id", _documents)
     return search.bm25(rows, "doc_id", "the wh", stats).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("top_documents", f"""WITH {_bm25(_WORDS, 'the', 'wh')}
 SELECT doc_id, round(hits.score, 6) AS score, lang, source FROM hits JOIN documents USING (doc_id) ORDER BY hits.score DESC, doc_id LIMIT 20""")
 def top_documents(spark: SparkSession, sf: str) -> DataFrame:
-    index, stats = _index(spark, sf, "documents", "doc_id", _documents)
+    index, stats = _index(spark, sf, "documents", "documents", "doc_id", _documents)
     hits = search.bm25(index, "doc_id", "the wh", stats)
     best = search.top_k(hits, "doc_id", 20, popularity=None)
     rows = search.attach(best, load(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
@@ -84,7 +87,7 @@ def _product_postings(spark: SparkSession, sf: str) -> DataFrame:
 SELECT k, name, popularity, round(score, 6) AS score FROM hits JOIN products ON k = doc_id ORDER BY round(score, 9) DESC, popularity DESC, k LIMIT 25""", "products"))
 def product_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = products(spark, sf).select("k", "name", "popularity")
-    index, stats = _index(spark, sf, "products", "k", _product_postings)
+    index, stats = _index(spark, sf, "products", "part", "k", _product_postings)
     hits = search.attach(search.bm25(index, "k", "blue bo", stats), rows, "k")
     # Equal texts must tie exactly, whatever order their terms were added in.
     return search.top_k(hits.withColumn("score", F.round("score", 9)), "k", 25).select(
@@ -110,12 +113,34 @@ w AS (SELECT k, unnest(regexp_split_to_array(strip_accents(lower(name || ' ' ||
 p AS (SELECT token, k, count(*)::INT AS tf FROM w WHERE token <> '' GROUP BY ALL)
 SELECT token, k, tf, (sum(tf) OVER (PARTITION BY k))::INT AS length FROM p""")
 def reindexed(spark: SparkSession, sf: str) -> DataFrame:
-    """Index of the old generation brought up to date by a delta; equals an index of the new one."""
+    """A stored index brought up to date by a delta; its words are those of an index of the new generation."""
+    return _upkept(spark, sf)[0]
+
+
+def _upkept(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A base and two segments: all products, then names that change, then products that go and the same names once more."""
     k = F.col("p_partkey")
     old = load(spark, sf, "part").select(k.alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    between = old.withColumn("name", F.when(F.col("k") % 15 == 0, F.concat(F.lit("passing words "), "name")).otherwise(F.col("name")))
     new = old.filter(F.col("k") % 7 != 0).withColumn("name", F.when(F.col("k") % 5 == 0, F.concat(F.lit("new "), "name")).otherwise(F.col("name")))
-    delta = diff.changes(new, old, ["k"], ["name", "brand"], ["name", "brand"])
-    return search.reindex(search.postings(old, "k", ["name", "brand"]), delta, "k", ["name", "brand"])
+    path = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(search.postings(old, "k", ["name", "brand"]), "k", path)
+    for batch, (was, now) in enumerate(((old, between), (between, new)), 1):
+        search.update_index(spark, path, batch, diff.changes(now, was, ["k"], ["name", "brand"], ["name", "brand"]), "k", ["name", "brand"])
+    return search.read_index(spark, path, "k")
+
+
+_NEW_WORDS = """n AS (SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 5 = 0 THEN 'new ' || p_name ELSE p_name END || ' ' || p_brand AS t FROM part WHERE p_partkey % 7 <> 0),
+w AS (SELECT doc_id, unnest(regexp_split_to_array(strip_accents(lower(t)), '[^\\p{L}\\p{N}]+')) AS token FROM n),
+p AS (SELECT token, doc_id, count(*) AS tf FROM w WHERE token <> '' GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf)::BIGINT AS length FROM p GROUP BY doc_id), pl AS (SELECT * FROM p JOIN l USING (doc_id))"""
+
+
+@query("ranked_after_changes", f"WITH {_bm25(_NEW_WORDS, 'new', 'b')} SELECT doc_id AS k, round(score, 6) AS score FROM hits")
+def ranked_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranking over a base and segments: scores are those of an index that is built anew, statistics included."""
+    rows, stats = _upkept(spark, sf)
+    return search.bm25(rows, "k", "new b", stats).select("k", F.round("score", 6).alias("score"))
 
 
 @query("deduped_index", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")

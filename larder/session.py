@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 
@@ -59,3 +60,24 @@ def settle(df: DataFrame, keys: list[str]) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in keys]
     return df.select(*keys, F.inline(F.array(F.struct(*rest)))).select(*df.columns)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes folders or files, wherever they are stored."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def files_stamp(spark: SparkSession, path: str) -> str:
+    """Changes whenever the files below a path do: their names, sizes and times, hashed."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    held, seen = list(found or []), []
+    while held:
+        one = held.pop()
+        if one.isDirectory():
+            held += list(one.getPath().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(one.getPath()))
+        else:
+            seen.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from larder.operators import runs
 from larder.operators.latest import latest_per_key
 
 
@@ -18,84 +18,52 @@ def apply_changes(base: DataFrame, records: DataFrame, countries: list[str], key
     which record of a key is the later one. Rows of keys that no record names stay as they are.
     """
     last = latest_per_key(records, [key], list(order))
-    # Every record speaks about every country: the explode is a fixed factor, not data dependent.
-    spread = last.withColumn("country", F.explode(F.array(*[F.lit(c) for c in countries])))
-    sold = F.array_contains("countries", F.col("country")) & F.col("name").isNotNull()
-    fresh = spread.filter(sold).select(*base.columns)
+    fresh = spoken(last, countries).filter("NOT _gone").select(*base.columns)
     untouched = base.join(last.select(key), key, "left_anti").unionByName(
         base.filter(~F.col("country").isin(countries)).join(last.select(key), key, "left_semi"))
     return untouched.select(*base.columns).unionByName(fresh)
 
 
-# ---------------------------------------------------------------- generations on disk
-
-#: Folders that the rows of a country are dealt to by their key; a batch rewrites only those it touches.
-BUCKETS = 16
-
-
-def folder_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
-    """Current path of each (country, bucket); a NULL path is a folder that has become empty."""
-    try:
-        rows = spark.read.schema("batch long, country string, bucket int, path string").json(f"{root}/pointer/*")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return rows.groupBy("country", "bucket").agg(F.max_by("path", "batch").alias("path"))
+def spoken(last: DataFrame, countries: list[str]) -> DataFrame:
+    """What each record says about every country: a row there, or, ``_gone``, that there is none.
 
+    The explode is a fixed factor, not data dependent.
+    """
+    spread = last.withColumn("country", F.explode(F.array(*[F.lit(c) for c in countries])))
+    sold = F.array_contains("countries", F.col("country")) & F.col("name").isNotNull()
+    return spread.withColumn("_gone", ~F.coalesce(sold, F.lit(False)))
 
-def read_current(spark: SparkSession, root: str, touched: DataFrame | None = None) -> DataFrame | None:
-    """The current generation, or of it only the folders that ``touched`` names; None before the first one.
 
-    Folders are countries times buckets, so their paths are a short list.
-    """
-    pointers = _pointers(spark, root)
-    if pointers is None:
-        return None
-    if touched is not None:
-        pointers = pointers.join(touched, ["country", "bucket"], "left_semi")
-    paths = [r.path for r in pointers.filter("path IS NOT NULL").collect()]
-    return spark.read.parquet(*paths) if paths else None
+# ---------------------------------------------------------------- generations on disk
 
+def read_current(spark: SparkSession, root: str, key: str = "barcode") -> DataFrame | None:
+    """The current generation; None before the first one."""
+    return runs.read_rows(spark, root, ["country", key])
 
-def commit(df: DataFrame, root: str, batch: int, touched: DataFrame, key: str) -> None:
-    """Write the touched folders under the batch's number, then the pointers that make them current.
 
-    Both are named by the batch and overwritten, so a batch that runs again after a failure leaves the same
-    files and no second pointer.
-    """
-    path = f"{root}/data/batch={batch:010d}"
-    placed = df.withColumns({"_c": F.col("country"), "_b": folder_of(key)})
-    placed.write.mode("overwrite").partitionBy("_c", "_b").parquet(path)
-    filled = placed.select(F.col("_c").alias("country"), F.col("_b").alias("bucket")).distinct().withColumn(
-        "path", F.concat(F.lit(f"{path}/_c="), "country", F.lit("/_b="), F.col("bucket").cast("string")))
-    pointers = touched.join(filled, ["country", "bucket"], "left").withColumn("batch", F.lit(batch))
-    pointers.coalesce(1).write.mode("overwrite").json(f"{root}/pointer/batch={batch:010d}")
+def commit(df: DataFrame, root: str, batch: int, countries: list[str], key: str, order: list[str]) -> None:
+    """Add a batch of records to the stored generation as a run of changes; nothing else of it is read or written,
+    unless runs have become alike in size and are merged."""
+    said = spoken(latest_per_key(df, [key], order), countries).drop("countries", *order)
+    # Of a row that is gone only the key is kept.
+    rest = [c for c in said.columns if c not in ("country", key, "_gone")]
+    rows = said.select("country", key, "_gone", *[F.when(~F.col("_gone"), F.col(c)).alias(c) for c in rest])
+    runs.append(df.sparkSession, root, batch, rows, ["country", key])
 
 
 def stream_changes(spark: SparkSession, landing: str, root: str, checkpoint: str, schema: str, countries: list[str],
                    key: str = "barcode", order: list[str] = ("file",), prepare: Callable[[DataFrame], DataFrame] | None = None,
                    files_per_batch: int = 1000) -> StreamingQuery:
-    """Apply change files as they land; each batch rewrites the folders it touches and leaves the others.
+    """Apply change files as they land; a batch writes what it changes, and the store merges its runs by size.
 
     ``availableNow`` drains what has landed in batches of at most ``files_per_batch`` files and stops, so a
-    nightly job and a live one share the code. Country names must be fit for folder names, as codes are.
+    nightly job and a live one share the code. Records without a key are left out.
     """
     records = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(landing)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = (prepare(batch) if prepare else batch).persist()
-        # Every record speaks about every country.
-        touched = rows.select(F.explode(F.array(*[F.lit(c) for c in countries])).alias("country"), folder_of(key).alias("bucket")).distinct()
-        base = read_current(batch.sparkSession, root, touched)
-        if base is None:
-            base = rows.drop("countries", *order).withColumn("country", F.lit(None).cast("string")).limit(0)
-        commit(apply_changes(base, rows, countries, key, list(order)), root, batch_id, touched, key)
-        rows.unpersist()
+        rows = prepare(batch) if prepare else batch
+        commit(rows.filter(F.col(key).isNotNull()), root, batch_id, countries, key, list(order))
 
     return (records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from larder.operators.history import debounce
-from larder.streaming.changes import apply_changes, read_current, stream_changes
+from larder.operators.runs import manifest
+from larder.streaming.changes import apply_changes, commit, read_current, stream_changes
 from larder.streaming.scans import debounce_exact, valid_scans
 
 SCHEMA = "barcode string, file long, name string, countries array<string>"
@@ -42,21 +43,45 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
     assert sorted(map(tuple, batch.select("barcode", "country", "name").collect())) == state(spark, root)
 
 
-def test_a_batch_leaves_other_folders_alone(spark, tmp_path):
+def test_written_bytes_follow_the_changes(spark, tmp_path):
+    """Some hundred changes all over the keys leave the base as it is; runs of like size are merged, and old ones go."""
     landing, root = tmp_path / "landing", str(tmp_path / "catalog")
     run = lambda: stream_changes(spark, str(landing), root, str(tmp_path / "checkpoint"), SCHEMA, ["es", "fr"]).awaitTermination()
-    land(landing, "f1.json", [rec(str(i), 1, f"n{i}", "es", "fr") for i in range(200)])
+    files = lambda: {p: (p.stat().st_mtime_ns, p.stat().st_size) for p in (tmp_path / "catalog" / "runs").rglob("*.parquet")}
+    want = {(str(i), c): f"n{i}" for i in range(20000) for c in ("es", "fr")}
+    land(landing, "f0.json", [rec(str(i), 1, f"n{i}", "es", "fr") for i in range(20000)])
     run()
-    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "catalog" / "data").rglob("*.parquet")}
-    before = files()
-    land(landing, "f2.json", [rec("7", 2, "new", "es")])
+    base, counts = files(), []
+    for batch in range(1, 8):
+        changed = range(batch, 20000, 97)
+        land(landing, f"f{batch}.json", [rec(str(i), batch + 1, f"b{batch}", "es") for i in changed])
+        for i in changed:
+            want[str(i), "es"] = f"b{batch}"
+            want.pop((str(i), "fr"), None)
+        before = files()
+        run()
+        after = files()
+        written = sum(size for p, (_, size) in after.items() if p not in before)
+        assert all(after[p] == base[p] for p in base) and written < sum(size for _, size in base.values()) / 3
+        counts.append(len(manifest(spark, root)))
+    assert max(counts) <= 3 and len(list((tmp_path / "catalog" / "manifest").iterdir())) == 2
+    assert len(list((tmp_path / "catalog" / "runs").iterdir())) <= 6
+    assert {(r[0], r[1]): r[2] for r in state(spark, root)} == want
+    # So many changes that all runs become one, without the rows that are gone.
+    land(landing, "f9.json", [rec(str(i), 9, None) for i in range(0, 20000, 2)])
     run()
-    after = files()
-    assert all(after[p] == t for p, t in before.items())
-    # One product lies in one bucket of each country.
-    assert len({p.parent for p in set(after) - set(before)}) <= 2 and len({p.parent.name for p in set(after) - set(before)}) == 1
-    got = {(r[0], r[1]): r[2] for r in state(spark, root)}
-    assert len(got) == 399 and got["7", "es"] == "new" and ("7", "fr") not in got
+    want = {k: v for k, v in want.items() if int(k[0]) % 2}
+    assert {(r[0], r[1]): r[2] for r in state(spark, root)} == want
+    assert [r.rows for r in manifest(spark, root)] == [len(want)]
+
+
+def test_a_batch_that_runs_again_leaves_the_same(spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    frame = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    one, two = frame([rec(str(i), 1, "a", "es") for i in range(50)]), frame([rec(str(i), 2, "b", "fr") for i in range(0, 50, 3)])
+    for df, batch in ((one, 0), (two, 1), (two, 1), (two, 1)):
+        commit(df, root, batch, ["es", "fr"], "barcode", ["file"])
+    assert state(spark, root) == sorted([(str(i), "es", "a") for i in range(50) if i % 3] + [(str(i), "fr", "b") for i in range(0, 50, 3)])
 
 
 def brute(rows, seconds):
