@@ -27,18 +27,52 @@ def join_lines(rows: DataFrame, lines: DataFrame, group: list[str], key: str, ho
     return dealt.join(repeated, [*group, "_deal"], how).drop("_deal")
 
 
+#: Rows of a group from which on they are dealt over several tasks, and the share of all rows that one task may get.
+DEAL_ROWS, DEAL_SHARE = 100_000, 500
+
+
+def join_lines_by_size(rows: DataFrame, lines: DataFrame, group: list[str], key: str, how: str = "left") -> DataFrame:
+    """As ``join_lines``, with as many deals as a group's rows need: one for most, so long lines aren't repeated.
+
+    The groups with more than one deal are at most DEAL_SHARE, whatever the tables, and travel as a list.
+    """
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.agg(F.greatest(F.lit(DEAL_ROWS).cast("double"), F.sum("_n") / DEAL_SHARE).alias("_most"))
+    hot = sizes.crossJoin(F.broadcast(most)).filter("_n > _most").select(*group, F.ceil(F.col("_n") / F.col("_most")).cast("int").alias("_deals"))
+    dealt = rows.join(F.broadcast(hot), group, "left").withColumn("_deal", F.pmod(F.xxhash64(key), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_deals")
+    repeated = lines.join(F.broadcast(hot), group, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return dealt.join(repeated, [*group, "_deal"], how).drop("_deal")
+
+
+def last_not_above(sorted_keys: Column, key: Column) -> Column:
+    """How many of ascending keys (a NULL one comes first and is below all) aren't above ``key``: found by halving."""
+    steps = F.ceil(F.log2(F.size(sorted_keys) + 1)).cast("int")
+    start = F.struct(F.lit(0).alias("low"), F.size(sorted_keys).alias("high"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        at = F.get(sorted_keys, middle)
+        below = at.isNull() | (at <= key)
+        open_ = state["low"] < state["high"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(state["low"]).alias("low"), F.when(open_ & ~below, middle).otherwise(state["high"]).alias("high"))
+
+    return F.when(F.size(sorted_keys) > 0, F.aggregate(F.sequence(F.lit(1), steps), start, halve, lambda s: s["low"])).otherwise(0)
+
+
 def part_for(rows: DataFrame, parts: DataFrame, group: list[str], key: str, fallback_last: bool = False) -> DataFrame:
-    """Adds ``part``. ``parts`` holds the ranges of each group (a bounded list per group).
+    """Adds ``part``. ``parts`` holds the ranges of each group, which don't overlap (a list that fits a row).
 
-    The ranges of a group travel as one sorted array, so the join is an equi join and needs no nested
-    loop; with a NULL range everything belongs to part 1.
+    The ranges of a group travel as one sorted array, so the join is an equi join and needs no nested loop; a row
+    finds its range by halving, in log2(parts) steps. With a NULL range everything belongs to part 1.
     """
-    packed = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("part", "from_key", "to_key"))).alias("_ranges"))
-    hit = F.try_element_at(F.filter("_ranges", lambda r: in_range(F.col(key), r["from_key"], r["to_key"])), F.lit(1))["part"]
+    packed = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col("from_key").isNotNull().alias("_bounded"), "from_key", "to_key", "part"))).alias("_ranges"), F.max("part").alias("_last"))
+    packed = packed.withColumn("_starts", F.transform("_ranges", lambda r: r["from_key"]))
+    found = join_lines_by_size(rows, packed, group, key)
+    at = F.get("_ranges", last_not_above(F.col("_starts"), F.col(key)) - 1)
+    hit = F.when(in_range(F.col(key), at["from_key"], at["to_key"]), at["part"])
     if fallback_last:
-        hit = F.coalesce(hit, F.array_max(F.transform("_ranges", lambda r: r["part"])))
-    return join_lines(rows, packed, group, key).withColumn(
-        "part", F.when(F.col("_ranges").isNull(), 1).otherwise(hit)).drop("_ranges").select(*rows.columns, "part")
+        hit = F.coalesce(hit, F.col("_last"))
+    return found.withColumn("part", F.when(F.col("_ranges").isNull(), 1).otherwise(hit)).select(*rows.columns, "part")
 
 
 def parts_of(entries: DataFrame) -> DataFrame:

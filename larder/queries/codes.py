@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from larder.binding import load
 from larder.functions import codes
 from larder.functions.codes import GS1_RULES
-from larder.operators import ranges
+from larder.operators import prefix, ranges
 from larder.operators.lookup import tiered_lookup
 from larder.queries.registry import query
 
@@ -109,6 +109,19 @@ def part_routing(spark: SparkSession, sf: str) -> DataFrame:
     return strict.join(loose.withColumnRenamed("part", "part_or_last"), ["country", "code"])
 
 
+@query("fine_part_routing", """WITH cuts AS (SELECT 'c' || (o_orderkey % 3)::VARCHAR AS country, o_orderkey::VARCHAR AS cut, 1 + row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey::VARCHAR) AS part FROM orders WHERE o_orderkey % 4 <> 1),
+r AS (SELECT 'c' || (l_orderkey % 3)::VARCHAR AS country, l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS code FROM lineitem)
+SELECT r.country, code, coalesce(part, 1)::INT AS part FROM r ASOF LEFT JOIN cuts ON cuts.country = r.country AND r.code >= cuts.cut""")
+def fine_part_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Thousands of parts a catalogue: a cut at most orders, and every order line finds its part."""
+    k = F.col("o_orderkey")
+    cuts = load(spark, sf, "orders").filter(k % 4 != 1).select(F.concat(F.lit("c"), (k % 3).cast("string")).alias("country"), k.cast("string").alias("cut_key"))
+    parts = prefix.part_ranges(cuts.withColumn("cut_no", F.row_number().over(Window.partitionBy("country").orderBy("cut_key"))), ["country"])
+    lines = load(spark, sf, "lineitem").select(F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")).alias("country"),
+                                               F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("code"))
+    return ranges.part_for(lines, parts, ["country"], "code")
+
+
 @query("image_urls", """SELECT code, CASE WHEN length(code) <= 8 THEN code ELSE rtrim(substr(code, 1, 3) || '/' || substr(code, 4, 3) || '/' || substr(code, 7, 3) || '/' || substr(code, 10), '/') END AS path,
    CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN NULL ELSE 'https://images.openfoodfacts.org/images/products/' ||
      CASE WHEN length(code) <= 8 THEN code ELSE rtrim(substr(code, 1, 3) || '/' || substr(code, 4, 3) || '/' || substr(code, 7, 3) || '/' || substr(code, 10), '/') END

@@ -390,6 +390,30 @@ def compacted_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("tag", "e", "name", F.array_join("classes", ",").alias("classes"), "risk", "watched")
 
 
+@query("taxonomy_file", """SELECT 'en:p' || p_partkey::VARCHAR AS tag, 'E' || (p_partkey % 900)::VARCHAR AS e, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' }"{[' ELSE p_name END AS name,
+   'en:colour,en:acid' AS classes, CASE p_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' WHEN 2 THEN 'no' END AS risk, p_partkey % 6 = 0 AS watched FROM part""")
+def taxonomy_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A taxonomy that is one large JSON object in one file, read in parts; names hold quotes and brackets."""
+    k, s = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    leaf = lambda c, lang="en": F.create_map(F.lit(lang), c)
+    name = F.when(k % 2 == 0, F.concat("p_name", F.lit(' }"{['))).otherwise(F.col("p_name"))
+    entry = F.create_map(
+        F.lit("e_number"), leaf(F.concat(F.lit("E"), (k % 900).cast("string"))), F.lit("name"), F.create_map(F.lit("es"), name, F.lit("en"), F.lit("other {")),
+        F.lit("additives_classes"), leaf(F.lit("en:colour, en:acid")),
+        F.lit("efsa_evaluation_overexposure_risk"), leaf(F.when(k % 4 == 0, "en:high").when(k % 4 == 1, "en:moderate").when(k % 4 == 2, "en:no").otherwise("en:other"), "xx"),
+        F.lit("anses_additives_of_interest"), leaf(F.when(k % 6 == 0, "yes").otherwise("no")))
+    body = F.to_json(F.create_map(F.concat(F.lit("en:p"), s), entry))
+    part = load(spark, sf, "part")
+    first = part.agg(F.min(k).alias("_first"))
+    # Entry lines of one object: the first opens it, the others go on, a last line closes it.
+    lines = part.crossJoin(F.broadcast(first)).select(k.alias("n"), F.concat(F.when(k == F.col("_first"), "{").otherwise(", "), F.substring(body, 2, 1 << 30)).alias("value"))
+    lines = lines.withColumn("value", F.expr("left(value, length(value) - 1)")).unionByName(first.select(F.lit(1 << 60).alias("n"), F.lit("}").alias("value")))
+    path = f"{checkpoint_root(spark)}/taxonomy-{uuid.uuid4().hex}"
+    lines.orderBy("n").coalesce(1).select("value").write.text(path)
+    rows = ev.compact_taxonomy(reg.read_taxonomy(spark, path))
+    return rows.select("tag", "e", "name", F.array_join("classes", ",").alias("classes"), "risk", "watched")
+
+
 @query("source_audit", f"""WITH {_CLASSES}, u AS (SELECT cas FROM cp UNION SELECT cas FROM clp_v), h AS (SELECT i.item, i.cas IS NOT NULL AS has_cas, i.cas IN (SELECT cas FROM u) AS held, i.item IN (SELECT item FROM cl WHERE clp_cas IS NOT NULL) AS linked FROM it i),
 g AS (SELECT has_cas, coalesce(held, false) AS held, linked FROM h)
 SELECT count(*) AS items, count(*) FILTER (has_cas) AS with_cas, count(*) FILTER (held) AS in_source, count(*) FILTER (has_cas AND NOT held) AS not_in_source, count(*) FILTER (linked) AS linked,

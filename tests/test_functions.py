@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import categories, codes, cosmetics, health, nova, numeric, nutriscore as ns, text, units
 from larder.plans import catalog, evidence, normalize, scoring, toxicology
-from larder.sources import dump, regulation
+from larder.sources import dump, regulation, objects
 
 
 def value(spark, column):
@@ -314,6 +314,41 @@ def test_taxonomy_and_manual_files(spark, tmp_path):
     assert regulation.read_jsonl(spark, str(tmp_path), {"iarc": "name string"})["iarc"].count() == 1
 
 
+def test_one_object_is_read_by_many_tasks(spark, tmp_path):
+    """Byte ranges that begin in strings, behind backslashes and at any depth give what one reader of the whole file gives."""
+    import random
+
+    r = random.Random(4)
+    odd = ['"', "}", "{", "[", "]", "\\", "a", "é", ",", ":", "}}", '\\"', "\n"]
+    text = lambda: "".join(r.choice(odd) for _ in range(r.randrange(30)))
+    value = {f"k{i}{text()}": r.choice([{"v": text(), "w": text()}, {"v": text()}, {"w": "{" * r.randrange(5)}]) for i in range(3000)}
+    (tmp_path / "dense").mkdir(), (tmp_path / "spread").mkdir(), (tmp_path / "list").mkdir()
+    (tmp_path / "dense" / "o.json").write_text(json.dumps(value))
+    (tmp_path / "spread" / "o.json").write_text(json.dumps(value, indent=2, ensure_ascii=False) + "\n\n")
+    (tmp_path / "list" / "o.json").write_text(json.dumps([{"k": k, **v} for k, v in value.items()]))
+    want = sorted((k, v.get("v"), v.get("w")) for k, v in value.items())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for name in ("dense", "spread"):
+            rows = objects.read_object(spark, str(tmp_path / name), "struct<v:string,w:string>")
+            assert spark.read.option("lineSep", "}").text(str(tmp_path / name)).rdd.getNumPartitions() > 20
+            assert sorted((x.key, x.value.v, x.value.w) for x in rows.collect()) == want
+        assert sorted(map(tuple, objects.read_array(spark, str(tmp_path / "list"), "k string, v string, w string").collect())) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_small_objects(spark, tmp_path):
+    for i, (text, want) in enumerate([("{}", []), ("[]", []), ("", []), ('{"a": 1, "b": {"v": "x"}, "c": [2], "d": {}, "e": "}"}', ["a", "b", "c", "d", "e"]), (' {"b":{"v":"{"}} ', ["b"])]):
+        (tmp_path / f"{i}.json").write_text(text)
+        got = objects.entries(spark, str(tmp_path / f"{i}.json")).collect()
+        assert sorted(k for r in got for k in json.loads(r.entry)) == want
+        assert {k: v for r in got for k, v in json.loads(r.entry).items()} == json.loads(text or "{}" if text != "[]" else "{}")
+
+
 def test_flags_and_drinks(spark):
     tags = lambda *t: F.array(*[F.lit(x) for x in t])
     assert value(spark, categories.drink_type(tags("en:wines", "en:sparkling-wines"))) == "espumoso"

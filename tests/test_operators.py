@@ -60,6 +60,38 @@ def test_parts_cover_and_do_not_overlap(spark, skewed):
     assert placed.count() == df.count() and placed.filter("part IS NULL").count() == 0
 
 
+def test_a_part_is_found_by_halving(spark):
+    import random
+
+    from larder.operators import ranges as r_
+
+    rng = random.Random(3)
+    cuts = {g: sorted({f"{rng.randrange(10 ** 6)}" for _ in range(n)}) for g, n in (("a", 4000), ("b", 3), ("c", 1))}
+    lines = [(g, i + 1, lo, hi) for g, c in cuts.items() for i, (lo, hi) in enumerate(zip([None, *c], [*c, None]))]
+    # Of the last group the ends are closed, and one has no range at all.
+    lines = [x for x in lines if not (x[0] == "b" and (x[2] is None or x[3] is None))]
+    keys = [(g, f"{rng.randrange(10 ** 6)}") for g in "abcd" for _ in range(500)] + [(g, k) for g, c in cuts.items() for k in c] + [("a", None), ("c", None), ("a", "")]
+    df = spark.createDataFrame(keys, "g string, k string")
+    parts = spark.createDataFrame(lines, "g string, part int, from_key string, to_key string")
+    by_group = {g: [x for x in lines if x[0] == g] for g in "abc"}
+
+    def brute(g, k, last):
+        if g not in by_group:
+            return 1
+        hit = [x[1] for x in by_group[g] if k is not None and (x[2] is None or k >= x[2]) and (x[3] is None or k < x[3])]
+        return hit[0] if hit else max(x[1] for x in by_group[g]) if last else None
+
+    old = r_.DEAL_ROWS
+    try:
+        r_.DEAL_ROWS = 600  # the group with most rows is dealt, the others aren't
+        for last in (False, True):
+            got = r_.part_for(df, parts, ["g"], "k", fallback_last=last).collect()
+            key = lambda x: tuple((v is not None, v) for v in x)
+            assert sorted(map(tuple, got), key=key) == sorted([(g, k, brute(g, k, last)) for g, k in keys], key=key)
+    finally:
+        r_.DEAL_ROWS = old
+
+
 def test_large_top_n_equals_window(skewed):
     rows, df = skewed
     big = prefix.top_n_per_group(df, ["g"], ["w", "k"], 1500, descending={"w"})
