@@ -2,14 +2,16 @@
 
 A window over a whole group puts the group in one task. Here rows are range-partitioned over
 (group, order), which splits even a group with a third of all rows; sums of the buckets give each
-bucket its offset, and only the inside of a bucket is windowed.
+bucket its offset, and only the inside of a bucket is windowed. Buckets hold a bounded number of rows, whatever
+the shuffle setting: there are more of them where a table needs more.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from larder.session import cut_lineage
 
@@ -18,6 +20,21 @@ def _ordered(names: list[str], descending: set[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if c in descending else F.col(c).asc_nulls_first() for c in names]
 
 
+#: Rows of a bucket, but for the error of the sampled bounds.
+BUCKET_ROWS = 2_000_000
+
+
+def _placed(df: DataFrame, group: list[str], sort: list[Column], buckets: int) -> tuple[DataFrame, int]:
+    """Rows with ``_bucket``, a range of (group, order), on reliable storage, and how many there are.
+
+    Range bounds are sampled, so a recomputed stage could cut elsewhere: the buckets are fixed first.
+    """
+    seen = Observation()
+    ranged = df.repartitionByRange(buckets, *[F.col(g) for g in group], *sort).withColumn("_bucket", F.spark_partition_id())
+    placed = cut_lineage(ranged.observe(seen, F.count(F.lit(1)).alias("n")))
+    return placed, seen.get["n"]
+
+
 def with_running(df: DataFrame, group: list[str], order: list[str], measures: dict[str, str] | None = None,
                  descending: set[str] = frozenset(), buckets: int | None = None) -> DataFrame:
     """Adds ``rank`` (1-based), ``group_rows`` and, per measure, its running and group total.
@@ -29,9 +46,10 @@ def with_running(df: DataFrame, group: list[str], order: list[str], measures: di
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = _ordered(order, set(descending))
-    # Range bounds are sampled, so a recomputed stage could cut elsewhere: fix the buckets first.
-    placed = cut_lineage(df.repartitionByRange(buckets, *[F.col(g) for g in group], *sort)
-                         .withColumn("_bucket", F.spark_partition_id()))
+    placed, rows = _placed(df, group, sort, buckets)
+    if rows > buckets * BUCKET_ROWS:
+        # The setting is too small for this table: a bucket is windowed in one task, so its size is bounded.
+        placed, _ = _placed(placed.drop("_bucket"), group, sort, math.ceil(rows / BUCKET_ROWS))
     sums = placed.groupBy(*group, "_bucket").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_sum_{n}") for n, c in measures.items()])
     # At most one row per group and bucket: small enough for a plain window.

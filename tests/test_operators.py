@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from larder.operators import diff, prefix, search
 from larder.operators.latest import best_per_key, first_per_key, latest_per_key
@@ -60,6 +60,23 @@ def test_parts_cover_and_do_not_overlap(spark, skewed):
     assert placed.count() == df.count() and placed.filter("part IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 10])
+def test_buckets_stay_small_on_larger_tables(spark, monkeypatch, size):
+    from larder.operators import prefix as p_
+
+    monkeypatch.setattr(p_, "BUCKET_ROWS", 2000)
+    rows = spark.range(size * 12000).select((F.col("id") % 3 != 0).cast("int").alias("g"), F.xxhash64("id").alias("k"), F.lit(2).alias("w"))
+    made = []
+    keep = p_._placed
+    monkeypatch.setattr(p_, "_placed", lambda *a: made.append(keep(*a)) or made[-1])
+    out = p_.with_running(rows, ["g"], ["k"], {"run": "w"})
+    largest = made[-1][0].groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert made[0][1] == size * 12000 and largest <= 2 * 2000
+    w = Window.partitionBy("g").orderBy("k")
+    want = rows.withColumn("rank", F.row_number().over(w)).withColumn("run", F.col("rank") * 2)
+    assert out.select("g", "k", "rank", "run").exceptAll(want.select("g", "k", "rank", "run")).count() == 0 and out.count() == size * 12000
+
+
 def test_a_part_is_found_by_halving(spark):
     import random
 
