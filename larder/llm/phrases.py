@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larder.llm.arrays import _LOWER, byte_column, give_back, mix, pieces, ragged, span_hashes
+from larder.llm.arrays import Lookup, _LOWER, byte_column, distinct_spans, equal_spans, give_back, mix, pieces, quick_hashes, ragged
 from larder.operators.prefix import top_n_per_group
 from larder.session import cut_lineage
 
@@ -65,7 +65,7 @@ class Texts:
 
     @cached_property
     def word_hashes(self) -> np.ndarray:
-        return span_hashes(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+        return quick_hashes(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
 
     def word_languages(self) -> np.ndarray:
         return self.language_of[self.text]
@@ -178,52 +178,34 @@ class Safe:
         return out
 
 
-def _phrases(longest: int, safe):
+def _phrases(longest: int, safe, bucket_bits: int):
     """Rows (lang, phrase): the distinct phrases with a safe hash of every few megabytes of text."""
     def run(batches):
-        known = safe.value
+        known = Safe(safe.value, bucket_bits)
         for texts in _texts(batches):
-            code = _word_codes(texts)
+            code = distinct_spans(texts.data, texts.starts, texts.ends, texts.word_hashes)[1]
             languages = texts.word_languages()
             for size, hashes in enumerate(texts.hashes(longest), 1):
                 at = texts.places(size)[known.holds(hashes)]
                 if not len(at):
                     continue
-                # Numbers of equal words are equal, so phrases are told apart exactly: language, then word by word.
-                key = languages[at]
-                for k in range(size):
-                    _, first, key = np.unique(key * (len(texts.starts) + 1) + code[at + k], return_index=True, return_inverse=True)
+                # Numbers of equal words are equal, so phrases are told apart exactly: by one key, or word by word if it is too long.
+                bits = int(code.max()).bit_length()
+                if size * bits + len(texts.languages).bit_length() < 63:
+                    key = languages[at]
+                    for k in range(size):
+                        key = key << bits | code[at + k]
+                    first = np.unique(key, return_index=True)[1]
+                else:
+                    key = languages[at]
+                    for k in range(size):
+                        _, first, key = np.unique(key << bits | code[at + k], return_index=True, return_inverse=True)
                 at = at[first]
                 yield pa.RecordBatch.from_arrays([pa.array(texts.languages, pa.string()).take(pa.array(languages[at])), _joined(texts, at, size)], ["lang", "phrase"])
             give_back()
     return run
 
 
-def _word_codes(texts: Texts) -> np.ndarray:
-    """Equal numbers for equal words and only for those: by hash, then by the bytes of each hash's first word."""
-    _, first, which = np.unique(texts.word_hashes, return_index=True, return_inverse=True)
-    code = first[which]
-    same = _equal_spans(texts.data, texts.starts, texts.ends, texts.data, texts.starts[code], texts.ends[code])
-    odd = np.flatnonzero(~same)
-    if len(odd):  # words that share a hash with another one
-        names: dict[bytes, int] = {}
-        for i in odd:
-            code[i] = names.setdefault(texts.data[texts.starts[i]:texts.ends[i]].tobytes(), i)
-    return code
-
-
-def _equal_spans(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
-    """Whether bytes a[from:to] equal b[from:to], span by span."""
-    size = a_to - a_from
-    same = size == b_to - b_from
-    some = np.flatnonzero(same & (size > 0))
-    differ = a[ragged(a_from[some], size[some])] != b[ragged(b_from[some], size[some])]
-    sums = np.concatenate([[0], np.cumsum(differ)])
-    ends = np.cumsum(size[some])
-    same[some] = sums[ends] == sums[ends - size[some]]
-    return same
-
-
 def _joined(texts: Texts, at: np.ndarray, size: int) -> pa.Array:
     """Words from each place on, joined by one space."""
     words = (at[:, None] + np.arange(size)).ravel()
@@ -250,9 +232,12 @@ class Trie:
         self.data, offsets = byte_column(words)
         self.starts, self.ends = offsets[:-1], offsets[1:]
         self.shifts = _shifts(len(self.starts))
-        hashes = span_hashes(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+        hashes = quick_hashes(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
         self.order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.order]
+        first = np.flatnonzero(np.concatenate([[True], self.hashes[1:] != self.hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        #: Where words with a hash begin; of hashes that agree in 62 bits the smallest one's.
+        self.where = Lookup((self.hashes[first] >> np.uint64(2)).astype(np.int64)[::-1], first[::-1])
 
     @staticmethod
     def build(languages: pa.Array, phrases: pa.Array) -> Trie:
@@ -289,14 +274,15 @@ class Trie:
         if not len(self.hashes):
             return out
         hashes = texts.word_hashes
-        open_, at = np.arange(len(out)), np.searchsorted(self.hashes, hashes)
+        at = self.where.get((hashes >> np.uint64(2)).astype(np.int64))
+        open_ = np.flatnonzero(at >= 0)
+        at = at[open_]
         while len(open_):  # once, unless several words share a hash
-            inside = at < len(self.hashes)
-            open_, at = open_[inside], at[inside]
-            hit = self.hashes[at] == hashes[open_]
-            open_, at = open_[hit], at[hit]
+            near = np.flatnonzero(at < len(self.hashes))
+            near = near[self.hashes[at[near]] >> np.uint64(2) == hashes[open_[near]] >> np.uint64(2)]
+            open_, at = open_[near], at[near]
             word = self.order[at]
-            same = _equal_spans(texts.data, texts.starts[open_], texts.ends[open_], self.data, self.starts[word], self.ends[word])
+            same = equal_spans(texts.data, texts.starts[open_], texts.ends[open_], self.data, self.starts[word], self.ends[word])
             out[open_[same]] = word[same]
             open_, at = open_[~same], at[~same] + 1
         return out
@@ -382,7 +368,8 @@ class _Placement:
         return self.base[:self.end], self.check[:self.end]
 
 
-_TRIE = "phrases binary, languages binary, words binary, base binary, check binary, phrase binary"
+_NUMBERED = "shard int, id bigint, lang string, phrase string"
+_TRIE = "languages binary, words binary, base binary, check binary, phrase binary"
 
 
 def _ipc(columns: dict[str, pa.Array]) -> bytes:
@@ -397,13 +384,18 @@ def _from_ipc(raw: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(raw)).read_all().combine_chunks()
 
 
+def _numbered(table: pa.Table) -> pa.Table:
+    """Phrases of a shard with their numbers from 0 on."""
+    table = table.sort_by([("lang", "ascending"), ("phrase", "ascending")])
+    return pa.table({"shard": table.column("shard"), "id": pa.array(np.arange(table.num_rows)), "lang": table.column("lang"), "phrase": table.column("phrase")})
+
+
 def _build(table: pa.Table) -> pa.Table:
-    """One row: a shard's trie and its phrases in the order of their numbers."""
-    table = table.sort_by([("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
-    lang, phrase = (table.column(c).combine_chunks() for c in ("lang", "phrase"))
-    trie = Trie.build(lang, phrase)
+    """One row: the trie of a shard."""
+    table = table.sort_by("id")
+    trie = Trie.build(*(table.column(c).combine_chunks() for c in ("lang", "phrase")))
     words = pa.Array.from_buffers(pa.large_binary(), len(trie.starts), [None, pa.py_buffer(np.append(trie.starts, trie.ends[-1:]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(trie.data))])
-    packed = {"phrases": _ipc({"lang": lang, "phrase": phrase}), "languages": _ipc({"x": pa.array(trie.languages, pa.string())}), "words": _ipc({"x": words}),
+    packed = {"languages": _ipc({"x": pa.array(trie.languages, pa.string())}), "words": _ipc({"x": words}),
               "base": trie.base.tobytes(), "check": trie.check.tobytes(), "phrase": trie.phrase.tobytes()}
     return pa.table({k: pa.array([v], pa.binary()) for k, v in packed.items()})
 
@@ -414,10 +406,10 @@ def _opened(row) -> Trie:
     return Trie(_from_ipc(row["languages"]).column("x").to_pylist(), words, *arrays)
 
 
-def _counts(longest: int, n: int, trie):
+def _counts(longest: int, n: int, packed):
     """Rows (lang, id, f): a task's occurrences of the trie's phrases; id -1 holds a language's words."""
     def run(batches):
-        machine, sums, words = trie.value, np.zeros(n, np.int64), {}
+        machine, sums, words = _opened(packed.value), np.zeros(n, np.int64), {}
         for texts in _texts(batches):
             machine.count(texts, longest, sums)
             for name, k in zip(texts.languages, np.bincount(texts.word_languages(), minlength=len(texts.languages))):
@@ -452,24 +444,26 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_colum
     found, words = [], None
     for shard in range(shards):
         short = [np.frombuffer(r["hashes"], np.uint32).astype(np.uint64) + (np.uint64(r["bucket"]) << np.uint64(32)) for r in safe.filter((shard_of == shard) & (F.col("n") > 0)).collect()]
-        known = spark.sparkContext.broadcast(Safe(np.concatenate(short) if short else np.zeros(0, np.uint64), bucket_bits))
-        built = (texts.mapInArrow(_phrases(longest, known), "lang string, phrase string").distinct()
-                 .groupBy(F.lit(shard).alias("shard")).applyInArrow(_build, _TRIE))
-        rows = built.collect()  # one, of bounded size
-        if not rows:
+        known = spark.sparkContext.broadcast(np.concatenate(short) if short else np.zeros(0, np.uint64))
+        del short
+        numbered = cut_lineage(texts.mapInArrow(_phrases(longest, known, bucket_bits), "lang string, phrase string").distinct()
+                               .withColumn("shard", F.lit(shard)).groupBy("shard").applyInArrow(_numbered, _NUMBERED))
+        known.destroy()
+        del known
+        n = numbered.count()
+        if not n:
             continue
-        row = rows[0]
-        trie, held = _opened(row), _from_ipc(row["phrases"])
-        sent = spark.sparkContext.broadcast(trie)
-        sums = texts.mapInArrow(_counts(longest, held.num_rows, sent), "lang string, id bigint, f bigint").groupBy("lang", "id").agg(F.sum("f").alias("f"))
+        row = numbered.groupBy("shard").applyInArrow(_build, _TRIE).collect()[0]  # the only one, of bounded size
+        sent = spark.sparkContext.broadcast(row.asDict())
+        del row
+        sums = texts.mapInArrow(_counts(longest, n, sent), "lang string, id bigint, f bigint").groupBy("lang", "id").agg(F.sum("f").alias("f"))
         sums = cut_lineage(sums)
         if words is None:
             words = sums.filter("id = -1").select("lang", F.col("f").alias("n"))
-        named = spark.createDataFrame(pa.table({"id": pa.array(np.arange(held.num_rows)), "lang": held.column("lang"), "phrase": held.column("phrase")}))
         common = sums.filter((F.col("id") >= 0) & (F.col("f") >= least)).select("id", "f")
-        found.append(cut_lineage(named.join(common, "id").select("lang", "phrase", (F.length(F.regexp_replace("phrase", "[^ ]", "")) + 1).alias("words"), "f")))
-        for held_back in (known, sent):
-            held_back.destroy()
+        found.append(cut_lineage(numbered.join(common, "id").select("lang", "phrase", (F.length(F.regexp_replace("phrase", "[^ ]", "")) + 1).alias("words"), "f")))
+        sent.destroy()
+        del sent
     if not found:
         return spark.createDataFrame([], "lang string, phrase string, words int, f bigint"), spark.createDataFrame([], "lang string, n bigint")
     return reduce(DataFrame.unionAll, found), words
@@ -477,18 +471,15 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_colum
 
 # ---------------------------------------------------------------- scores
 
-def _with_part(cuts: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
-    """Adds the count of a part. Parts that very many cuts ask for are dealt over several tasks."""
-    asked = cuts.groupBy("lang", part).agg(F.count(F.lit(1)).alias("_asked"))
-    # At most HOT_SHARE rows, whatever the table.
-    share = cuts.agg(F.greatest(F.lit(1000), F.count(F.lit(1)) / HOT_SHARE).alias("_share"))
-    hot = F.broadcast(asked.crossJoin(share).filter("_asked > _share").select(F.col("lang").alias("_l"), F.col(part).alias("_p")))
+def _with_counts(asked: DataFrame, counts: DataFrame, hot_from: int) -> DataFrame:
+    """Adds the count of each part that is asked for. Parts that very many cuts ask for are dealt over several tasks."""
+    # As all parts together are asked for twice a cut, these are few, whatever the table.
+    hot = F.broadcast(asked.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_from).select("lang", "part", F.lit(True).alias("_hot")))
     deals = 16
-    left = cuts.join(hot, (F.col("lang") == F.col("_l")) & (F.col(part) == F.col("_p")), "left")
-    left = left.withColumn("_deal", F.when(F.col("_p").isNotNull(), F.pmod(F.xxhash64("phrase"), F.lit(deals))).otherwise(0).cast("int")).drop("_l", "_p")
-    right = counts.select("lang", F.col("phrase").alias(part), F.col("f").alias(name)).join(hot, (F.col("lang") == F.col("_l")) & (F.col(part) == F.col("_p")), "left")
-    right = right.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.when(F.col("_p").isNotNull(), deals - 1).otherwise(0)))).drop("_l", "_p")
-    return left.join(right, ["lang", part, "_deal"]).drop("_deal", part)
+    left = asked.join(hot, ["lang", "part"], "left").withColumn("_deal", F.when(F.col("_hot"), F.pmod(F.xxhash64("phrase"), F.lit(deals))).otherwise(0).cast("int"))
+    right = counts.select("lang", F.col("phrase").alias("part"), "f").join(hot, ["lang", "part"], "left")
+    right = right.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), deals - 1).otherwise(0))))
+    return left.drop("_hot").join(right.drop("_hot"), ["lang", "part", "_deal"])
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -510,9 +501,10 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, covered: in
     several = counts.filter("words > 1")
     parts = F.split("phrase", " ", -1)
     cuts = several.select("lang", "phrase", F.col("f").alias("a"), parts.alias("_w"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("_w", F.lit(1), F.col("k")), " ").alias("_left"),
-                       F.array_join(F.slice("_w", F.col("k") + 1, F.size("_w")), " ").alias("_right"))
-    scored = _with_part(_with_part(cuts, counts, "_left", "l"), counts, "_right", "r")
+    piece = lambda side, start, size: F.struct(F.lit(side).alias("side"), F.array_join(F.slice("_w", start, size), " ").alias("part"))
+    asked = cuts.select("lang", "phrase", "a", "k", F.inline(F.array(piece("l", F.lit(1), F.col("k")), piece("r", F.col("k") + 1, F.size("_w")))))
+    met = _with_counts(asked, counts, max(1000, asked.count() // HOT_SHARE))
+    scored = met.groupBy("lang", "phrase", "k").agg(F.first("a").alias("a"), *[F.max(F.when(F.col("side") == x, F.col("f"))).alias(x) for x in "lr"])
     lowest = scored.withColumn("score", _score(F.col("a"), F.col("l"), F.col("r"))).groupBy("lang", "phrase").agg(
         F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("_cut"))
     # A phrase lies in a longer one if it lies in a chain of phrases that are one word longer each; counts only fall along it.
