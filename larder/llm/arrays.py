@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer document is a piece of its own.
@@ -135,7 +136,9 @@ def equal_spans(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarr
 
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First span of each kind, and the kind of every span; spans are of one kind only if they are equal."""
-    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    kind, found = pd.factorize(hashes)
+    first = np.empty(len(found), np.int64)
+    first[kind[::-1]] = np.arange(len(kind))[::-1]  # of several the first one stays
     lead = first[kind]
     names: dict[bytes, int] = {}
     more = []

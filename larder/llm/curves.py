@@ -246,7 +246,7 @@ def near_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_column
     nearest = merged.withColumn("_nth", F.row_number().over(Window.partitionBy("query").orderBy("far", "class_id"))).filter(F.col("_nth") <= keep).select("query", "class_id")
     # A query's own class holds its copies.
     nearest = nearest.unionAll(rows.filter("asked").select(F.col("class_id").alias("query"), "class_id"))
-    pairs = join_lines(nearest, rows.select("class_id", "v", "ids"), ["class_id"], "query", "inner").join(rows.filter("asked").select(F.col("class_id").alias("query"), F.col("v").alias("x")), "query")
+    pairs = nearest.join(rows.select("class_id", "v", "ids"), "class_id").join(rows.filter("asked").select(F.col("class_id").alias("query"), F.col("v").alias("x")), "query")
     exact = pairs.select("query", "ids", "v", "x").mapInArrow(_exact(told["width"], ["query", "ids"]), "query bigint, ids array<bigint>, score double")
     best = Window.partitionBy("query").orderBy("score", F.get("ids", F.lit(0)))
     few = exact.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= k + 1)

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import cached_property, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -31,7 +32,7 @@ from larder.session import cut_lineage
 #: Bytes of text worked on at once, hashes a task gathers before it hands them on, hashes a bucket is made for.
 BATCH_BYTES, HELD_HASHES, BUCKET_HASHES = 4 << 20, 4 << 20, 1 << 20
 #: Phrases of a trie: bounds what is broadcast and what one task builds.
-SHARD_PHRASES = 1 << 21
+SHARD_PHRASES = 1 << 20
 #: Cuts that ask for the same part are dealt over several tasks from this share of all cuts on.
 HOT_SHARE = 500
 
@@ -183,32 +184,32 @@ def _phrases(longest: int, safe, bucket_bits: int):
     def run(batches):
         known = Safe(safe.value, bucket_bits)
         for texts in _texts(batches):
-            code = distinct_spans(texts.data, texts.starts, texts.ends, texts.word_hashes)[1]
-            languages = texts.word_languages()
+            lead, code = distinct_spans(texts.data, texts.starts, texts.ends, texts.word_hashes)
+            languages, bits = texts.word_languages(), int(len(lead)).bit_length()
             for size, hashes in enumerate(texts.hashes(longest), 1):
                 at = texts.places(size)[known.holds(hashes)]
                 if not len(at):
                     continue
-                # Numbers of equal words are equal, so phrases are told apart exactly: by one key, or word by word if it is too long.
-                bits = int(code.max()).bit_length()
-                if size * bits + len(texts.languages).bit_length() < 63:
-                    key = languages[at]
-                    for k in range(size):
-                        key = key << bits | code[at + k]
-                    first = np.unique(key, return_index=True)[1]
+                # Numbers of equal words are equal, so a key of them tells phrases apart; one too long for a number is built in two steps.
+                key, short = languages[at], size * bits + len(texts.languages).bit_length() < 63
+                for k in range(size):
+                    key = (key if short else pd.factorize(key)[0]) << bits | code[at + k]
+                if short:
+                    key = pd.unique(key)
+                    words = np.stack([lead[key >> bits * (size - 1 - k) & (1 << bits) - 1] for k in range(size)], axis=1)
+                    language = key >> bits * size
                 else:
-                    key = languages[at]
-                    for k in range(size):
-                        _, first, key = np.unique(key << bits | code[at + k], return_index=True, return_inverse=True)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays([pa.array(texts.languages, pa.string()).take(pa.array(languages[at])), _joined(texts, at, size)], ["lang", "phrase"])
+                    at = at[np.unique(key, return_index=True)[1]]
+                    words, language = at[:, None] + np.arange(size), languages[at]
+                yield pa.RecordBatch.from_arrays([pa.array(texts.languages, pa.string()).take(pa.array(language)), _joined(texts, words)], ["lang", "phrase"])
             give_back()
     return run
 
 
-def _joined(texts: Texts, at: np.ndarray, size: int) -> pa.Array:
-    """Words from each place on, joined by one space."""
-    words = (at[:, None] + np.arange(size)).ravel()
+def _joined(texts: Texts, words: np.ndarray) -> pa.Array:
+    """Of each row of word numbers the words, joined by one space."""
+    n, size = words.shape
+    words = words.ravel()
     starts, sizes = texts.starts[words], (texts.ends - texts.starts)[words]
     out = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
     spot = np.cumsum(sizes + 1) - (sizes + 1)
@@ -218,7 +219,7 @@ def _joined(texts: Texts, at: np.ndarray, size: int) -> pa.Array:
     # Without the space after each phrase's last word.
     out = out[ragged(begin, end - begin)]
     edges = np.concatenate([[0], np.cumsum(end - begin)])
-    return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
+    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
 
 
 # ---------------------------------------------------------------- double-array trie
