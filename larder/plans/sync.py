@@ -15,18 +15,22 @@ DELTA_SHARE = 0.35
 KEEP = 14
 
 
-def delta_reasons(old_parts: DataFrame, new_parts: DataFrame, missing_columns: list[str]) -> DataFrame:
-    """Per country and part: ``delta`` or why there is none. Parts carry ``from_key``, ``to_key``, ``version``."""
+def delta_reasons(old_parts: DataFrame, new_parts: DataFrame, lacking: DataFrame) -> DataFrame:
+    """Per country and part: ``delta`` or why there is none. Parts carry ``from_key``, ``to_key``, ``version``.
+
+    ``lacking`` names stored parts without some column of the new generation.
+    """
     old = old_parts.select("country", "part", F.col("from_key").alias("of"), F.col("to_key").alias("ot"),
                            F.col("version").alias("from_version"), F.lit(True).alias("known"))
     both = new_parts.join(old, ["country", "part"], "full_outer").withColumn("current", F.col("version"))
     same_cut = F.col("of").eqNullSafe(F.col("from_key")) & F.col("ot").eqNullSafe(F.col("to_key"))
     whole = Window.partitionBy("country")  # a country has few parts
-    rows = both.withColumn("_present", F.col("products").isNotNull())
+    changed = lacking.select("country", F.col("part").cast("int").alias("part"), F.lit(True).alias("_lacks"))
+    rows = both.withColumn("_present", F.col("products").isNotNull()).join(changed, ["country", "part"], "left")
     rows = (rows.withColumn("any_old", F.max(F.coalesce("known", F.lit(False))).over(whole))
             .withColumn("recut", F.max(~(F.coalesce("known", F.lit(False)) & F.col("_present") & same_cut)).over(whole)))
     reason = (F.when(~F.col("any_old"), "no-previous").when(F.col("recut"), "recut")
-              .when(F.lit(bool(missing_columns)), "schema-changed")
+              .when(F.coalesce("_lacks", F.lit(False)), "schema-changed")
               .when(F.col("from_version").isNull() | F.col("current").isNull(), "no-version")
               .when(F.col("from_version") == F.col("current"), "same-version").otherwise("delta"))
     return rows.filter("_present").select("country", "part", "from_version", F.col("current").alias("to_version"), reason.alias("reason"))

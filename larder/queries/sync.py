@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from larder import schema
 from larder.binding import load
 from larder.operators import diff
 from larder.plans import sync
@@ -70,6 +71,21 @@ def delta_applied(spark: SparkSession, sf: str) -> DataFrame:
     return diff.apply_delta(old, diff.changes(new, old, KEY, COLUMNS, INDEX), KEY, COLUMNS)
 
 
+@query("differing_parts", f"""WITH {_GENERATIONS} SELECT DISTINCT o.country, o.part::INT AS part FROM o JOIN ch ON ch.barcode = o.barcode AND op = 'd' WHERE o.barcode LIKE '%51'""")
+def differing_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts in which a delta that forgot a few deletes is wrong, found without comparing rows."""
+    old, new = generations(spark, sf)
+    broken = diff.changes(new, old, KEY, COLUMNS, INDEX).filter(~((F.col("op") == "d") & F.col("barcode").endswith("51")))
+    return diff.differing_parts(old, broken, new, KEY, COLUMNS, ["country", "part"])
+
+
+@query("stored_schemas", f"""WITH {_GENERATIONS}, p AS (SELECT DISTINCT country, part FROM o)
+SELECT country, part::VARCHAR AS part, c AS "column" FROM p, (VALUES ('barcode'), ('name'), ('price'), ('brands')) AS x(c) WHERE NOT (country = '1-URGENT' AND part = 2 AND c = 'brands')""")
+def stored_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of every stored part, from its files' footers."""
+    return schema.stored_columns(spark, _stored_old(spark, generations(spark, sf)[0])).select("country", "part", "column").distinct()
+
+
 @query("delta_violations", f"""WITH {_GENERATIONS} SELECT o.country, o.part::INT AS part, o.barcode, 'unexpected' AS side FROM o
   JOIN ch ON ch.barcode = o.barcode AND op = 'd' WHERE o.barcode LIKE '%1'""")
 def delta_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,14 +102,26 @@ def _parts(rows: DataFrame, version: str) -> DataFrame:
         F.when(F.col("country") != "3-MEDIUM", F.lit(version)).alias("version"))
 
 
+def _stored_old(spark: SparkSession, old: DataFrame) -> str:
+    """The old generation as it was stored: one part of one country is from before there were brands."""
+    path = f"{checkpoint_root(spark)}/generation-{uuid.uuid4().hex}"
+    early = (F.col("country") == "1-URGENT") & (F.col("part") == 2)
+    for rows in (old.filter(~early), old.filter(early).drop("brands")):
+        rows.write.mode("append").partitionBy("country", "part").parquet(path)
+    return path
+
+
 def _deltas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     old, new = generations(spark, sf)
-    before = _parts(old, "v1").withColumn("to_key", F.when(F.col("country") == "5-LOW", F.lit("x")).otherwise(F.col("to_key")))
-    reasons = sync.delta_reasons(before.filter(F.col("country") != "2-HIGH"), _parts(new, "v2"), [])
-    return sync.build_deltas(old, new, reasons, COLUMNS, INDEX)
+    path = _stored_old(spark, old)
+    lacking = schema.lacking_columns(schema.stored_columns(spark, path), ["barcode", *COLUMNS])
+    held = spark.read.option("mergeSchema", "true").parquet(path).withColumn("part", F.col("part").cast("int"))
+    before = _parts(held, "v1").withColumn("to_key", F.when(F.col("country") == "5-LOW", F.lit("x")).otherwise(F.col("to_key")))
+    reasons = sync.delta_reasons(before.filter(F.col("country") != "2-HIGH"), _parts(new, "v2"), lacking)
+    return sync.build_deltas(held, new, reasons, COLUMNS, INDEX)
 
 
-@query("delta_manifest", f"""WITH {_GENERATIONS}, r AS (SELECT DISTINCT country, part, CASE country WHEN '2-HIGH' THEN 'no-previous' WHEN '5-LOW' THEN 'recut' WHEN '3-MEDIUM' THEN 'no-version' ELSE 'delta' END AS reason FROM n)
+@query("delta_manifest", f"""WITH {_GENERATIONS}, r AS (SELECT DISTINCT country, part, CASE country WHEN '2-HIGH' THEN 'no-previous' WHEN '5-LOW' THEN 'recut' WHEN '3-MEDIUM' THEN 'no-version' ELSE CASE WHEN country = '1-URGENT' AND part = 2 THEN 'schema-changed' ELSE 'delta' END END AS reason FROM n)
 SELECT r.country, r.part::INT AS part, CASE WHEN r.country NOT IN ('2-HIGH', '3-MEDIUM') THEN 'v1' END AS "from", CASE WHEN r.country <> '3-MEDIUM' THEN 'v2' END AS "to", reason,
   CASE WHEN reason = 'delta' THEN u END AS upserts, CASE WHEN reason = 'delta' THEN d END AS deletes
 FROM r LEFT JOIN (SELECT country, part, count(*) FILTER (op = 'u') AS u, count(*) FILTER (op = 'd') AS d FROM ch GROUP BY country, part) x ON x.country = r.country AND x.part = r.part""")
@@ -105,7 +133,7 @@ _SCHEMA = "op string, fts int, barcode string, name string, price double, brands
 
 
 @query("delta_files", f"""WITH {_GENERATIONS} SELECT country, part::INT AS part, op, fts::INT AS fts, barcode, name, price, brands FROM ch
-  WHERE country IN ('1-URGENT', '4-NOT SPECIFIED')""")
+  WHERE country = '4-NOT SPECIFIED' OR (country = '1-URGENT' AND part = 1)""")
 def delta_interchange(spark: SparkSession, sf: str) -> DataFrame:
     """Written as interchange files and read back; counts are checked against the headers."""
     path = f"{checkpoint_root(spark)}/delta-{uuid.uuid4().hex}"

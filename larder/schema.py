@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, types as T
+import re
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 TEXT_COLUMNS = [
     "barcode", "name", "brands", "quantity", "image_ref", "ingredients_text", "nutriscore_grade", "drink_type",
@@ -40,9 +44,25 @@ def columns_of(df: DataFrame) -> set[str]:
     return set(df.columns)
 
 
-def schema_diff(old: DataFrame, new_columns: list[str]) -> list[str]:
-    """Columns the new generation has and the stored one lacks; any of them rules out a delta."""
-    return [c for c in new_columns if c not in columns_of(old)]
+def stored_columns(spark: SparkSession, path: str, by: list[str] = ("country", "part")) -> DataFrame:
+    """(by..., file, column): the columns that every file of a stored table has, from the files' footers alone.
+
+    ``by`` are its folder columns, as text. A catalogue has few files a part, so their list fits the driver.
+    """
+    files = [unquote(file) for file in spark.read.parquet(path).inputFiles()]
+    folder = lambda file: [unquote(re.search(rf"/{re.escape(c)}=([^/]*)/", file).group(1)) for c in by]
+    # Footers of several files are read at the same time; a file is read alone, so its schema is its own.
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda file: (*folder(file), file, spark.read.parquet(file).columns), files))
+    rows = spark.createDataFrame(found, T.StructType([*[T.StructField(c, T.StringType()) for c in (*by, "file")], T.StructField("columns", T.ArrayType(T.StringType()))]))
+    return rows.select(*by, "file", F.explode_outer("columns").alias("column"))
+
+
+def lacking_columns(stored: DataFrame, columns: list[str], by: list[str] = ("country", "part")) -> DataFrame:
+    """(by..., lacking): stored parts of which some file lacks columns that the new generation has; any rules out a delta."""
+    held = stored.groupBy(*by, "file").agg(F.collect_set("column").alias("_held"))
+    gaps = held.select(*by, F.explode(F.array_except(F.array(*[F.lit(c) for c in columns]), "_held")).alias("column"))
+    return gaps.groupBy(*by).agg(F.sort_array(F.collect_set("column")).alias("lacking"))
 
 
 def shared_columns(df: DataFrame, columns: list[str]) -> list[str]:

@@ -74,6 +74,11 @@ def pending_files(listing: DataFrame, since: int) -> DataFrame:
             .filter(F.col("to") > since).drop("oldest"))
 
 
+def pending(spark: SparkSession, folder: str, since: int) -> DataFrame:
+    """The pending change files of a landing folder, oldest first."""
+    return pending_files(list_files(spark, folder), since).orderBy("from", "to")
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """File names of a landing folder, without reading their content."""
     return spark.read.format("binaryFile").load(path).select("path")

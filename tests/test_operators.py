@@ -77,6 +77,47 @@ def test_buckets_stay_small_on_larger_tables(spark, monkeypatch, size):
     assert out.select("g", "k", "rank", "run").exceptAll(want.select("g", "k", "rank", "run")).count() == 0 and out.count() == size * 12000
 
 
+def test_parts_with_other_rows_are_found_by_sums(spark):
+    rows = [(c, p, f"{c}{p}{i}", None if i % 5 == 0 else f"n{i}", float(i)) for c in "ab" for p in (1, 2) for i in range(40)]
+    new = spark.createDataFrame(rows, "country string, part int, barcode string, name string, price double")
+    key, cols = ["country", "part", "barcode"], ["name", "price"]
+    old = new.filter("price <> 3").withColumn("name", F.when(F.col("price") == 7, "old").otherwise(F.col("name")))
+    delta = diff.changes(new, old, key, cols, ["name"])
+    assert diff.differing_parts(old, delta, new, key, cols, ["country", "part"]).collect() == []
+    assert diff.violations(old, delta, new, key, cols).collect() == []
+    # A forgotten row, and a value that has moved to another column: only their parts are looked at.
+    wrong = delta.filter("NOT (country = 'a' AND part = 2 AND price = 3)")
+    moved = new.withColumn("name", F.when(F.col("barcode") == "b16", None).otherwise(F.col("name")))
+    assert sorted(map(tuple, diff.differing_parts(old, wrong, moved, key, cols, ["country", "part"]).collect())) == [("a", 2), ("b", 1)]
+    assert {(r.barcode, r.side) for r in diff.violations(old, wrong, new, key, cols).collect()} == {("a23", "missing")}
+    swapped = new.withColumn("name", F.when(F.col("barcode") == "a10", "n1").when(F.col("barcode") == "a11", None).otherwise(F.col("name")))
+    assert diff.differing_parts(old, delta, swapped, key, cols, ["country", "part"]).count() == 1
+
+
+def test_stored_columns_come_from_every_file(spark, tmp_path):
+    from larder.schema import lacking_columns, stored_columns
+
+    whole = spark.createDataFrame([("a b", 1, "x", "n", 1.0), ("c:d", 2, "y", "m", 2.0)], "country string, part int, barcode string, name string, price double")
+    for df in (whole, whole.filter("part = 2").drop("price")):
+        df.write.mode("append").partitionBy("country", "part").parquet(str(tmp_path / "c"))
+    stored = stored_columns(spark, str(tmp_path / "c"))
+    assert stored.select("country", "part", "file").distinct().count() == 3
+    assert [tuple(r) for r in lacking_columns(stored, ["barcode", "name", "price", "brands"]).orderBy("country").collect()] == [("a b", "1", ["brands"]), ("c:d", "2", ["brands", "price"])]
+
+
+def test_change_files_of_a_folder(spark, tmp_path):
+    for name in ("x_100_200.json.gz", "x_300_400.json.gz", "x_200_300.json.gz", "notes.txt"):
+        (tmp_path / name).write_bytes(b"")
+    got = delta_files.pending(spark, str(tmp_path), 200).collect()
+    assert [(r["from"], r["to"]) for r in got] == [(200, 300), (300, 400)] and got[0].path.endswith("x_200_300.json.gz")
+    with pytest.raises(Exception, match="older than the history"):
+        delta_files.pending(spark, str(tmp_path), 50).collect()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "notes.txt").write_bytes(b"")
+    with pytest.raises(Exception, match="no file name"):
+        delta_files.pending(spark, str(tmp_path / "other"), 50).collect()
+
+
 def test_a_part_is_found_by_halving(spark):
     import random
 
