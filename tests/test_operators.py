@@ -107,13 +107,13 @@ def test_stored_columns_come_from_every_file(spark, tmp_path):
 
 def test_change_files_of_a_folder(spark, tmp_path):
     for name in ("x_100_200.json.gz", "x_300_400.json.gz", "x_200_300.json.gz", "notes.txt"):
-        (tmp_path / name).write_bytes(b"")
+        (tmp_path / name).write_bytes(b"{}")
     got = delta_files.pending(spark, str(tmp_path), 200).collect()
     assert [(r["from"], r["to"]) for r in got] == [(200, 300), (300, 400)] and got[0].path.endswith("x_200_300.json.gz")
     with pytest.raises(Exception, match="older than the history"):
         delta_files.pending(spark, str(tmp_path), 50).collect()
     (tmp_path / "other").mkdir()
-    (tmp_path / "other" / "notes.txt").write_bytes(b"")
+    (tmp_path / "other" / "notes.txt").write_bytes(b"{}")
     with pytest.raises(Exception, match="no file name"):
         delta_files.pending(spark, str(tmp_path / "other"), 50).collect()
 
