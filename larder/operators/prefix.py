@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.session import cut_lineage
 
@@ -29,10 +29,9 @@ def _placed(df: DataFrame, group: list[str], sort: list[Column], buckets: int) -
 
     Range bounds are sampled, so a recomputed stage could cut elsewhere: the buckets are fixed first.
     """
-    seen = Observation()
     ranged = df.repartitionByRange(buckets, *[F.col(g) for g in group], *sort).withColumn("_bucket", F.spark_partition_id())
-    placed = cut_lineage(ranged.observe(seen, F.count(F.lit(1)).alias("n")))
-    return placed, seen.get["n"]
+    placed = cut_lineage(ranged)
+    return placed, placed.count()
 
 
 def with_running(df: DataFrame, group: list[str], order: list[str], measures: dict[str, str] | None = None,

@@ -6,12 +6,15 @@ so running it again gives the same tables. Fixed vocabularies are literals.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions.codes import e_from_tag, e_mentions, e_number, tag_parts, year_parts
 from larder.functions.text import names_alike
 from larder.operators.latest import best_per_key, first_per_key
 from larder.operators.prefix import position_in_group
+from larder.session import stored_bytes
 
 # Weight of a link by how it was found.
 LINK_WEIGHT = {"cas": 2, "e-in-name": 1, "manual-group": 1, "family": 0}
@@ -412,16 +415,38 @@ def star_schema(src: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def publish(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Write every table as parquet; returns the manifest, counted from what was written."""
+def row_number_of(df: DataFrame) -> Column:
+    """60 bits of a row's content: of its columns in the order of their names, written as text, NULL as ``~``.
+
+    Doubles count to six places, so that engines which write them differently agree.
+    """
+    def shown(name: str) -> Column:
+        kind, c = df.schema[name].dataType.simpleString(), F.col(f"`{name}`")
+        return F.coalesce(F.round(c * 1_000_000).cast("long").cast("string") if kind == "double" else c.cast("string"), F.lit("~"))
+
+    return F.conv(F.left(F.md5(F.concat_ws("|", *[shown(c) for c in sorted(df.columns)])), F.lit(15)), 16, 10).cast("decimal(38,0)")
+
+
+def publish(tables: dict[str, DataFrame], path: str, at_once: int = 4) -> DataFrame:
+    """Writes every table as Parquet and gives the manifest: rows, bytes, column names and a digest a table, and a line of totals.
+
+    Rows and digest (the sum of all rows' numbers: the same for the same rows in whatever order and files) are
+    those of what was written; ``at_once`` tables are written at a time. What several tables are made from should
+    be stored before, as it is computed for each of them.
+    """
     spark = next(iter(tables.values())).sparkSession
-    manifest = None
-    for name, df in tables.items():
+
+    def write(name: str) -> tuple:
+        df = tables[name]
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         stored = spark.read.schema(df.schema).parquet(f"{path}/{name}")
-        line = stored.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"))
-        manifest = line if manifest is None else manifest.unionByName(line)
-    return manifest
+        seen = stored.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_number_of(stored)).cast("string").alias("digest")).first()
+        return name, seen["rows"], stored_bytes(spark, f"{path}/{name}"), df.columns, seen["digest"] or "0"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        lines = list(pool.map(write, tables))
+    lines.append(("(all)", sum(x[1] for x in lines), sum(x[2] for x in lines), [], ""))
+    return spark.createDataFrame(lines, "`table` string, rows bigint, bytes bigint, columns array<string>, digest string")
 
 
 # ---------------------------------------------------------------- audits

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larder import schema
 from larder.functions import additives as add, health, nova, nutriscore as ns, paho
 from larder.functions.numeric import KJ_PER_KCAL, bounded, half_up
+from larder.functions.nutrients import NUTRIENTS
 from larder.session import settle
 
 # ---------------------------------------------------------------- additives
@@ -121,6 +123,29 @@ def nutriscore_columns(rows: DataFrame) -> DataFrame:
         F.array_join(ns.missing_inputs(), ",").alias("missing_inputs")), ["barcode"])
 
 
+def raw_documents(products: DataFrame) -> DataFrame:
+    """(value): domain products as documents in the vocabulary of the source, so that one way of reading serves both.
+
+    Nutrients carry the source's names per 100 g, sodium in grams again; what is unknown is left out, and category
+    flags stand only where something said them.
+    """
+    amount = lambda name: F.col(f"nutriments.{name}") / 1000 if name == "sodium" else F.col(f"nutriments.{name}")
+    values = F.struct(*[amount(name).alias(f"{NUTRIENTS[name].nid}_100g") for name in schema.NUTRIENT_COLUMNS])
+    flags = F.when(F.col("flag_source").isNotNull(), F.struct(F.struct(F.struct(*[F.col(f"category_flags.{c}").alias(c) for c in schema.FLAG_COLUMNS]).alias("data")).alias("2023")))
+    document = F.struct(F.col("barcode").alias("code"), F.col("name").alias("product_name"), F.col("additives").alias("additives_tags"),
+                        F.lit("100g").alias("nutrition_data_per"), values.alias("nutriments"), flags.alias("nutriscore"))
+    return products.select(F.to_json(document).alias("value"))
+
+
+def domain_nutriscore(products: DataFrame) -> DataFrame:
+    """(barcode, score, grade, negative_points) of domain products, read through the ladder like raw documents."""
+    from larder.plans.catalog import with_published_components
+    from larder.sources.dump import documents
+
+    rows = with_score(with_point_struct(with_published_components(documents(raw_documents(products)))))
+    return rows.select("barcode", F.col("nutri_score").alias("score"), F.col("nutri_grade").alias("grade"), "negative_points")
+
+
 def nutriscore(products: DataFrame) -> DataFrame:
     return nutriscore_columns(with_nutriscore(products))
 

@@ -196,7 +196,7 @@ def snapshot_products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Published components where there are any, else computed from nutrients.
-@query("published_nutriscore", f"""WITH {_LADDER},
+_SCORED = f"""WITH {_LADDER},
 i AS (SELECT k, barcode, is_beverage, is_water, is_cheese, is_fat_oil_nuts_seeds, is_red_meat, kj AS energy_kj, sugars, fat, sat AS saturated_fat, salt, fvl, fiber, proteins
   FROM (SELECT f.k, f.code AS barcode, is_beverage, is_water, is_cheese, is_fat_oil_nuts_seeds, is_red_meat,
     CASE WHEN pub THEN comp_energy ELSE d.kj END AS kj, CASE WHEN NOT pub THEN d.sugars END AS sugars, CASE WHEN NOT pub THEN d.fat END AS fat,
@@ -206,13 +206,22 @@ i AS (SELECT k, barcode, is_beverage, is_water, is_cheese, is_fat_oil_nuts_seeds
     FROM (SELECT *, comp_energy IS NOT NULL OR comp_sat IS NOT NULL AS pub FROM flags) f LEFT JOIN der d USING (k))),
 s AS ({nutri_sql('i')}),
 t AS (SELECT barcode, score, grade, neg FROM s)
-SELECT barcode, score::INT AS score, grade, neg::INT AS negative_points FROM t""")
+SELECT barcode, score::INT AS score, grade, neg::INT AS negative_points FROM t"""
+
+
+@query("published_nutriscore", _SCORED)
 def published_nutriscore(spark: SparkSession, sf: str) -> DataFrame:
     rows = catalog.with_published_components(dump.in_countries(docs(spark, sf), WANTED))
     scored = scoring.with_score(scoring.with_point_struct(rows))
     return scored.select("barcode", F.col("nutri_score").alias("score"), F.col("nutri_grade").alias("grade"), "negative_points")
 
 
+@query("domain_nutriscore", _SCORED.replace("comp_energy IS NOT NULL OR comp_sat IS NOT NULL AS pub", "false AS pub"))
+def domain_nutriscore(spark: SparkSession, sf: str) -> DataFrame:
+    """Domain products turned back to the source's vocabulary: they score as the raw documents do without published components."""
+    return scoring.domain_nutriscore(catalog.to_product(dump.in_countries(docs(spark, sf), WANTED)))
+
+
 # ---------------------------------------------------------------- countries, parts, index
 
 def _weighted(spark: SparkSession, sf: str) -> DataFrame:

@@ -547,15 +547,39 @@ def substance_slice(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("id").join(found.groupBy(F.col("substance").alias("id")).agg(F.count(F.lit(1)).alias("values")), "id", "left").fillna(0, ["values"])
 
 
-@query("published_tables", f"""WITH {_SLICE}, {_FINDINGS}
-SELECT 'severity' AS "table", (SELECT count(*) FROM sv) AS rows, 9 AS columns UNION ALL SELECT 'additives', (SELECT count(*) FROM it), 4 UNION ALL SELECT 'additive_tags', (SELECT count(*) FROM lk), 6
-UNION ALL SELECT 'levels', 8, 3 UNION ALL SELECT 'certainties', 4, 3 UNION ALL SELECT 'severity_origin', (SELECT count(*) FROM sv), 4
-UNION ALL SELECT 'bans', (SELECT count(*) + 2 * count(*) FILTER (more) FROM bans_v), 4 UNION ALL SELECT 'exposure', (SELECT count(*) FROM ex), 7
-UNION ALL SELECT 'iarc', (SELECT count(*) FROM iarc_v WHERE grp IS NOT NULL), 5 UNION ALL SELECT 'clp', (SELECT count(*) FROM cp), 3 UNION ALL SELECT 'eu_law', (SELECT count(*) FROM law_v), 4
-UNION ALL SELECT 'toxicology', (SELECT count(*) FROM oft_v), 9 UNION ALL SELECT 'family_members', (SELECT count(*) FROM tags_v WHERE tag LIKE '%i'), 3
-UNION ALL SELECT 'families', (SELECT count(DISTINCT n) FROM tags_v WHERE tag LIKE '%i'), 8
-UNION ALL SELECT 'us_law', (SELECT 3 * count(*) FROM documents), 5 UNION ALL SELECT 'withdrawal_reasons', (SELECT count(*) FROM documents), 6
-UNION ALL SELECT 'opinion_history', (SELECT count(*) FROM al WHERE NOT studied OR finding <> 'no-data'), 6""")
+def _digest(columns: str, source: str) -> str:
+    """SQL for the digest of a table's content; ``columns`` in the order of their names."""
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns.split())
+    return f"(SELECT CAST(coalesce(sum(CAST(CAST('0x' || left(md5(concat_ws('|', {cells})), 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR) FROM {source})"
+
+
+# Rows, columns and, where the content is one of the views, its digest.
+_PUBLISHED = [
+    ("severity", "count(*) FROM sv", "item level certainty via detail adi position disagreement single_source", None),
+    ("additives", "count(*) FROM it", "item name_en cas e_numbers", None),
+    ("additive_tags", "count(*) FROM lk", "item tag via claims has_evidence declares_number", None),
+    ("levels", "8", "level label used", None), ("certainties", "4", "certainty axis rank", None),
+    ("severity_origin", "count(*) FROM sv", "item source key link_via", None),
+    ("bans", "count(*) + 2 * count(*) FILTER (more) FROM bans_v", "tag kind jurisdiction main",
+     _digest("jurisdiction kind main tag", "(SELECT tag, kind, jurisdiction, true AS main FROM bans_v UNION ALL SELECT tag, kind, unnest(['Other A', 'Other B']), false FROM bans_v WHERE more)")),
+    ("exposure", "count(*) FROM ex", "tag e risk mean_over vulnerable watched opinion_date", None),
+    ("iarc", "count(*) FROM iarc_v WHERE grp IS NOT NULL", "name group cas year year_note", None), ("clp", "count(*) FROM cp", "cas codes worst", None),
+    ("eu_law", "count(*) FROM law_v", "e authorised withdrawn listed", _digest("authorised e listed withdrawn", "law_v")),
+    ("toxicology", "count(*) FROM oft_v", "uuid name adi no_adi_reason uncertainty toxicity has_study finding no_dose_reason",
+     _digest("adi finding has_study name no_adi_reason no_dose_reason toxicity uncertainty uuid",
+             "(SELECT * REPLACE (CAST(round(adi * 1000000) AS BIGINT) AS adi, CAST(round(uncertainty * 1000000) AS BIGINT) AS uncertainty) FROM oft_v)")),
+    ("family_members", "count(*) FROM tags_v WHERE tag LIKE '%i'", "number member family",
+     _digest("family member number", "(SELECT n AS number, 'en:e' || n AS family, tag AS member FROM tags_v WHERE tag LIKE '%i')")),
+    ("families", "count(DISTINCT n) FROM tags_v WHERE tag LIKE '%i'", "", None),
+    ("us_law", "3 * count(*) FROM documents", "", None), ("withdrawal_reasons", "count(*) FROM documents", "", None),
+    ("opinion_history", "count(*) FROM al WHERE NOT studied OR finding <> 'no-data'", "substance opinion finding date opinion_adi cited", None),
+]
+_MANIFEST = " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", (SELECT {rows}) AS rows, '{columns.replace(' ', ',')}' AS columns, {digest or "''"} AS digest""" for name, rows, columns, digest in _PUBLISHED)
+
+
+@query("published_tables", f"""WITH {_SLICE}, {_FINDINGS}, m AS ({_MANIFEST})
+SELECT "table", CAST(rows AS BIGINT) AS rows, columns, digest, true AS sized FROM m UNION ALL SELECT '(all)', CAST(sum(rows) AS BIGINT), '', '', true FROM m""")
 def published_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The 17 tables of the star schema written as parquet, and their manifest."""
     from larder.queries.regulation import acts, us_code
@@ -572,5 +596,10 @@ def published_tables(spark: SparkSession, sf: str) -> DataFrame:
     src = {"items": c.items, "links": c.links, "evidence": full, "severity": c.severity, "bans": c.bans, "toxicology": c.oft, "history": history.select("substance", "opinion", "finding", "date", "opinion_adi", "cited"),
            "iarc": iarc(spark, sf), "clp": clp(spark, sf), "law": view(spark, sf, "law_v"), "us_law": ev.us_law(reg.us_banned(code), part_81), "exposure": exposure(spark, sf),
            "families": fams, "family_stats": ev.family_stats(fams, tag_data), "reasons": reasons}
-    manifest = ev.publish(ev.star_schema(src), f"{checkpoint_root(spark)}/published-{uuid.uuid4().hex}")
-    return manifest.select("table", "rows", "columns")
+    tables = ev.star_schema(src)
+    manifest = ev.publish(tables, f"{checkpoint_root(spark)}/published-{uuid.uuid4().hex}")
+    stated = {name: columns for name, _, columns, _ in _PUBLISHED if columns}
+    compared = [name for name, _, _, digest in _PUBLISHED if digest]
+    return manifest.select(
+        "table", "rows", F.when(F.col("table").isin(list(stated)), F.array_join("columns", ",")).otherwise("").alias("columns"),
+        F.when(F.col("table").isin(compared), F.col("digest")).otherwise("").alias("digest"), (F.col("bytes") > 0).alias("sized"))

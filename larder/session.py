@@ -81,3 +81,9 @@ def files_stamp(spark: SparkSession, path: str) -> str:
         else:
             seen.append(f"{one.getPath()} {one.getLen()} {one.getModificationTime()}")
     return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files below a path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
