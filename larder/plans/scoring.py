@@ -142,7 +142,9 @@ def domain_nutriscore(products: DataFrame) -> DataFrame:
     from larder.plans.catalog import with_published_components
     from larder.sources.dump import documents
 
-    rows = with_score(with_point_struct(with_published_components(documents(raw_documents(products)))))
+    # Text between the two readings: neither is written into the other.
+    lines = settle(raw_documents(settle(products, ["barcode"])), [])
+    rows = with_score(with_point_struct(with_published_components(documents(lines))))
     return rows.select("barcode", F.col("nutri_score").alias("score"), F.col("nutri_grade").alias("grade"), "negative_points")
 
 
