@@ -458,6 +458,40 @@ def flex(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 4 == 2, (k % 70).cast("double")).alias("other_value"), text((k % 9 == 0, "Assessment: low concern; y")).alias("other_comments"), F.lit(None).cast("string").alias("other_critical"))
 
 
+@query("substance_dimension", """SELECT 'S' || c_custkey::VARCHAR AS uuid, c_name AS name, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey + 50)::VARCHAR || '-00-0' END AS cas, 'P' || s_suppkey::VARCHAR AS param_code
+FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 97""")
+def substance_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    """Substances with the identity of their reference substance, where it has one."""
+    k, r = F.col("c_custkey"), F.col("s_suppkey")
+    subs = load(spark, sf, "customer").select(F.concat(F.lit("S"), k.cast("string")).alias("uuid"), F.col("c_name").alias("name"), F.concat(F.lit("R"), (k % 97).cast("string")).alias("ref"))
+    refs = load(spark, sf, "supplier").select(F.concat(F.lit("R"), r.cast("string")).alias("uuid"), F.concat(F.lit("P"), r.cast("string")).alias("param_code"),
+                                              F.when(r % 3 == 0, " ").otherwise(F.concat(F.lit(" "), (r + 50).cast("string"), F.lit("-00-0 "))).alias("cas"))
+    return tox.substances(subs, refs)
+
+
+@query("landed_collections", """SELECT 'supplier' AS collection, s_suppkey::VARCHAR AS key, s_name AS name, round(s_acctbal, 2) AS amount FROM supplier
+UNION ALL SELECT 'customer', c_custkey::VARCHAR, CASE WHEN c_custkey % 5 <> 0 THEN c_name END, NULL FROM customer""")
+def landed_collections(spark: SparkSession, sf: str) -> DataFrame:
+    """Collections that landed as JSON lines, each read with its own schema."""
+    folder = f"{checkpoint_root(spark)}/collections-{uuid.uuid4().hex}"
+    load(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.round("s_acctbal", 2).alias("balance"), F.lit("x").alias("other")).write.json(f"{folder}/supplier.jsonl")
+    load(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("name")).write.json(f"{folder}/customer.jsonl")
+    found = reg.read_jsonl(spark, folder, {"supplier": "id string, name string, balance double", "customer": "id string, name string, balance double"})
+    parts = [df.select(F.lit(name).alias("collection"), F.col("id").alias("key"), "name", F.col("balance").alias("amount")) for name, df in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("manual_decisions", "SELECT s_suppkey::VARCHAR AS tag, 'checked ' || s_name AS reason FROM supplier")
+def manual_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Curated files, one a nation, each one JSON object over several lines with its list of decisions."""
+    folder = f"{checkpoint_root(spark)}/manual-{uuid.uuid4().hex}"
+    rows = F.collect_list(F.struct(F.col("s_suppkey").cast("string").alias("tag"), F.concat(F.lit("checked "), "s_name").alias("reason")))
+    files = load(spark, sf, "supplier").groupBy("s_nationkey").agg(rows.alias("decisions")).withColumn("why", F.lit("by hand"))
+    text = F.to_json(F.struct("why", "decisions"), {"pretty": "true"})
+    files.select("s_nationkey", text.alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(folder)
+    return reg.read_manual(spark, f"{folder}/*", "decisions").select("tag", "reason")
+
+
 @query("protective_intakes", f"""WITH {_OPINIONS}, i AS (SELECT *, CASE WHEN k % 4 = 0 THEN (k % 90) / 10.0::DOUBLE END AS adi FROM fx WHERE (k % 4 = 0 AND k % 90 <> 0) OR k % 4 = 1)
 SELECT substance, adi, CASE WHEN k % 8 = 1 THEN 'genotoxicity' WHEN k % 8 = 5 THEN 'not-needed' END AS no_adi_reason, k % 5 = 0 AS no_margin FROM i QUALIFY row_number() OVER (PARTITION BY substance ORDER BY adi IS NULL, adi, pos) = 1""")
 def protective_intakes(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.binding import LABEL_TEXTS, _ADDITIVES, _pick, load
-from larder.session import checkpoint_root
+from larder.session import checkpoint_root, files_stamp
 from larder.sources.dump import read_dump
 
 RAW_SQL = f"""
@@ -172,12 +172,12 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(broken)
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def dump_path(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with the rendered documents as gzip text, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Folder with the rendered documents as gzip text, written once per application for what the table holds."""
+    key = (spark.sparkContext.applicationId, sf_dir, files_stamp(spark, f"{sf_dir}/part.parquet"))
     if key not in _WRITTEN:
         path = f"{checkpoint_root(spark)}/dump-{uuid.uuid4().hex}"
         # Gzip can't be split, so the text is dealt out when it lands and then read as it lies.

@@ -118,6 +118,18 @@ def test_change_files_of_a_folder(spark, tmp_path):
         delta_files.pending(spark, str(tmp_path / "other"), 50).collect()
 
 
+def test_a_replaced_table_has_another_stamp(spark, tmp_path):
+    from larder.session import files_stamp
+
+    path = str(tmp_path / "t.parquet")
+    assert files_stamp(spark, path) == files_stamp(spark, path + "x")  # nothing there
+    stamps = []
+    for n in (3, 4, 4):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        stamps += [files_stamp(spark, path), files_stamp(spark, path)]
+    assert stamps[0] == stamps[1] and len(set(stamps)) == 3
+
+
 def test_a_part_is_found_by_halving(spark):
     import random
 

@@ -18,6 +18,7 @@ FAST = [
     "sync_plans", "republished_plans", "chain_refused", "published_nutriscore", "annex_sections", "us_paragraphs", "tag_lists", "ingredient_rows",
     "properties", "part_routing", "product_search", "sampled_documents", "streamed_changes", "streamed_scans", "stored_catalog",
     "history_view", "nutrient_values", "field_census", "item_tag_links", "protective_intakes", "annex_classes", "us_scope",
+    "fine_part_routing", "taxonomy_file", "differing_parts", "delta_manifest", "reindexed", "ranked_after_changes", "stored_schemas",
 ]
 NAMES = list(oracle_sql()) if os.environ.get("LARDER_ALL") else FAST
 
