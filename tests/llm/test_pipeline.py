@@ -92,6 +92,8 @@ def test_stages_take_odd_tables(spark, tmp_path):
             assert after.count() <= before.count()
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert len({(r.slot, r.place) for r in out}) == len(out)
-        # Clean documents stay, repeated rows once.
-        assert {x.doc_id for x in known} <= {r.doc_id for r in out} if name == "odd" else out == []
+        # Clean documents stay, repeated rows once. Of two the text is kept elsewhere: in the row without an id, which
+        # comes before all others, and under the smaller id that it also has.
+        assert {x.doc_id for x in known if x not in (known[0], known[4])} <= {r.doc_id for r in out} if name == "odd" else out == []
+        assert name == "empty" or known[0].text in [r.text for r in out]
         assert len({(r.doc_id, r.text) for r in out if r.doc_id is not None}) == len([r for r in out if r.doc_id is not None])
