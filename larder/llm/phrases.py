@@ -182,7 +182,9 @@ class Safe:
 def _phrases(longest: int, safe, bucket_bits: int):
     """Rows (lang, phrase): the distinct phrases with a safe hash of every few megabytes of text."""
     def run(batches):
-        known = Safe(safe.value, bucket_bits)
+        short = [np.frombuffer(x, np.uint32).astype(np.uint64) + (np.uint64(bucket) << np.uint64(32)) for bucket, x in safe.value]
+        known = Safe(np.concatenate(short) if short else np.zeros(0, np.uint64), bucket_bits)
+        del short
         for texts in _texts(batches):
             lead, code = distinct_spans(texts.data, texts.starts, texts.ends, texts.word_hashes)
             languages, bits = texts.word_languages(), int(len(lead)).bit_length()
@@ -370,7 +372,8 @@ class _Placement:
 
 
 _NUMBERED = "shard int, id bigint, lang string, phrase string"
-_TRIE = "languages binary, words binary, base binary, check binary, phrase binary"
+_TRIE = "name string, value binary"
+_ARRAYS = ("languages", "words", "base", "check", "phrase")
 
 
 def _ipc(columns: dict[str, pa.Array]) -> bytes:
@@ -392,25 +395,34 @@ def _numbered(table: pa.Table) -> pa.Table:
 
 
 def _build(table: pa.Table) -> pa.Table:
-    """One row: the trie of a shard."""
+    """The arrays of a shard's trie, a row each."""
     table = table.sort_by("id")
     trie = Trie.build(*(table.column(c).combine_chunks() for c in ("lang", "phrase")))
     words = pa.Array.from_buffers(pa.large_binary(), len(trie.starts), [None, pa.py_buffer(np.append(trie.starts, trie.ends[-1:]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(trie.data))])
     packed = {"languages": _ipc({"x": pa.array(trie.languages, pa.string())}), "words": _ipc({"x": words}),
               "base": trie.base.tobytes(), "check": trie.check.tobytes(), "phrase": trie.phrase.tobytes()}
-    return pa.table({k: pa.array([v], pa.binary()) for k, v in packed.items()})
+    return pa.table({"name": pa.array(list(packed), pa.string()), "value": pa.array(list(packed.values()), pa.binary())})
+
+
+def _sent(trie: DataFrame) -> dict:
+    """Broadcasts a stored trie, one array at a time: the driver never holds more than one."""
+    out = {}
+    for name in _ARRAYS:
+        out[name] = trie.sparkSession.sparkContext.broadcast(trie.filter(F.col("name") == name).first()["value"])
+        give_back()
+    return out
 
 
-def _opened(row) -> Trie:
-    words = _from_ipc(row["words"]).column("x").combine_chunks()
-    arrays = (np.frombuffer(row[c], np.int32) for c in ("base", "check", "phrase"))
-    return Trie(_from_ipc(row["languages"]).column("x").to_pylist(), words, *arrays)
+def _opened(sent: dict) -> Trie:
+    words = _from_ipc(sent["words"].value).column("x").combine_chunks()
+    arrays = (np.frombuffer(sent[c].value, np.int32) for c in ("base", "check", "phrase"))
+    return Trie(_from_ipc(sent["languages"].value).column("x").to_pylist(), words, *arrays)
 
 
 def _counts(longest: int, n: int, packed):
     """Rows (lang, id, f): a task's occurrences of the trie's phrases; id -1 holds a language's words."""
     def run(batches):
-        machine, sums, words = _opened(packed.value), np.zeros(n, np.int64), {}
+        machine, sums, words = _opened(packed), np.zeros(n, np.int64), {}
         for texts in _texts(batches):
             machine.count(texts, longest, sums)
             for name, k in zip(texts.languages, np.bincount(texts.word_languages(), minlength=len(texts.languages))):
@@ -444,9 +456,8 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_colum
     shard_of = F.floor(F.col("bucket") * shards / (1 << bucket_bits)).cast("int")  # whole buckets, evenly filled by the hash
     found, words = [], None
     for shard in range(shards):
-        short = [np.frombuffer(r["hashes"], np.uint32).astype(np.uint64) + (np.uint64(r["bucket"]) << np.uint64(32)) for r in safe.filter((shard_of == shard) & (F.col("n") > 0)).collect()]
-        known = spark.sparkContext.broadcast(np.concatenate(short) if short else np.zeros(0, np.uint64))
-        del short
+        known = spark.sparkContext.broadcast([(r["bucket"], bytes(r["hashes"])) for r in safe.filter((shard_of == shard) & (F.col("n") > 0)).collect()])
+        give_back()
         numbered = cut_lineage(texts.mapInArrow(_phrases(longest, known, bucket_bits), "lang string, phrase string").distinct()
                                .withColumn("shard", F.lit(shard)).groupBy("shard").applyInArrow(_numbered, _NUMBERED))
         known.destroy()
@@ -454,16 +465,15 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_colum
         n = numbered.count()
         if not n:
             continue
-        row = numbered.groupBy("shard").applyInArrow(_build, _TRIE).collect()[0]  # the only one, of bounded size
-        sent = spark.sparkContext.broadcast(row.asDict())
-        del row
+        sent = _sent(cut_lineage(numbered.groupBy("shard").applyInArrow(_build, _TRIE)))  # of bounded size
         sums = texts.mapInArrow(_counts(longest, n, sent), "lang string, id bigint, f bigint").groupBy("lang", "id").agg(F.sum("f").alias("f"))
         sums = cut_lineage(sums)
         if words is None:
             words = sums.filter("id = -1").select("lang", F.col("f").alias("n"))
         common = sums.filter((F.col("id") >= 0) & (F.col("f") >= least)).select("id", "f")
         found.append(cut_lineage(numbered.join(common, "id").select("lang", "phrase", (F.length(F.regexp_replace("phrase", "[^ ]", "")) + 1).alias("words"), "f")))
-        sent.destroy()
+        for array in sent.values():
+            array.destroy()
         del sent
     if not found:
         return spark.createDataFrame([], "lang string, phrase string, words int, f bigint"), spark.createDataFrame([], "lang string, n bigint")

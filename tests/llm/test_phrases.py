@@ -103,3 +103,13 @@ def test_trie_finds_all_its_phrases():
         words = p.split()
         want.update(known[q] for i in range(len(words)) for j in range(i + 1, len(words) + 1) if (q := " ".join(words[i:j])) in known)
     assert sums.tolist() == [want[i] for i in range(len(phrases))]
+
+
+def test_the_driver_sends_a_trie_array_by_array(spark, monkeypatch):
+    """A trie as one value took the driver several times its size."""
+    sent, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or plain(self, value))
+    rows = rows_with_odd_signs(5)
+    assert got(spark, rows) == brute(rows)
+    arrays = [x for x in sent if isinstance(x, bytes)]
+    assert len(arrays) % 5 == 0 and len(arrays) > 0 and not any(isinstance(x, dict) for x in sent)
