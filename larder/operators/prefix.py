@@ -34,6 +34,50 @@ def _placed(df: DataFrame, group: list[str], sort: list[Column], buckets: int) -
     return placed, placed.count()
 
 
+def _bounded(df: DataFrame, group: list[str], sort: list[Column], buckets: int) -> DataFrame:
+    """As ``_placed``, in as many buckets as the rows need."""
+    placed, rows = _placed(df, group, sort, buckets)
+    if rows > buckets * BUCKET_ROWS:
+        # The setting is too small for this table: a bucket is windowed in one task, so its size is bounded.
+        placed, _ = _placed(placed.drop("_bucket"), group, sort, math.ceil(rows / BUCKET_ROWS))
+    return placed
+
+
+def with_last_mark(rows: DataFrame, marks: DataFrame, group: list[str], key: str, mark: str, no: str, buckets: int | None = None) -> DataFrame:
+    """Adds ``mark``, that of the last of ``marks`` (group, key, mark, no) at or before the row's key in its group, and
+    ``last_no``, the highest number of the group's marks; both NULL where there is none.
+
+    Rows and marks are sorted together, in buckets as in ``with_running``, and a bucket starts with the last mark of
+    those before it: no list of marks is ever held beside a row. A NULL key comes first, of equal keys the highest ``no``
+    counts, and rows of a NULL group meet no marks.
+    """
+    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = marks.select(*group, key, mark, F.col(no).cast("long").alias("_no")).dropna(subset=group).withColumn("_row", F.lit(False))
+    # Rows have numbers as well, so that those of one key are spread like others.
+    both = known.unionByName(rows.withColumns({"_no": F.monotonically_increasing_id(), "_row": F.lit(True)}), allowMissingColumns=True)
+    sort = _ordered([key, "_row", "_no"], set())
+    placed = _bounded(both, group, sort, buckets)
+    heads = placed.groupBy(*group, "_bucket").agg(
+        F.max_by(mark, F.when(~F.col("_row"), F.struct(key, "_no"))).alias("_head"), F.max(F.when(~F.col("_row"), F.col("_no"))).alias("_most"))
+    # At most one row per group and bucket: small enough for a plain window.
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*group, "_bucket", F.last("_head", ignorenulls=True).over(before).alias("_before"), F.max("_most").over(Window.partitionBy(*group)).alias("last_no"))
+    inside = Window.partitionBy(*group, "_bucket").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("_here", F.last(mark, ignorenulls=True).over(inside)).filter("_row")
+    same = reduce(lambda a, b: a & b, [local[g].eqNullSafe(heads[g]) for g in group] + [local["_bucket"] == heads["_bucket"]])
+    joined = local.join(heads, same).select(local["*"], heads["_before"], heads["last_no"])
+    return joined.select(*rows.columns, F.coalesce("_here", "_before").alias(mark), "last_no")
+
+
+def ranges_from(keys: DataFrame, group: list[str], key: str) -> DataFrame:
+    """A part from each of a group's distinct keys on, and part 1 before all: (group, part, from_key, to_key), for any number of keys."""
+    ranked = with_running(keys.select(*group, key), group, [key])
+    ends = ranked.select(*group, F.inline(F.array(
+        F.struct((F.col("rank") + 1).alias("part"), F.col(key).alias("from_key"), F.lit(None).cast("string").alias("to_key")),
+        F.struct(F.col("rank").alias("part"), F.lit(None).cast("string").alias("from_key"), F.col(key).alias("to_key")))))
+    return ends.groupBy(*group, F.col("part").cast("int").alias("part")).agg(F.max("from_key").alias("from_key"), F.max("to_key").alias("to_key"))
+
+
 def with_running(df: DataFrame, group: list[str], order: list[str], measures: dict[str, str] | None = None,
                  descending: set[str] = frozenset(), buckets: int | None = None) -> DataFrame:
     """Adds ``rank`` (1-based), ``group_rows`` and, per measure, its running and group total.
@@ -45,10 +89,7 @@ def with_running(df: DataFrame, group: list[str], order: list[str], measures: di
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = _ordered(order, set(descending))
-    placed, rows = _placed(df, group, sort, buckets)
-    if rows > buckets * BUCKET_ROWS:
-        # The setting is too small for this table: a bucket is windowed in one task, so its size is bounded.
-        placed, _ = _placed(placed.drop("_bucket"), group, sort, math.ceil(rows / BUCKET_ROWS))
+    placed = _bounded(df, group, sort, buckets)
     sums = placed.groupBy(*group, "_bucket").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_sum_{n}") for n, c in measures.items()])
     # At most one row per group and bucket: small enough for a plain window.

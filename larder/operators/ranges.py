@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions.codes import GS1_NOTES, GS1_RULES, UNRESOLVABLE, catalog_priority, only_digits
+from larder.operators.prefix import with_last_mark
 
 
 def in_range(key: Column, low: Column, high: Column) -> Column:
@@ -44,35 +45,19 @@ def join_lines_by_size(rows: DataFrame, lines: DataFrame, group: list[str], key:
     return dealt.join(repeated, [*group, "_deal"], how).drop("_deal")
 
 
-def last_not_above(sorted_keys: Column, key: Column) -> Column:
-    """How many of ascending keys (a NULL one comes first and is below all) aren't above ``key``: found by halving."""
-    steps = F.ceil(F.log2(F.size(sorted_keys) + 1)).cast("int")
-    start = F.struct(F.lit(0).alias("low"), F.size(sorted_keys).alias("high"))
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
-        at = F.get(sorted_keys, middle)
-        below = at.isNull() | (at <= key)
-        open_ = state["low"] < state["high"]
-        return F.struct(F.when(open_ & below, middle + 1).otherwise(state["low"]).alias("low"), F.when(open_ & ~below, middle).otherwise(state["high"]).alias("high"))
-
-    return F.when(F.size(sorted_keys) > 0, F.aggregate(F.sequence(F.lit(1), steps), start, halve, lambda s: s["low"])).otherwise(0)
-
-
 def part_for(rows: DataFrame, parts: DataFrame, group: list[str], key: str, fallback_last: bool = False) -> DataFrame:
-    """Adds ``part``. ``parts`` holds the ranges of each group, which don't overlap (a list that fits a row).
+    """Adds ``part``. ``parts`` holds the ranges of each group, which don't overlap; there may be as many as rows.
 
-    The ranges of a group travel as one sorted array, so the join is an equi join and needs no nested loop; a row
-    finds its range by halving, in log2(parts) steps. With a NULL range everything belongs to part 1.
+    A row's range is the last one that starts at or before its key, found by sorting rows and starts together.
+    Without ranges everything belongs to part 1.
     """
-    packed = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col("from_key").isNotNull().alias("_bounded"), "from_key", "to_key", "part"))).alias("_ranges"), F.max("part").alias("_last"))
-    packed = packed.withColumn("_starts", F.transform("_ranges", lambda r: r["from_key"]))
-    found = join_lines_by_size(rows, packed, group, key)
-    at = F.get("_ranges", last_not_above(F.col("_starts"), F.col(key)) - 1)
-    hit = F.when(in_range(F.col(key), at["from_key"], at["to_key"]), at["part"])
+    starts = parts.select(*group, F.col("from_key").alias(key), F.struct("from_key", "to_key", "part").alias("_range"), "part")
+    found = with_last_mark(rows, starts, group, key, "_range", "part")
+    at = F.col("_range")
+    hit = F.when(F.col(key).isNotNull() & in_range(F.col(key), at["from_key"], at["to_key"]), at["part"])
     if fallback_last:
-        hit = F.coalesce(hit, F.col("_last"))
-    return found.withColumn("part", F.when(F.col("_ranges").isNull(), 1).otherwise(hit)).select(*rows.columns, "part")
+        hit = F.coalesce(hit, F.col("last_no").cast("int"))
+    return found.withColumn("part", F.when(F.col("last_no").isNull(), 1).otherwise(hit)).select(*rows.columns, "part")
 
 
 def parts_of(entries: DataFrame) -> DataFrame:

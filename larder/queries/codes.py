@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.binding import load
 from larder.functions import codes
@@ -116,7 +116,7 @@ def fine_part_routing(spark: SparkSession, sf: str) -> DataFrame:
     """Thousands of parts a catalogue: a cut at most orders, and every order line finds its part."""
     k = F.col("o_orderkey")
     cuts = load(spark, sf, "orders").filter(k % 4 != 1).select(F.concat(F.lit("c"), (k % 3).cast("string")).alias("country"), k.cast("string").alias("cut_key"))
-    parts = prefix.part_ranges(cuts.withColumn("cut_no", F.row_number().over(Window.partitionBy("country").orderBy("cut_key"))), ["country"])
+    parts = prefix.ranges_from(cuts, ["country"], "cut_key")
     lines = load(spark, sf, "lineitem").select(F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")).alias("country"),
                                                F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("code"))
     return ranges.part_for(lines, parts, ["country"], "code")

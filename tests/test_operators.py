@@ -314,3 +314,18 @@ def test_listing_without_change_files_fails(spark):
         pending_files(spark.createDataFrame([("a.txt",)], "path string"), 0).collect()
     empty = spark.createDataFrame([], "path string")
     assert pending_files(empty, 0).collect() == []
+
+
+def test_part_for_finds_ranges_without_a_list_of_them(spark):
+    """Thousands of ranges, a key that half of the rows share, and buckets that begin between two starts."""
+    from bisect import bisect_right
+    from larder.operators import ranges as r_
+
+    rng = random.Random(3)
+    starts = {g: sorted({f"{rng.randrange(10 ** 5):05d}" for _ in range(2000)}) for g in "ab"}
+    keys = [(g, f"{rng.randrange(10 ** 5):05d}") for g in "ab" for _ in range(2000)] + [("a", starts["a"][7])] * 4000
+    parts = prefix.ranges_from(spark.createDataFrame([(g, k) for g in starts for k in starts[g]], "g string, k string"), ["g"], "k")
+    assert parts.count() == sum(map(len, starts.values())) + 2
+    placed = r_.part_for(spark.createDataFrame(keys, "g string, k string"), parts, ["g"], "k")
+    assert "collect_list" not in plan(placed)
+    assert sorted(map(tuple, placed.collect())) == sorted((g, k, bisect_right(starts[g], k) + 1) for g, k in keys)
