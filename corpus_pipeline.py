@@ -1,8 +1,8 @@
 """A corpus from raw documents: clear language, no near-copies, no repeated passages, mixed sources, piece ids.
 
 Each stage gets what its predecessor kept. All but the last return the columns of ``documents``.
-Spark reads files by size and not by name, so the last stage writes each document's place in the mixture
-beside it, and ``run`` sorts by it.
+Spark reads files by size and not by name, so the last stage reads each document's place in the mixture from its
+file and row, writes it beside the document, and ``run`` sorts by it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.llm.language import in_known_language
-from larder.llm.mixing import in_mixed_order
+from larder.llm.mixing import in_mixed_order, with_stored_places
 from larder.llm.neardup import one_of_each
 from larder.llm.sentencepieces import coded
 from larder.llm.substrings import repeats_removed
@@ -49,9 +49,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds slot and place in the mixture, piece ids and their number, in the order of the mixture; the text is what the ids decode to.
 
-    The mixture of the same documents is the same, however they were read.
+    The order is the one in which ``mixing`` has written the documents.
     """
-    return coded(in_mixed_order(docs, slot="slot", place="place", **MIXTURE), PIECES).withColumn("n_pieces", F.size("ids"))
+    return coded(with_stored_places(docs, slot="slot", place="place"), PIECES).withColumn("n_pieces", F.size("ids"))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]

@@ -124,3 +124,37 @@ def in_mixed_order(docs: DataFrame, id_column: str = "doc_id", slot: str | None
     joined = single.join(where, F.col("_own_id").eqNullSafe(F.col("_mixed_id")) & (F.col("_print") == F.col("_mixed_print"))).orderBy("_mixed_slot", "_mixed_place")
     added = [F.col(c).alias(name) for c, name in (("_mixed_slot", slot), ("_mixed_place", place)) if name]
     return joined.select(*kept, *added)
+
+
+def with_stored_places(docs: DataFrame, slot: str = "slot", place: str = "place", source_column: str = "source", block_rows: int = 64) -> DataFrame:
+    """Rows of a stored mixture, sorted as they lie in its files, with slot and place read off that order.
+
+    ``docs`` is read from files that were written in order, as ``in_mixed_order`` gives it. Rows of one source that
+    follow each other are a run, cut into blocks of ``block_rows``; only a source's last block can be shorter, and it
+    ends its run. Sources are told apart as they are, NULL is one. Columns named like the two are replaced.
+    """
+    kept = [c for c in docs.columns if c not in (slot, place)]
+    stored = docs.select(*kept, F.col("_metadata.file_path").alias("_stored_file"), F.col("_metadata.row_index").alias("_stored_row"))
+    in_file = Window.partitionBy("_stored_file").orderBy("_stored_row")
+    # Sources and places only. Of a row's run: where it starts in this file.
+    named = F.coalesce(F.concat(F.lit("s"), F.col(source_column).cast("string")), F.lit(""))
+    rows = stored.select("_stored_file", "_stored_row", named.alias("_name"))
+    new = F.lag("_name").over(in_file).isNull() | (F.lag("_name").over(in_file) != F.col("_name"))
+    rows = rows.withColumn("_new", new).withColumn("_from", F.max(F.when(F.col("_new"), F.col("_stored_row"))).over(in_file))
+    # One row a file: how many rows of the run it starts with lie before it, then how many blocks start before it.
+    ends = rows.groupBy("_stored_file").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min_by("_name", "_stored_row").alias("_first"), F.max_by("_name", "_stored_row").alias("_last"), F.max("_from").alias("_last_from"))
+    files = Window.partitionBy().orderBy("_stored_file")
+    earlier = files.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)), "_goes_on": F.coalesce(F.lag("_last").over(files) == F.col("_first"), F.lit(False))})
+    start = F.when((F.col("_last_from") > 0) | ~F.col("_goes_on"), F.col("_before") + F.col("_last_from"))
+    ends = ends.withColumn("_start", start)
+    ends = ends.select("_stored_file", F.when(F.col("_goes_on"), F.col("_before") - F.last("_start", ignorenulls=True).over(earlier)).otherwise(0).alias("_held"))
+    rows = rows.join(ends, "_stored_file").withColumn("_at", F.col("_stored_row") - F.col("_from") + F.when(F.col("_from") == 0, F.col("_held")).otherwise(0))
+    opens = F.when(F.col("_at") % block_rows == 0, 1).otherwise(0)
+    blocks = rows.groupBy("_stored_file").agg(F.sum(opens).alias("_blocks"))
+    blocks = blocks.select("_stored_file", F.coalesce(F.sum("_blocks").over(earlier), F.lit(0)).alias("_blocks_before"))
+    slots = F.col("_blocks_before") + F.sum(opens).over(in_file.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    places = rows.join(blocks, "_stored_file").select("_stored_file", "_stored_row", slots.cast("long").alias("_stored_slot"), (F.col("_at") % block_rows).cast("int").alias("_stored_place"))
+    placed = stored.join(places, ["_stored_file", "_stored_row"]).orderBy("_stored_slot", "_stored_place")
+    return placed.select(*kept, F.col("_stored_slot").alias(slot), F.col("_stored_place").alias(place))

@@ -97,3 +97,28 @@ def test_stages_take_odd_tables(spark, tmp_path):
         assert {x.doc_id for x in known if x not in (known[0], known[4])} <= {r.doc_id for r in out} if name == "odd" else out == []
         assert name == "empty" or known[0].text in [r.text for r in out]
         assert len({(r.doc_id, r.text) for r in out if r.doc_id is not None}) == len([r for r in out if r.doc_id is not None])
+
+
+def test_the_last_stage_follows_the_order_of_the_mixture(spark, tmp_path):
+    """Other orders of the same rows give other places; runs of one source go on from file to file."""
+    from larder.llm.mixing import in_mixed_order
+
+    r = random.Random(8)
+    rows = [(i, f"text of {i}", "en", s, 9) for i, s in enumerate(["big"] * 700 + ["mid"] * 200 + [None] * 30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for given in (rows, rows[::-1], sorted(rows, key=lambda _: r.random())):
+        path = f"{tmp_path}/{given[0][0]}-{given[1][0]}"
+        spark.createDataFrame(list(enumerate(given)), f"at int, d struct<{schema}>").repartitionByRange(23, "at").sortWithinPartitions("at").select("d.*").write.parquet(path)
+        got = corpus_pipeline.sentencepiece(spark, spark.read.parquet(path), SF).collect()
+        want, slot = [], -1
+        for _, run in groupby(given, key=lambda x: x[3]):
+            for at, row in enumerate(run):
+                slot += at % 64 == 0
+                want.append((row[0], slot, at % 64))
+        assert [(x.doc_id, x.slot, x.place) for x in got] == want
+    # Read off the mixture's files they are the places that the mixture gives.
+    docs = spark.createDataFrame(rows, schema)
+    corpus_pipeline.mixing(spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.sentencepiece(spark, spark.read.parquet(f"{tmp_path}/mixed"), SF)
+    want = in_mixed_order(docs, slot="slot", place="place", **corpus_pipeline.MIXTURE)
+    assert sorted(map(tuple, got.select("doc_id", "slot", "place").collect())) == sorted(map(tuple, want.select("doc_id", "slot", "place").collect()))
