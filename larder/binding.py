@@ -105,6 +105,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, task_rows: int) -> DataFrame:
+    """Rows that are short as they lie and grow when they are worked on, dealt out by their number.
+
+    Splits follow bytes, so a small file is one task however many rows it holds.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // task_rows + 1)  # from the files' footers
+    return df.repartition(tasks)
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue-shaped rows, one per part; ``additives`` is an array of tags."""
     from larder.functions.text import split_tags

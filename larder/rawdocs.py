@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.binding import LABEL_TEXTS, _ADDITIVES, _pick, load
+from larder.binding import LABEL_TEXTS, _ADDITIVES, _pick, dealt, load
 from larder.session import checkpoint_root, files_stamp
 from larder.sources.dump import read_dump
 
@@ -72,8 +72,14 @@ FROM (SELECT p_partkey AS k, p_name AS name, p_brand AS brand,
 """
 
 
+#: Documents that one task renders, and that lie in one file of the dump.
+FILE_DOCUMENTS = 5_000
+
+
 def raw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RAW_SQL.replace("FROM part)", "FROM {part})"), part=load(spark, sf_dir, "part"))
+    """A row of ``part`` is short and a document long, so rows are dealt out by their number before they grow."""
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    return spark.sql(RAW_SQL.replace("FROM part)", "FROM {part})"), part=dealt(part, FILE_DOCUMENTS))
 
 
 def _object(fields: dict):
@@ -168,8 +174,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.when(F.col("head") == "{}", F.col("tail")).otherwise(
         F.concat(F.left("head", F.length("head") - 1), F.lit(","), F.substr("tail", F.lit(2))))
     lines = rendered.select("k", whole.alias("value"))
-    broken = r.filter(k % 200 == 0).select("k", F.explode(F.array(F.lit("{broken"), F.lit(""))).alias("value"))
-    return lines.unionByName(broken)
+    return lines.select("k", F.explode(F.when(k % 200 == 0, F.array("value", F.lit("{broken"), F.lit(""))).otherwise(F.array("value"))).alias("value"))
 
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -180,8 +185,8 @@ def dump_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, files_stamp(spark, f"{sf_dir}/part.parquet"))
     if key not in _WRITTEN:
         path = f"{checkpoint_root(spark)}/dump-{uuid.uuid4().hex}"
-        # Gzip can't be split, so the text is dealt out when it lands and then read as it lies.
-        raw_documents(spark, sf_dir).select("value").repartition(spark.sparkContext.defaultParallelism).write.option("compression", "gzip").text(path)
+        # Gzip can't be split, so it is written in files of bounded size and then read as it lies.
+        raw_documents(spark, sf_dir).select("value").write.option("compression", "gzip").text(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 

@@ -329,3 +329,33 @@ def test_part_for_finds_ranges_without_a_list_of_them(spark):
     placed = r_.part_for(spark.createDataFrame(keys, "g string, k string"), parts, ["g"], "k")
     assert "collect_list" not in plan(placed)
     assert sorted(map(tuple, placed.collect())) == sorted((g, k, bisect_right(starts[g], k) + 1) for g, k in keys)
+
+
+def test_rows_that_grow_are_dealt_by_their_number(spark, monkeypatch):
+    """A small file is one split: its documents were rendered, its words counted, in one task."""
+    from larder import rawdocs
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(rawdocs, "FILE_DOCUMENTS", 8, raising=False)
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    docs = rawdocs.raw_documents(spark, sf)
+    assert docs.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, n // 8 + 1) > 2
+    broken = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey % 200 = 0").count()
+    assert docs.count() == n + 2 * broken
+
+
+def test_scan_gives_what_an_index_gives(spark):
+    rows = [(i, " ".join(rng_words)) for i, rng_words in enumerate([["the", "who"], ["The", "the", "when", "x"], ["a"], [], ["who"], ["thé", "what", "which"], ["the"] * 3 + ["why"]])] + [(9, None)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    for text in ("the wh", "wh", "the", "none the", ""):
+        index, scanned = search.postings(df, "id", ["t"]), search.scan(df, "id", ["t"], text)
+        assert "Exchange" not in plan(scanned.filter("length > 0"))
+        by = lambda got: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in got.collect())
+        assert by(search.scan_bm25(scanned, "id", text)) == by(search.bm25(index, "id", text))
+        assert by(search.scan_hits(scanned, "id")) == by(search.prefix_search(index, "id", text).select("id", "term", "tf", "length"))
+
+
+def test_legal_rows_cut_texts_once(spark):
+    from larder.queries import regulation
+
+    assert "FileScan" not in plan(regulation.law_rows(spark, "/root/testdata/sf0.001"))
