@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from larder.functions.text import fold
 from larder.operators import runs
 from larder.operators.latest import first_per_key
+from larder.session import cut_lineage
 
 # BM25 constants of the index, and the floor of a term's weight.
 K1, B = 1.2, 0.75
@@ -129,6 +130,43 @@ def bm25(rows: DataFrame, key: str, text: str, stats: DataFrame | None = None) -
     return hits.join(F.broadcast(weights), "term").groupBy(key).agg(F.sum(part).alias("score"))
 
 
+def scan(df: DataFrame, key: str, columns: list[str], text: str) -> DataFrame:
+    """(key, length, tf): words of each document and, per term of the query, how many of them match it; without an index.
+
+    A query that is asked once needs no index of all words: texts are read once, only the numbers leave a row, and they
+    are stored, as a ranking reads them twice.
+    """
+    test = lambda w, prefix: lambda t: t.startswith(w) if prefix else t == w
+    words = df.select(key, F.concat(*[tokens(F.col(c)) for c in columns]).alias("_words"))
+    counts = [F.size(F.filter("_words", test(w, p))).cast("long").alias(f"_tf{i}") for i, (w, p) in enumerate(parse_query(text))]
+    rows = words.select(key, F.size("_words").alias("length"), *counts).filter("length > 0")
+    sums = rows.groupBy(key).agg(F.sum("length").cast("int").alias("length"), *[F.sum(f"_tf{i}").alias(f"_tf{i}") for i in range(len(counts))])
+    tf = F.array(*[f"_tf{i}" for i in range(len(counts))]).cast("array<bigint>")
+    return cut_lineage(sums.select(key, "length", tf.alias("tf")))
+
+
+def scan_hits(scanned: DataFrame, key: str) -> DataFrame:
+    """As ``prefix_search``, from what ``scan`` counted."""
+    full = scanned.filter((F.size("tf") > 0) & F.forall("tf", lambda n: n > 0))
+    return full.select(key, "length", F.posexplode("tf").alias("term", "tf")).select(key, "term", "tf", "length")
+
+
+def scan_bm25(scanned: DataFrame, key: str, text: str) -> DataFrame:
+    """As ``bm25``, from what ``scan`` counted."""
+    terms = range(len(parse_query(text)))
+    if not terms:
+        return scanned.select(key, F.lit(0.0).alias("score")).limit(0)
+    total = scanned.agg(F.count(F.lit(1)).alias("_n"), F.sum("length").alias("_all"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"_df{i}") for i in terms])
+    hits = scanned.filter(F.forall("tf", lambda n: n > 0)).crossJoin(F.broadcast(total))
+
+    def part(i: int) -> Column:
+        df, tf = F.col(f"_df{i}"), F.get("tf", F.lit(i))
+        idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (F.col("_all") / F.col("_n"))))
+
+    return hits.select(key, sum((part(i) for i in terms), F.lit(0.0)).alias("score"))
+
+
 def attach(hits: DataFrame, products: DataFrame, key: str) -> DataFrame:
     return hits.join(products, key)
 
