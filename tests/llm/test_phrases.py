@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from larder.llm import phrases
 from larder.llm.arrays import distinct_spans
 from larder.llm.phrases import Texts, Trie, collocations, phrase_counts
 
@@ -113,3 +114,39 @@ def test_the_driver_sends_a_trie_array_by_array(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
     arrays = [x for x in sent if isinstance(x, bytes)]
     assert len(arrays) % 5 == 0 and len(arrays) > 0 and not any(isinstance(x, dict) for x in sent)
+
+
+def test_many_shards_take_one_pass_and_one_bitmap(spark, monkeypatch):
+    """A pass over the texts and a trie to send for each shard made the time grow with the square of the table."""
+    sent, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or plain(self, value))
+    rows = rows_with_odd_signs(7) + [("a\0 a\0b a\0 " * 6 + "x" * 300 + " tie", "x")] * 12
+    want = brute(rows)
+    assert want and got(spark, rows, shard_phrases=3) == want
+    assert [type(x) for x in sent] == [bytes] and len(sent[0]) <= 1 << phrases.MAP_BITS - 3
+
+
+def test_only_rows_near_the_top_are_left_to_rank(spark):
+    rows = [(lang, f"p{i}", (i * i * 7919 + len(lang)) % 10 ** (1 + i % 6)) for lang in ("x", "yy") for i in range(900)] + [("z", f"p{i}", 5) for i in range(30)] + [("w", "p", 0)]
+    kept = [tuple(r) for r in phrases._near_the_top(spark.createDataFrame(rows, "lang string, phrase string, score long"), 20).collect()]
+    for lang in ("x", "yy", "z", "w"):
+        scores = sorted((s for g, _, s in rows if g == lang), reverse=True)
+        least = scores[min(20, len(scores)) - 1]
+        assert {r for r in rows if r[0] == lang and r[2] >= least} <= set(kept)
+        assert sum(r[0] == lang for r in kept) <= (30 if lang == "z" else 60)
+
+
+def test_a_full_bitmap_changes_no_counts(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MAP_BITS", 9)
+    rows = rows_with_odd_signs(8)
+    assert got(spark, rows, shard_phrases=5) == brute(rows)
+
+
+def test_walks_are_of_one_kind_only_if_equal():
+    r = random.Random(3)
+    texts = Texts(pa.array([" ".join(r.choice("abc") for _ in range(400)), "a b c. a b c", None]), ["x", "y", "x"])
+    sizes = np.array([min(r.randrange(40), len(texts.starts) - i) for i in range(len(texts.starts))])
+    words = [bytes(texts.data[a:b]) for a, b in zip(texts.starts, texts.ends)]
+    walks = [(texts.text[i], *words[i:i + n]) for i, n in enumerate(sizes)]
+    kind, kinds = phrases._walk_kinds(texts, texts.text, sizes, 40)
+    assert len(set(zip(kind.tolist(), walks))) == kinds == len(set(walks))
